@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from recollect.plans import nested_queries
+from recollect.plans import nested_queries, queries
 
-QUERIES = {**nested_queries.QUERIES}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = nested_queries.p7_events
+QUERIES = {**queries.QUERIES, **nested_queries.QUERIES}
+ORACLES = dict(queries.ORACLES)
+FLAGSHIP = queries.FLAGSHIP
