@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType
 
 from recollect.functions import text as T
 from recollect.operators.retrieval import top_k
+from recollect.session import cut_lineage
 
 #: Weights of the signals (fixed values); the last is added on top.
 WEIGHTS = {"tfidf": 0.25, "coverage": 0.10, "phrase": 0.10, "title": 0.15, "position": 0.15, "together": 0.10, "original": 0.05}
@@ -64,16 +65,21 @@ def _collapsed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 
 
-def focused_density(query: Column, body: Column, rare: Column) -> Column:
+def paragraphs(body: Column) -> Column:
+    """Paragraphs of twenty characters or more, each also without blanks."""
+    kept = F.filter(F.split(body, r"\n\s*\n|\n(?=#{1,3}\s)|\n(?=[-*]\s)"), lambda p: F.length(T.strip(p)) >= 20)
+    return F.transform(kept, lambda p: F.struct(F.lower(p).alias("low"), _collapsed(F.lower(p)).alias("flat")))
+
+
+def focused_density(query: Column, paras: Column, rare: Column) -> Column:
     """R11i: the best paragraph's share of the query's terms of two or more characters.
 
-    ``rare`` are the single characters that are rare enough to count too.
+    ``paras`` is ``paragraphs``; ``rare`` are the single characters rare enough to count too.
     """
     runs = T.all_matches(F.lower(query), f"[{T.CJK}]+|[a-zA-Z0-9_.-]+")
     high = F.array_distinct(F.filter(runs, lambda t: (F.length(t) >= 2) | F.array_contains(rare, t)))
-    paragraphs = F.filter(F.split(body, r"\n\s*\n|\n(?=#{1,3}\s)|\n(?=[-*]\s)"), lambda p: F.length(T.strip(p)) >= 20)
-    share = lambda p: F.size(F.filter(high, lambda t: F.lower(p).contains(t) | _collapsed(F.lower(p)).contains(t))) / F.size(high)
-    return F.when(F.size(high) > 0, F.coalesce(F.array_max(F.transform(paragraphs, share)), F.lit(0.0))).otherwise(F.lit(0.0))
+    share = lambda p: F.size(F.filter(high, lambda t: p["low"].contains(t) | p["flat"].contains(t))) / F.size(high)
+    return F.when(F.size(high) > 0, F.coalesce(F.array_max(F.transform(paras, share)), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def signals(pool: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -87,26 +93,30 @@ def signals(pool: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     n = pool.groupBy("query_id").agg(F.max("rank").alias("n"))
     x = pool.select("query_id", "doc_id", "rank").join(n, "query_id").join(q, "query_id").join(weights, "query_id", "left").join(docs.select("doc_id", "title", "raw", "page_type"), "doc_id")
     x = x.withColumn("body", T.clean_markdown(F.lower(F.coalesce("raw", F.lit("")))))
+    # written out step by step: every signal reads these columns, and an inlined expression
+    # would be computed anew for each of them
+    x = cut_lineage(x.drop("raw"))
     x = x.withColumn("flat", _collapsed(F.col("body"))).withColumn("tokens", T.rerank_tokens(F.col("body"))).withColumn("low_title", F.lower(F.coalesce("title", F.lit(""))))
     x = x.withColumn("head", F.substring(F.col("body"), F.lit(1), F.greatest(F.lit(200), F.floor(F.greatest(F.length("body"), F.lit(1)) / 5)).cast("int")))
+    x = x.withColumn("plain", T.clean_markdown(F.lower("query"))).withColumn("paras", paragraphs(F.col("body")))
+    x = cut_lineage(x.withColumn("head_flat", _collapsed(F.col("head"))).withColumn("plain_flat", _collapsed(F.col("plain"))))
     w = lambda t: F.coalesce(F.try_element_at("idf", t), F.lit(0.0))
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, t: s + w(t))
     most = total(F.col("terms"))
     share = lambda keep: F.when(most > 0, total(F.filter("terms", keep)) / most).otherwise(F.lit(0.0))
     tfidf = share(lambda t: F.array_contains("tokens", t) | F.col("flat").contains(t))
     found = F.size(F.filter("wanted", lambda e: F.col("body").contains(F.lower(e)) | F.col("flat").contains(F.lower(e))))
-    plain = T.clean_markdown(F.lower("query"))
-    x = x.withColumn("tfidf", tfidf)
+    x = cut_lineage(x.withColumn("tfidf", tfidf))
     rare = F.filter("terms", lambda t: (F.length(t) == 1) & (w(t) > 3.0))
     return x.select(
         "query_id", "doc_id", "rank", "tfidf", "page_type",
         F.when(F.size("wanted") > 0, found / F.size("wanted")).otherwise(F.col("tfidf")).alias("coverage"),
-        F.when(F.col("body").contains(plain) | F.col("flat").contains(_collapsed(plain)), 1.0).otherwise(0.0).alias("phrase"),
+        F.when(F.col("body").contains(F.col("plain")) | F.col("flat").contains(F.col("plain_flat")), 1.0).otherwise(0.0).alias("phrase"),
         share(lambda t: F.col("low_title").contains(t)).alias("title"),
-        share(lambda t: F.col("head").contains(t) | _collapsed(F.col("head")).contains(t)).alias("position"),
+        share(lambda t: F.col("head").contains(t) | F.col("head_flat").contains(t)).alias("position"),
         cooccurrence(F.col("terms"), F.col("body")).alias("together"),
         (1.0 - (F.col("rank") - 1) / F.col("n")).alias("original"),
-        focused_density(F.col("query"), F.col("body"), rare).alias("density"),
+        focused_density(F.col("query"), F.col("paras"), rare).alias("density"),
     )
 
 

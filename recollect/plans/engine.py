@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 from recollect.operators import graph, rerank, retrieval
+from recollect.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ def candidate_lists(index: Index, queries: DataFrame, k: int, query_vectors: Dat
 
 def search(index: Index, queries: DataFrame, k: int = 5, query_vectors: DataFrame | None = None, reranked: bool = True) -> DataFrame:
     """(query_id, rank, doc_id, score): the best k documents of each query."""
-    pool = retrieval.by_parent(retrieval.rrf(candidate_lists(index, queries, k, query_vectors), max(6 * k, 30)))
+    pool = cut_lineage(retrieval.by_parent(retrieval.rrf(candidate_lists(index, queries, k, query_vectors), max(6 * k, 30))))
     if not reranked:
         return pool.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
     return rerank.rerank(pool, index.docs, queries, k).select("query_id", "rank", "doc_id", "score")
