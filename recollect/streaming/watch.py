@@ -69,9 +69,9 @@ class _Reader(SimpleDataSourceStreamReader):
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = max((s for _, s, _ in self._stamps()), default=start["until"])
         end = max(end, start["until"])
-        return self._between(start["until"], end), {"until": end}
+        return iter(list(self._between(start["until"], end))), {"until": end}  # the source keeps and copies it
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._between(start["until"], end["until"])
+        return iter(list(self._between(start["until"], end["until"])))
 
 
