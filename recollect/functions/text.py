@@ -17,36 +17,51 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once.
+
+    A column used several times in an expression is computed as often, at least inside
+    higher-order functions; a lambda's variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_cjk(token: Column) -> Column:
     """For tokens of ``TOKEN`` only: Latin ones sort before every CJK character."""
     return token >= FIRST_CJK
 
 
 def _adjacent(tokens: Column) -> Column:
+    """Pairs of neighbours; ``tokens`` should be a variable, see ``let``."""
     n = F.size(tokens)
     return F.when(n > 1, F.arrays_zip(F.slice(tokens, 1, n - 1).alias("a"), F.slice(tokens, 2, n - 1).alias("b"))).otherwise(
         F.array().cast("array<struct<a:string,b:string>>")
     )
 
 
+def _with_pairs(raw: Column) -> Column:
+    pairs = let(F.filter(raw, is_cjk), lambda cjk: F.transform(_adjacent(cjk), lambda p: F.concat(p["a"], p["b"])))
+    return F.concat(raw, pairs)
+
+
+def _with_mixed(raw: Column) -> Column:
+    mixed = F.filter(_adjacent(raw), lambda p: is_cjk(p["a"]) != is_cjk(p["b"]))
+    return F.concat(_with_pairs(raw), F.transform(mixed, lambda p: F.concat(p["a"], p["b"])))
+
+
 def rerank_tokens(text: Column) -> Column:
     """Characters and Latin words in order, then pairs of CJK characters, which bridge
     what stands between them."""
-    raw = all_matches(F.lower(text), TOKEN)
-    pairs = F.transform(_adjacent(F.filter(raw, is_cjk)), lambda p: F.concat(p["a"], p["b"]))
-    return F.concat(raw, pairs)
+    return let(all_matches(F.lower(text), TOKEN), _with_pairs)
 
 
 def bm25_tokens(text: Column) -> Column:
     """T2 with the concatenations of adjacent CJK and Latin tokens."""
-    raw = all_matches(F.lower(text), TOKEN)
-    mixed = F.filter(_adjacent(raw), lambda p: is_cjk(p["a"]) != is_cjk(p["b"]))
-    return F.concat(rerank_tokens(text), F.transform(mixed, lambda p: F.concat(p["a"], p["b"])))
+    return let(all_matches(F.lower(text), TOKEN), _with_mixed)
 
 
 def query_terms(text: Column) -> Column:
     """Distinct runs of CJK or Latin; CJK runs of two or more also in characters and pairs."""
-    runs = all_matches(F.lower(text), f"[{CJK}]+|[a-zA-Z0-9_.-]+")
 
     def parts(run: Column) -> Column:
         n = F.length(run)
@@ -54,7 +69,7 @@ def query_terms(text: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(is_cjk(run) & (n >= 2), F.concat(singles, pairs)).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(runs, F.flatten(F.transform(runs, parts))))
+    return let(all_matches(F.lower(text), f"[{CJK}]+|[a-zA-Z0-9_.-]+"), lambda runs: F.array_distinct(F.concat(runs, F.flatten(F.transform(runs, parts)))))
 
 
 def jaccard_tokens(text: Column) -> Column:
@@ -64,13 +79,13 @@ def jaccard_tokens(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two token sets; 0 if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+    both = F.size(F.array_intersect(a, b))  # of distinct tokens
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
 
 
 def distinct_ignoring_case(tokens: Column) -> Column:
     """Tokens without later repeats, whatever their case; order kept."""
-    lows = F.transform(tokens, F.lower)
-    return F.filter(tokens, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
+    return let(tokens, lambda ts: let(F.transform(ts, F.lower), lambda lows: F.filter(ts, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)))
 
 
 def exact_terms(query: Column) -> Column:
@@ -137,8 +152,7 @@ def identifiers(text: Column) -> Column:
 
 def clean_for_index(text: Column) -> Column:
     """Plain text with the identifiers on a line of their own."""
-    ids = identifiers(text)
-    return F.when(F.size(ids) > 0, F.concat(clean_markdown(text), F.lit("\n"), F.array_join(ids, " "))).otherwise(clean_markdown(text))
+    return F.concat(clean_markdown(text), let(identifiers(text), lambda ids: F.when(F.size(ids) > 0, F.concat(F.lit("\n"), F.array_join(ids, " "))).otherwise("")))
 
 
 def _cut_out(text: Column, start: Column, end: Column) -> Column:

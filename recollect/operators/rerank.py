@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType
 
 from recollect.functions import text as T
 from recollect.operators.retrieval import top_k
-from recollect.session import cut_lineage
+from recollect.session import cut_lineage, spread_rows
 
 #: Weights of the signals (fixed values); the last is added on top.
 WEIGHTS = {"tfidf": 0.25, "coverage": 0.10, "phrase": 0.10, "title": 0.15, "position": 0.15, "together": 0.10, "original": 0.05}
@@ -78,8 +78,12 @@ def focused_density(query: Column, paras: Column, rare: Column) -> Column:
     """
     runs = T.all_matches(F.lower(query), f"[{T.CJK}]+|[a-zA-Z0-9_.-]+")
     high = F.array_distinct(F.filter(runs, lambda t: (F.length(t) >= 2) | F.array_contains(rare, t)))
-    share = lambda p: F.size(F.filter(high, lambda t: p["low"].contains(t) | p["flat"].contains(t))) / F.size(high)
-    return F.when(F.size(high) > 0, F.coalesce(F.array_max(F.transform(paras, share)), F.lit(0.0))).otherwise(F.lit(0.0))
+
+    def best(high: Column) -> Column:
+        share = lambda p: F.size(F.filter(high, lambda t: p["low"].contains(t) | p["flat"].contains(t))) / F.size(high)
+        return F.when(F.size(high) > 0, F.coalesce(F.array_max(F.transform(paras, share)), F.lit(0.0))).otherwise(F.lit(0.0))
+
+    return T.let(high, best)
 
 
 def signals(pool: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -92,6 +96,7 @@ def signals(pool: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     weights = terms.join(idf(docs, terms), "term").groupBy("query_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "idf")))).alias("idf"))
     n = pool.groupBy("query_id").agg(F.max("rank").alias("n"))
     x = pool.select("query_id", "doc_id", "rank").join(n, "query_id").join(q, "query_id").join(weights, "query_id", "left").join(docs.select("doc_id", "title", "raw", "page_type"), "doc_id")
+    x = spread_rows(x)
     x = x.withColumn("body", T.clean_markdown(F.lower(F.coalesce("raw", F.lit("")))))
     # written out step by step: every signal reads these columns, and an inlined expression
     # would be computed anew for each of them

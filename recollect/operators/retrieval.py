@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
+from recollect.functions.arrow import task_mapper
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -62,6 +63,74 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(T.bm25_tokens(F.coalesce("text", F.lit(""))))).alias("avg_dl"))
 
 
+# --- substrings -------------------------------------------------------------------------
+
+#: Characters of all distinct terms that are sent to every task; with more they are joined.
+SENT_CHARS = 4_000_000
+
+
+def find_terms(docs: DataFrame, terms: DataFrame, text: str = "text", sent: int = SENT_CHARS) -> DataFrame:
+    """(doc_id, low, count, pos): which of the terms, in lower case, stand in which documents.
+
+    ``terms`` is (low).  ``count`` is the number of occurrences that don't overlap, ``pos`` the first,
+    from 0.  The distinct terms of a query set are few: if they fit ``sent`` characters, one
+    automaton of all of them reads every text once.  Beyond that they meet the texts by
+    their rarest trigram, in a join.
+    """
+    wanted = terms.where("low <> ''").select("low").distinct()
+    if wanted.agg(F.coalesce(F.sum(F.length("low")), F.lit(0))).first()[0] > sent:
+        return _find_by_grams(docs, wanted, text)
+    words = [r.low for r in wanted.collect()]  # at most ``sent`` characters
+    body = docs.where(F.col(text).isNotNull()).select("doc_id", F.lower(text).alias("body"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def make():
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+
+        def f(keys: list, bodies: list):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for key, body in zip(keys, bodies):
+                found: dict[str, list[int]] = {}
+                for last, w in automaton.iter(body) if words else ():
+                    start = last - len(w) + 1
+                    seen = found.get(w)
+                    if seen is None:
+                        found[w] = [1, start, last]
+                    elif start > seen[2]:
+                        seen[0] += 1
+                        seen[2] = last
+                for w, (n, first, _) in found.items():
+                    for column, value in zip(out, (key, w, n, first)):
+                        column.append(value)
+            return out
+
+        return f
+
+    return task_mapper(body, [F.col("doc_id"), F.col("body")], f"doc_id {kind}, low string, count bigint, pos int", make)
+
+
+def _find_by_grams(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    sized = wanted.withColumn("g", F.least(F.length("low"), F.lit(3)))
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n))
+    grams = sized.select("low", F.explode(F.array_distinct(pieces("low", F.col("g")))).alias("gram"))
+    body = docs.where(F.col(text).isNotNull()).select("doc_id", F.lower(text).alias("body"))
+    none = F.array().cast("array<string>")
+    of = lambda n: F.when(F.length("body") >= n, F.array_distinct(pieces("body", F.lit(n)))).otherwise(none)
+    held = body.select("doc_id", F.explode(F.concat(of(3), of(2), of(1))).alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi")
+    common = held.groupBy("gram").agg(F.count("*").alias("c"))
+    need = grams.groupBy("low").agg(F.count("*").alias("need"))
+    key = grams.join(common, "gram").groupBy("low").agg(F.min(F.struct("c", "gram"))["gram"].alias("gram"), F.count("*").alias("have"))
+    key = key.join(need, "low").where("have = need").select("low", "gram")
+    found = held.join(key, "gram").select("doc_id", "low").join(body, "doc_id").where(F.col("body").contains(F.col("low")))
+    times = ((F.length("body") - F.length(F.replace("body", "low", F.lit("")))) / F.length("low")).cast("bigint")
+    return found.select("doc_id", "low", times.alias("count"), (F.instr("body", F.col("low")) - 1).alias("pos"))
+
+
 # --- R2: BM25 ---------------------------------------------------------------------------
 
 
@@ -70,60 +139,40 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, rounded: int = 4) ->
 
     Query tokens that repeat count again.  A document that holds the whole query, whatever
     the case, is boosted by 1.5, and by 1.3 more if the query has six or more characters.
-    The boost needs the texts, so they are joined only for documents that could still
-    reach the first k with it.  Null texts match nothing.
+    Null texts match nothing.
+
+    The texts are tokenised once; only tokens that some query has leave the scan, and the
+    few documents that hold a whole query are found apart, so no text is shuffled.
     """
-    post = postings(docs)
     terms = queries.select("query_id", F.explode(T.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    df = post.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs)  # one row
+    tokens = docs.select("doc_id", T.bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).select("doc_id", "tokens", F.size("tokens").alias("dl"))
+    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))  # one row
+    post = (
+        tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+        .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    )
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).select(
         "query_id", "term", "avg_dl", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("w")
     )
     part = F.col("w") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     plain = post.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
-    # a document below the k-th plain score divided by the largest boost can't enter
-    nth = top_k(plain, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    hopeful = plain.join(nth, "query_id").where((F.col("n") < k) | (F.col("score") * 1.5 * 1.3 >= F.col("least") * 0.999999))
-    both = hopeful.join(queries, "query_id").join(docs.select("doc_id", "text"), "doc_id")
-    low = F.lower("query")
-    holds = F.lower("text").contains(low)
-    boost = F.when(holds & (F.length(low) >= 6), F.lit(1.5) * 1.3).when(holds, 1.5).otherwise(1.0)
-    return top_k(both.select("query_id", "doc_id", F.round(F.col("score") * boost, rounded).alias("score")), k)
+    low = queries.select("query_id", F.lower("query").alias("low"))
+    holds = find_terms(docs, low).select("doc_id", "low").join(low, "low").select("query_id", "doc_id", F.length("low").alias("size"))
+    boost = F.when(F.col("size") >= 6, F.lit(1.5) * 1.3).when(F.col("size").isNotNull(), 1.5).otherwise(1.0)
+    scored = plain.join(holds, ["query_id", "doc_id"], "left")
+    return top_k(scored.select("query_id", "doc_id", F.round(F.col("score") * boost, rounded).alias("score")), k)
 
 
 # --- R4: exact --------------------------------------------------------------------------
 
 
 def exact(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text") -> DataFrame:
-    """Documents that hold the queries' exact terms as substrings.
-
-    A substring can begin anywhere, so there is no word key to join on.  The distinct terms of
-    all queries are matched against each document through the trigrams both hold: a term's
-    rarest trigram is the join key, and only documents that have it are searched.  Terms of
-    two characters are looked up by their pair of characters.
-    """
+    """Documents that hold the queries' exact terms as substrings."""
     terms = queries.select("query_id", F.posexplode(T.exact_terms(F.col("query"))).alias("n", "term")).withColumn("low", F.lower("term"))
-    wanted = terms.select("low").distinct().withColumn("g", F.when(F.length("low") >= 3, 3).otherwise(2))
-    grams = wanted.select("low", "g", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("g") + 1), lambda i: F.substring(F.col("low"), i, F.col("g")))).alias("gram"))
-    body = docs.where(F.col(text).isNotNull()).select("doc_id", F.lower(text).alias("body"))
-
-    def grams_of(n: int) -> Column:
-        size = F.length("body")
-        return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(F.col("body"), i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-
-    held = body.select("doc_id", F.explode(F.concat(grams_of(3), grams_of(2))).alias("gram")).join(grams.select("gram").distinct(), "gram", "left_semi")
-    common = held.groupBy("gram").agg(F.count("*").alias("c"))
-    key = grams.join(common, "gram").groupBy("low").agg(F.min(F.struct("c", "gram"))["gram"].alias("gram"), F.count("*").alias("have"))
-    all_grams = grams.groupBy("low").agg(F.count("*").alias("need"))
-    key = key.join(all_grams, "low").where("have = need").select("low", "gram")
-    found = held.join(key, "gram").select("doc_id", "low").join(body, "doc_id").where(F.col("body").contains(F.col("low")))
-    size, n = F.length("low"), (F.length("body") - F.length(F.replace("body", "low", F.lit("")))) / F.length("low")
-    scored = found.select("doc_id", "low", n.alias("count"), (F.instr("body", F.col("low")) - 1).alias("pos"), size.alias("size"))
-    term_score = (F.col("count") * 2.0 + 1.0 / (1.0 + F.col("pos") / 1000.0)) * (1.0 + F.col("size") / 20.0)
-    total = (
-        terms.join(scored, "low").groupBy("query_id", "doc_id").agg(F.sum(term_score).alias("s"), F.count("*").alias("m"), F.min(F.struct("n", "term"))["term"].alias("term"))
-    )
+    found = find_terms(docs, terms.select("low"), text)
+    term_score = (F.col("count") * 2.0 + 1.0 / (1.0 + F.col("pos") / 1000.0)) * (1.0 + F.length("low") / 20.0)
+    total = terms.join(found, "low").groupBy("query_id", "doc_id").agg(F.sum(term_score).alias("s"), F.count("*").alias("m"), F.min(F.struct("n", "term"))["term"].alias("term"))
     return top_k(total.select("query_id", "doc_id", F.round(F.col("s") * (1.0 + 0.3 * (F.col("m") - 1)), 4).alias("score"), "term"), k)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions import text as T
 from recollect.operators import retrieval, truth
 from recollect.plans.engine import Index
-from recollect.session import cut_lineage
+from recollect.session import cut_lineage, spread, spread_rows
 from recollect.sources.tables import table
 
 #: The time that operators take as now: the end of the tables' year.
@@ -17,7 +17,7 @@ AS_OF = 1767225600.0
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a text as (doc_id, title, text, raw, page_type)."""
-    x = table(spark, d, "documents").where("text is not null")
+    x = spread(table(spark, d, "documents")).where("text is not null")
     return x.select("doc_id", T.title_of(F.col("text")).alias("title"), "text", F.col("text").alias("raw"), F.lit("source").alias("page_type"))
 
 
@@ -58,4 +58,4 @@ def vault_index(spark: SparkSession, d: str) -> Index:
     pages = e.select("id", "name").join(truth.summaries(c).withColumnRenamed("entity_id", "id"), "id", "left").join(texts.withColumnRenamed("entity_id", "id"), "id", "left")
     names = e.select(F.col("id").alias("entity_id"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     edges = e.select(F.col("id").alias("entity_id"), F.explode("backlinks").alias("source_id"))
-    return Index(cut_lineage(retrieval.index_documents(sources(spark, d), pages)), names, edges)
+    return Index(cut_lineage(spread_rows(retrieval.index_documents(sources(spark, d), pages))), names, edges)

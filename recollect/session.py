@@ -42,3 +42,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="recollect-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over at least as many partitions as there are cores.
+
+    Files that are few and small would leave most cores idle in an expensive projection.  A
+    scan with enough splits, so any large one, is returned as it is.
+    """
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
+
+
+def spread_rows(rows: DataFrame) -> DataFrame:
+    """Few but expensive rows, over all cores and at least the session's shuffle partitions."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -96,6 +96,10 @@ def test_exact_against_brute_force(spark):
                 s = sum((c * 2.0 + 1 / (1 + p / 1000)) * (1 + len(w) / 20) for w, c, p in hits) * (1 + 0.3 * (len(hits) - 1))
                 want[i, k] = round(s, 4)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in got) and len(got) > 50
+    low = q.select(F.explode(T.exact_terms(F.col("query"))).alias("t")).select(F.lower("t").alias("low")).unionByName(spark.createDataFrame([("x",), ("aa",), ("",)], "low string"))
+    d = d.unionByName(spark.createDataFrame([("rep", "aaaaa xx")], "doc_id string, text string"))
+    one, many = (sorted(map(tuple, retrieval.find_terms(d, low, sent=n).collect())) for n in (10**6, 0))
+    assert one == many and ("rep", "aa", 2, 0) in one
 
 
 def test_vector_search_blocks_and_zero_vectors(spark):
