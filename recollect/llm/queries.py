@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import bpe, consensus, conversations, mixture, pii, ranking, residue, secrets, truncation
+from recollect.session import spread
 from recollect.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +17,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Each record and kind of personal information in it."""
     persons = pii.known_persons(table(spark, d, "vault_entities"))
-    return pii.found_kinds(pii.texts(table(spark, d, "agent_events"), table(spark, d, "vault_sources"), table(spark, d, "vault_claims")), persons)
+    return pii.found_kinds(pii.texts(spread(table(spark, d, "agent_events")), table(spark, d, "vault_sources"), table(spark, d, "vault_claims")), persons)
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The same records' texts with typed placeholders."""
     persons = pii.known_persons(table(spark, d, "vault_entities"))
-    texts = pii.texts(table(spark, d, "agent_events"), table(spark, d, "vault_sources"), table(spark, d, "vault_claims"))
+    texts = pii.texts(spread(table(spark, d, "agent_events")), table(spark, d, "vault_sources"), table(spark, d, "vault_claims"))
     return pii.redact(texts, ["rel", "row_key"], "text", persons)
 
 
@@ -52,13 +53,13 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The fields that hold a credential."""
-    fields = secrets.event_fields(table(spark, d, "agent_events")).unionByName(secrets.change_fields(table(spark, d, "umsf_raw")))
+    fields = secrets.event_fields(spread(table(spark, d, "agent_events"))).unionByName(secrets.change_fields(table(spark, d, "umsf_raw")))
     return secrets.fields_with_credentials(fields)
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The same fields' texts, redacted."""
-    fields = secrets.event_fields(table(spark, d, "agent_events")).unionByName(secrets.change_fields(table(spark, d, "umsf_raw")))
+    fields = secrets.event_fields(spread(table(spark, d, "agent_events"))).unionByName(secrets.change_fields(table(spark, d, "umsf_raw")))
     return secrets.redact_fields(fields)
 
 
@@ -79,27 +80,27 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The records whose text was cut."""
-    return truncation.cut_records(table(spark, d, "agent_events"), table(spark, d, "vault_claims"))
+    return truncation.cut_records(spread(table(spark, d, "agent_events")), table(spark, d, "vault_claims"))
 
 
 def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often each agent and the claim store cut."""
-    return truncation.rates(table(spark, d, "agent_events"), table(spark, d, "vault_claims"))
+    return truncation.rates(spread(table(spark, d, "agent_events")), table(spark, d, "vault_claims"))
 
 
 def p6_source_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often the records of each source are cut."""
-    return truncation.rates(table(spark, d, "agent_events"), table(spark, d, "vault_claims"), "source")
+    return truncation.rates(spread(table(spark, d, "agent_events")), table(spark, d, "vault_claims"), "source")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Each document's token ids."""
-    return bpe.encode_corpus(table(spark, d, "documents"))
+    return bpe.encode_corpus(spread(table(spark, d, "documents")))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mixture, with the pass and the tokens taken."""
-    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.mix(spread(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -109,12 +110,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that hold residue."""
-    return residue.residue(table(spark, d, "documents")).select("doc_id")
+    return residue.residue(spread(table(spark, d, "documents"))).select("doc_id")
 
 
 def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     """The documents without."""
-    return residue.clean(table(spark, d, "documents")).select("doc_id", "source", "text")
+    return residue.clean(spread(table(spark, d, "documents"))).select("doc_id", "source", "text")
 
 
 QUERIES: dict[str, Query] = {
