@@ -13,6 +13,8 @@ from recollect.functions import text as T
 from recollect.functions.arrow import task_mapper
 
 K1, B = 1.5, 0.75
+#: Parts of a token's list of documents.
+PARTS = 16
 RRF_K = 60
 
 
@@ -151,12 +153,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, rounded: int = 4) ->
         tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
         .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     )
+    # a common token meets very many documents, so each token's list is cut into parts by document
+    post = post.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    parallel = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    post = post.repartition(parallel, "term", "part")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).select(
         "query_id", "term", "avg_dl", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("w")
     )
-    part = F.col("w") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    plain = post.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
+    weighted = weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    gain = F.col("w") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    plain = post.join(weighted, ["term", "part"]).groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score")).where("score > 0")
     low = queries.select("query_id", F.lower("query").alias("low"))
     holds = find_terms(docs, low).select("doc_id", "low").join(low, "low").select("query_id", "doc_id", F.length("low").alias("size"))
     boost = F.when(F.col("size") >= 6, F.lit(1.5) * 1.3).when(F.col("size").isNotNull(), 1.5).otherwise(1.0)
