@@ -44,6 +44,11 @@ _DUMMY = re.compile(
 _REFERENCE = re.compile(r"^(?:os\.|process\.|env\b|env[.\[(]|getenv|config[.\[(]|settings[.\[(]|vault[.:/]|keyring|secrets?[.\[(:/]|ssm:|arn:|aws[-_]?sm|op://|ref\+|file:|/run/|/etc/|/var/|self\.|this\.|load\(|read\(|get\w*\(|\w+\(|input|\w+\.\w+\()", re.I)
 
 
+_CAMEL = re.compile(r"[A-Z]?[a-z]*(?:[_-]?[A-Z]{1,4}[a-z]{2,})*[A-Z]{0,3}(?:[_-][A-Z]?[a-z]+)*")
+_CODE = re.compile(r"[A-Z]{16,40}")
+_vowels = re.compile("[AEIOU]")
+
+
 def entropy(value: str) -> float:
     """Bits per character of the value's own letters."""
     n = len(value)
@@ -63,8 +68,9 @@ def _is_password(value: str) -> bool:
     # words joined by marks, paths and file names are names of things
     if re.fullmatch(r"[a-z]+(?:[-_.:/][a-z]+)*", value) or re.fullmatch(r"(?:[\w.-]+/)+[\w.-]+\.\w+", value):
         return False
-    mixed = any(c.islower() for c in value) and any(c.isupper() for c in value[1:])
-    return letters and (others or mixed and len(value) >= 10 and entropy(value) > 3)
+    # letters alone: capitals where no word, name or camel case has them
+    mixed = any(c.islower() for c in value) and any(c.isupper() for c in value[1:]) and not _CAMEL.fullmatch(value)
+    return letters and (others or mixed and len(value) >= 8 and entropy(value) > 2.5)
 
 
 def _is_key(value: str) -> bool:
@@ -72,7 +78,8 @@ def _is_key(value: str) -> bool:
     if len(value) < 16 or not _is_real(value) or not re.fullmatch(r"[\w.~+/=-]+", value):
         return False
     digits = sum(c.isdigit() for c in value)
-    if digits == 0 and not (any(c.islower() for c in value) and any(c.isupper() for c in value)):
+    code = bool(_CODE.fullmatch(value)) and len(_vowels.findall(value)) < 0.35 * len(value)
+    if digits == 0 and not code and not (any(c.islower() for c in value) and any(c.isupper() for c in value)):
         return False
     if re.fullmatch(r"[\d.:TZ+-]+", value) or re.fullmatch(r"(?:[\w.-]+/)+[\w.-]+\.\w{1,5}", value):
         return False
@@ -157,7 +164,7 @@ _issued = re.compile(
     r"(?<![A-Za-z0-9_/+.-])(?:"
     r"[a-z]{2,6}(?:[-_](?:live|prod|test|pat|key|sk|v\d))?[-_](?=[A-Za-z]*\d)[A-Za-z0-9]{20,}"  # ab-..., abc_live_...
     r"|(?:AKIA|ASIA|AIza)[A-Za-z0-9_-]{16,}"
-    r"|[A-Z]{3,4}(?=[A-Z]*[2-7])[A-Z2-7]{16,17}"  # a mark and base32, 20 in all
+    r"|[A-Z]{3,4}[A-Z2-7]{16,17}"  # a mark and base32, 20 in all
     r"|[0-9a-f]{8}\.[A-Za-z0-9]{22}"  # id and secret
     r")(?![A-Za-z0-9_/+=.-]*[A-Za-z0-9_/+])"
 )
@@ -177,6 +184,8 @@ _password_name = re.compile(r"pass|pwd|pw$", re.I)
 _name_end = re.compile(r"[\w.-]*$")
 _key_name = re.compile(r"secret|token|api[-_]?keys?$|apikey|access[-_]?key|private[-_]?key|signing|encryption[-_]?key|credential|auth|[_-]key$|^key$|[a-z]Key$|(?:^|[_-])pat$|hmac", re.I)
 _spoken = re.compile(r"\b(?:password|passwd|passphrase|pwd|secret|pin)(?: is| was|:)? ['\"`]?(?P<v>[^\s'\"`,;]+)", re.I)
+#: Sentences that hand over a key.
+_handed = re.compile(r"\b(?:accept(?:s|ed)|issued|rotated to|authenticated with|(?:token|key|secret|credential)(?: for \w+)? is) ['\"`]?(?P<v>[\w.~+/=-]{16,}?)(?=['\"`,;]|\.?(?:\s|$))", re.I)
 _flag = re.compile(r"--(?:password|passwd|pass|token|api-key|secret|auth-token|access-key)[ =]['\"]?(?P<v>[^\s'\"]+)", re.I)
 _attribute = re.compile(r"(?:name|key)=\"(?P<n>[^\"]*)\" value=\"(?P<v>[^\"]+)\"(?P<k>[^<>\n]*)")
 _header = re.compile(r"\b(?:X-[\w-]*(?:Key|Token|Secret)|Authorization|Api-Key|Private-Token)['\"]?\s*[:=]\s*['\"]?(?!Basic |Bearer |Token )(?P<v>[\w.~+/=-]{12,})", re.I)
@@ -234,6 +243,9 @@ def _plain(text: str) -> list[Span]:
             v = m[0]
             if any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v) and entropy(v) > 4 and not _checksum_line.search(low(m.start())):
                 add(*m.span())
+        for m in _handed.finditer(text) if "accept" in lower or " is " in lower or "issued" in lower or " with " in lower or "rotated" in lower else ():
+            if _is_key(m["v"]):
+                add(*m.span("v"))
         for m in _bearer.finditer(text):
             if _is_key(m[1]):
                 add(*m.span(1))
@@ -272,7 +284,7 @@ def _plain(text: str) -> list[Span]:
             add(*m.span("v"))
     for m in _spoken.finditer(text) if password or "secret " in lower or "pin " in lower else ():
         v = m["v"].rstrip(".")
-        if _is_password(v) and any(c.isdigit() or c in "!@#$%^&*" for c in v):
+        if _is_password(v):
             add(m.start("v"), m.start("v") + len(v))
     for m in _attribute.finditer(text) if 'value="' in text else ():
         if re.search(r"secret|password|token|key|hmac|sign", m["n"] + m["k"], re.I) and (_is_key(m["v"]) or re.search("pass", m["n"], re.I) and _is_password(m["v"])):
