@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable
 
@@ -100,7 +101,8 @@ _lead = re.compile(r"^(?:\s|[-*+>#|•]|\d+[.)]\s)+|[\s|]+$")
 _tag = re.compile(r"</?(?:html|head|title|body|div|p|h\d|span|main|section|center)\b[^<>]*>", re.I)
 _splitter = re.compile(r"(?<=[a-z0-9)\]}>%_\"'][.!?])\s+(?=\S)|(?<=[。！？])")
 _invisible = re.compile(r"[​-‏⁠﻿­]")
-_token = re.compile(r"[一-鿿]|[a-z]+|\d+|[^\w\s]")
+_words = re.compile(r"§\w+|[一-鿿]|[^\W\d_一-鿿]+(?:'[a-z]+)?|\d+")
+_letters = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+")
 
 #: A passage and how it stands: (text, features, trusted kind or '', barred).
 Passage = tuple[str, list[str], str, bool]
@@ -158,8 +160,8 @@ def features(passage: str) -> list[str]:
     text = _quoted.sub(" §quote ", passage) if _quote_mark.search(passage) else passage
     if _slot_mark.search(text):
         text = TITLED_SLOT.sub(" §slot ", SLOT.sub(" §slot ", text))
-    text = text.lower()
-    words = ["§n" if w.isdigit() else w for w in re.findall(r"§\w+|[一-鿿]|[a-z']+|\d+", text)]
+    text = unicodedata.normalize("NFC", text.lower())
+    words = ["§n" if w.isdigit() else w for w in _words.findall(text)]
     out = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
     out.add(f"§len{min(6, len(words) // 4)}")
     if _about.search(text):
@@ -168,9 +170,11 @@ def features(passage: str) -> list[str]:
 
 
 def barred(passage: str) -> bool:
-    """Speaks about such text, or quotes it: content whatever its words."""
-    bare = _bare(passage)
-    return bool(_about.search(bare)) or bare != passage and not slots(passage) and not passage.startswith("{")
+    """Speaks about such text: content whatever its words.
+
+    Words within quotes and code count for nothing in the score, so quoting needs no bar.
+    """
+    return bool(_about.search(_bare(passage)))
 
 
 class Model:
@@ -194,7 +198,7 @@ class Model:
         found = features(passage)
         score = self.score(found)
         kind = trusted(passage)
-        if not kind and (score < LEARNT or len(re.findall(r"[A-Za-z]+|[一-鿿]", passage)) < 4):
+        if not kind and (score < LEARNT or len(_letters.findall(passage)) < 4):
             return "", -1.0
         if barred(passage):
             return "", -1.0
