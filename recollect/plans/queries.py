@@ -96,6 +96,29 @@ _BM25 = f"""{_DOC_QUERIES},
   bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bo)"""
 
 
+def _sections(column: str, pick: int, other: str) -> str:
+    text = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return "CASE " + column + " " + " ".join(f"WHEN '{name}' THEN {text(found[pick])}" for name, found in L.SECTIONS.items()) + f" ELSE {other} END"
+
+
+_SPACE = _WS[2 : _WS.index("]+|")]
+#: X1, X3 in SQL, from a relation ``s`` of (id, content).
+_EXTRACT = rf"""l0 AS (SELECT id, unnest(range(1, len(p) + 1)) AS pos, unnest(p) AS line FROM (SELECT id, string_split({_strip("content")}, chr(10)) AS p FROM s WHERE content IS NOT NULL)),
+  l1 AS (SELECT id, pos, {_strip("line")} AS line FROM l0),
+  l2 AS (SELECT *, starts_with(line, '##') AS head FROM l1),
+  l3 AS (SELECT id, pos, line, head, coalesce(last_value(CASE WHEN head THEN lower({_strip("regexp_replace(line, '^#+', '')")}) END IGNORE NULLS) OVER w, '') AS section, sum(head::int) OVER w AS block
+    FROM l2 WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  ls AS (SELECT *, starts_with(line, '- ') AND length(line) > 10 AS item FROM l3 WHERE NOT head AND line <> '' AND NOT starts_with(line, '#')),
+  a AS (SELECT id, block, 0 AS part, pos AS n, {_strip("line[3:]")} AS text, 'list' AS kind, section, {_sections("section", 0, "0.4")} AS weight, {_sections("section", 1, "NULL")} AS tag FROM ls WHERE item),
+  b0 AS (SELECT id, block, section, string_split(regexp_replace(string_agg(line, ' ' ORDER BY pos), '([.!?。！？])[{_SPACE}]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM ls WHERE NOT item AND length(line) > 20 GROUP BY 1, 2, 3),
+  b1 AS (SELECT id, block, section, unnest(range(1, len(p) + 1)) AS n, {_strip("unnest(p)")} AS t FROM b0),
+  b2 AS (SELECT *, CASE WHEN {_signal("t", L.DECISION)} THEN 'decision' WHEN {_signal("t", L.FACT)} THEN 'fact' WHEN {_signal("t", L.RISK)} THEN 'risk' END AS sign, {_sections("section", 0, "0.4")} AS sw FROM b1 WHERE length(t) >= 15),
+  b AS (SELECT id, block, 1 AS part, n, t[:500] AS text, 'prose' AS kind, section, CASE sign WHEN 'decision' THEN 1.0 WHEN 'fact' THEN 0.7 WHEN 'risk' THEN 0.7 ELSE sw END AS weight, coalesce(sign, {_sections("section", 1, "NULL")}) AS tag
+    FROM b2 WHERE sign IS NOT NULL OR sw >= 0.7),
+  x AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY block, part, n)::INT AS ordinal, text, kind, section, weight::DOUBLE AS weight, tag,
+    CASE WHEN coalesce(tag, '') = 'decision' THEN 'stable' WHEN coalesce(tag, '') = 'todo' THEN 'temporary' WHEN {_signal("text", L.TEMPORARY)} THEN 'temporary' ELSE 'unknown' END AS durability,
+    {_polarity("text")} AS polarity, round(least(0.95, weight::DOUBLE / (weight::DOUBLE + 1)), 3) AS confidence FROM (SELECT * FROM a UNION ALL SELECT * FROM b))"""
+
 # --- text -------------------------------------------------------------------------------
 
 
@@ -316,7 +339,15 @@ def event_append(spark: SparkSession, d: str) -> DataFrame:
 # --- event documents --------------------------------------------------------------------
 
 
-@query()
+@query(
+    f"""WITH j AS (SELECT umsf_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM umsf_raw),
+    k AS (SELECT umsf_id, p, json_type(p) AS t, coalesce(json_type(p, '$.events'), 'NULL') AS te, coalesce(json_type(p, '$.actors'), 'NULL') AS ta, json_extract(p, '$.context') AS c0 FROM j),
+    m AS (SELECT *, CASE WHEN json_type(c0) = 'VARCHAR' AND json_valid(c0->>'$') THEN (c0->>'$')::JSON ELSE c0 END AS c,
+      CASE te WHEN 'ARRAY' THEN len(list_filter(json_extract(p, '$.events[*]'), lambda e: json_type(e) = 'OBJECT')) WHEN 'OBJECT' THEN 1 ELSE 0 END AS n FROM k)
+    SELECT umsf_id, CASE WHEN t IS NULL OR t <> 'OBJECT' THEN 'not a document' WHEN NOT starts_with(coalesce(p->>'$.schema', 'ak/v1'), 'ak/') THEN 'unknown schema'
+      WHEN coalesce(p->>'$.source_type', 'conversation') NOT IN {L.SOURCE_TYPES} THEN 'unknown source type' WHEN te NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN 'events is no list'
+      WHEN ta NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN 'actors is no list' WHEN n = 0 AND coalesce(p->>'$.summary', '') = '' AND coalesce(c->>'$.body', '') = '' THEN 'nothing to ingest' ELSE 'accepted' END AS verdict FROM m"""
+)
 def umsf_validate(spark: SparkSession, d: str) -> DataFrame:
     """each document's verdict."""
     parsed = umsf.parse(table(spark, d, "umsf_raw"))
@@ -391,7 +422,17 @@ def hook_tool(spark: SparkSession, d: str) -> DataFrame:
     return _fired(spark, d, "tool_use").select("event_id", "text", "tags")
 
 
-@query()
+@query(
+    f"""SELECT hook, count(*) AS fired FROM (
+      SELECT unnest(list_filter([
+        CASE WHEN "type" = 'message' AND coalesce(role, '') IN ('', 'user') AND length({_C}) >= 5 AND ({_signal(_C, L.PREFERENCE)} OR {_signal(_C, L.DIRECTIVE)} OR {_signal(_C, L.HOOK_FORESIGHT)}) THEN 'message' END,
+        CASE WHEN "type" = 'message' AND role = 'assistant' AND length({_C}) >= 5 AND ({_signal(_C, L.COMMITMENT)} OR {_signal(_C, L.CORRECTION)}) THEN 'response' END,
+        CASE WHEN "type" = 'tool_use' AND coalesce(name, '') <> '' THEN 'tool_use' END,
+        CASE WHEN "type" = 'error' AND (coalesce(error, '') <> '' OR {_C} <> '') THEN 'error' END,
+        CASE WHEN "type" IN ('decision', 'message') AND length({_C}) >= 5 AND {_signal(_C, L.HOOK_DECISION)} THEN 'decision' END,
+        CASE WHEN "type" = 'session_end' AND json_valid(metadata_json) AND coalesce(json_array_length(CASE WHEN json_valid(metadata_json) THEN metadata_json END, '$.messages'), 0) >= 2 THEN 'session' END],
+        lambda h: h IS NOT NULL)) AS hook FROM agent_events) GROUP BY 1"""
+)
 def hook_counts(spark: SparkSession, d: str) -> DataFrame:
     """H0."""
     return hooks.Registry().counts(table(spark, d, "agent_events"))
@@ -410,9 +451,9 @@ def hook_session(spark: SparkSession, d: str) -> DataFrame:
 # --- claims -----------------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH {_SOURCES}, {_EXTRACT} SELECT * FROM x")
 def claim_extract(spark: SparkSession, d: str) -> DataFrame:
-    """X1 to X4 over the sources; checked against a sequential version in the tests."""
+    """X1 to X4 over the sources."""
     return C.extract(corpus.sources(spark, d))
 
 
@@ -596,7 +637,10 @@ def dream_report(spark: SparkSession, d: str) -> DataFrame:
     return dream.report(dream.score(_candidates(spark, d), AS_OF))
 
 
-@query()
+@query(
+    f"""WITH {_SOURCES.replace("s AS (", "s0 AS (", 1)}, s AS (SELECT * FROM s0 WHERE ingested_at >= {AS_OF} - 90 * 24 * 3600), {_EXTRACT}
+    SELECT sha256(id || chr(31) || ordinal || chr(31) || text)[:8] AS claim_id, id AS source_id, ordinal, text, tag, durability, weight FROM x"""
+)
 def dream_light(spark: SparkSession, d: str) -> DataFrame:
     """Candidates from the last ninety days."""
     return dream.light(corpus.sources(spark, d), AS_OF, 24.0 * 90)
