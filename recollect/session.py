@@ -23,6 +23,11 @@ def local_session(cores: int | str = 8, name: str = "recollect", memory: str = "
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     spark = builder.config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # Python workers import the package by name, wherever they start
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    env["PYTHONPATH"] = os.pathsep.join([root, *(p for p in paths if p != root)])
     return spark
 
 
