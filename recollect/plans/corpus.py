@@ -21,6 +21,11 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", T.title_of(F.col("text")).alias("title"), "text", F.col("text").alias("raw"), F.lit("source").alias("page_type"))
 
 
+def whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, query): every document's whole text, for the row-wise text functions."""
+    return spread(table(spark, d, "documents")).where("text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def is_query(number: Column) -> Column:
     """The stated query set: rows whose id is divisible by 50."""
     return number % 50 == 0

@@ -158,15 +158,15 @@ def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, query AS original, array_to_string(list_filter(parts, lambda t: t <> '' AND NOT list_contains([{", ".join(repr(w) for w in L.QUERY_STOP_EN)}], lower(t))), ' ') AS keyword FROM k"""
 )
 def query_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    """T9, T12."""
-    return engine.rewrite(corpus.document_queries(spark, d)).select("query_id", "original", "keyword")
+    """T9, T12 of every document's whole text."""
+    return engine.rewrite(corpus.whole_texts(spark, d)).select("query_id", "original", "keyword")
 
 
 @query()
 def query_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    """T8, T10, T11."""
+    """T8, T10, T11 of every document's whole text."""
     q = F.col("query")
-    return corpus.document_queries(spark, d).select("query_id", T.exact_terms(q).alias("exact"), T.entity_query(q).alias("entity"), T.rerank_entities(q).alias("key_terms"), T.query_terms(q).alias("terms"))
+    return corpus.whole_texts(spark, d).select("query_id", T.exact_terms(q).alias("exact"), T.entity_query(q).alias("entity"), T.rerank_entities(q).alias("key_terms"), T.query_terms(q).alias("terms"))
 
 
 @query()
