@@ -1,8 +1,6 @@
 """Queries do the whole job: every row, whole texts, all signals."""
 
-from collections import Counter
-
-from pyspark.sql import functions as F
+import re
 
 from recollect.plans.registry import QUERIES
 
@@ -24,3 +22,14 @@ def test_identifiers_behind_the_first_words(spark, tmp_path):
     got = {r.query_id: r for r in QUERIES["query_identifiers"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 50, 3} and got[3].exact == []
     assert all(got[i].exact == got[i].key_terms == ["max_retry_count"] and "fails" in got[i].terms for i in (1, 50))
+
+
+def test_tokenize_keeps_every_token(spark, data):
+    """Raw tokens, then pairs of CJK characters, then mixed neighbours, however many."""
+    got = {r.doc_id: r for r in QUERIES["tokenize"](spark, data).collect()}
+    assert any(r.n_tokens > 20 for r in got.values())
+    for i, t in texts(spark, data).items():
+        raw = re.findall(r"[一-鿿]|[a-zA-Z0-9_.-]+", t.lower())
+        cjk = [x for x in raw if x >= "一"]
+        mixed = [a + b for a, b in zip(raw, raw[1:]) if (a >= "一") != (b >= "一")]
+        assert got[i].tokens == [*raw, *(a + b for a, b in zip(cjk, cjk[1:])), *mixed] and got[i].n_tokens == len(got[i].tokens)
