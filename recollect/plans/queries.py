@@ -12,6 +12,7 @@ from recollect.functions import text as T
 from recollect.operators import claims as C
 from recollect.operators import dream, entities, evaluate, events, graph, hooks, retrieval, truth, umsf
 from recollect.plans import corpus, engine
+from recollect.session import cut_lineage
 from recollect.sources import pull
 from recollect.sources.tables import table
 
@@ -608,12 +609,14 @@ def entity_link(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The active claims with their D3 cluster sizes and whether their entity is in several clusters."""
     c = truth.active(corpus.claims(spark, d)).where("text is not null")
-    size = table(spark, d, "dream_candidates").where("claim_id is not null").groupBy("claim_id").agg(F.max("cluster_size").alias("cluster_size"))
+    clustered = cut_lineage(dream.clusters(c.select("claim_id", "text", "created_at"), [F.col("created_at")]))
+    crossing = dream.across(clustered, c).withColumn("crosses", F.lit(True))
     zero = F.lit(0)
-    return c.join(size, "claim_id", "left").select(
+    return c.join(clustered, "claim_id").join(crossing, "entity_id", "left").select(
         "claim_id", "text", "tags", "durability", "created_at", "entity_id", F.coalesce(F.size(F.filter("evidence", lambda e: e.isNotNull())), zero).alias("evidence_count"),
-        F.coalesce(F.size(F.array_distinct(F.transform("evidence", lambda e: e["source_id"]))), zero).alias("source_count"), F.coalesce("cluster_size", F.lit(1)).alias("cluster_size"), F.lit(False).alias("crosses"),
+        F.coalesce(F.size(F.array_distinct(F.transform("evidence", lambda e: e["source_id"]))), zero).alias("source_count"), F.col("size").alias("cluster_size"), F.coalesce("crosses", F.lit(False)).alias("crosses"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+from recollect.plans.corpus import AS_OF
 from recollect.plans.registry import QUERIES
 
 
@@ -33,3 +34,42 @@ def test_tokenize_keeps_every_token(spark, data):
         cjk = [x for x in raw if x >= "一"]
         mixed = [a + b for a, b in zip(raw, raw[1:]) if (a >= "一") != (b >= "一")]
         assert got[i].tokens == [*raw, *(a + b for a, b in zip(cjk, cjk[1:])), *mixed] and got[i].n_tokens == len(got[i].tokens)
+
+
+def test_dream_scores_use_clusters_and_crossing(spark, data):
+    """D3 to D5 claim by claim, as the cycle does it."""
+    rows = {}
+    for r in spark.read.parquet(f"{data}/vault_claims.parquet").where("id is not null").collect():
+        rows.setdefault(r.id, r)
+    c = sorted((r for r in rows.values() if r.status == "active" and r.text is not None), key=lambda r: (r.created_at, r.id))
+    words = [set(re.findall(r"[一-鿿]|[a-zA-Z0-9_]+", r.text.lower())) for r in c]
+    of = [-1] * len(c)
+    for i in range(len(c)):
+        if of[i] < 0:
+            of[i] = i
+            for j in range(i + 1, len(c)):
+                if of[j] < 0 and words[i] and words[j] and len(words[i] & words[j]) / len(words[i] | words[j]) >= 0.3:
+                    of[j] = i
+    met = {}
+    for r, k in zip(c, of):
+        met.setdefault(r.entity_id, set()).add(k)
+    want, crossed, grouped = {}, 0, 0
+    for r, k in zip(c, of):
+        evidence = [e for e in r.evidence or [] if e is not None]
+        crosses = r.entity_id is not None and len(met[r.entity_id]) > 1
+        crossed, grouped = crossed + crosses, grouped + (of.count(k) > 1)
+        tags = r.tags or []
+        parts = (
+            0.24 * min(1, min(1, len(evidence) / 3) + min(0.3, (of.count(k) - 1) * 0.1)),
+            0.30 * next((v for t, v in (("decision", 0.9), ("learning", 0.8), ("action", 0.6), ("todo", 0.3)) if t in tags), 0.4),
+            0.15 * min(1, len({e.source_id for e in evidence}) / 2),
+            0.15 * 2 ** (-((AS_OF - r.created_at) / 86400) / {"temporary": 3, "stable": 30}.get(r.durability, 7)),
+            0.10 * (0.7 if r.entity_id is not None else 0.2),
+            0.06 * min(1, min(1, len(r.text) / 100) + 0.3 * crosses),
+        )
+        want[r.id] = sum(parts)
+    assert crossed and grouped
+    got = {r.claim_id: r for r in QUERIES["dream_score"](spark, data).collect()}
+    assert set(got) == set(want) and all(abs(got[i].score - s) < 2e-6 and got[i].promoted == (got[i].score >= 0.45) for i, s in want.items())
+    report = QUERIES["dream_report"](spark, data).first()
+    assert (report.candidates, report.promoted) == (len(want), sum(r.promoted for r in got.values())) and report.discarded == report.candidates - report.promoted
