@@ -13,6 +13,8 @@ from recollect.sources.tables import table
 
 #: The time that operators take as now: the end of the tables' year.
 AS_OF = 1767225600.0
+#: So many characters of a source are kept on disk; claims, entities and search read all.
+STORED_CHARS = 10_000
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -38,10 +40,10 @@ def document_queries(spark: SparkSession, d: str, words: int = 12) -> DataFrame:
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    """Sources once each, in their stored form (at most 10,000 characters)."""
+    """Sources once each, with their whole content."""
     x = table(spark, d, "vault_sources").where("id is not null")
     one = x.groupBy("id").agg(F.min(F.struct("ingested_at", "title", "content", "source_type", "path")).alias("r"))
-    return one.select("id", "r.title", F.substring("r.content", 1, 10_000).alias("content"), "r.source_type", "r.path", "r.ingested_at")
+    return one.select("id", "r.title", "r.content", "r.source_type", "r.path", "r.ingested_at")
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:

@@ -673,7 +673,7 @@ def foresight_expire(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SOURCES} SELECT id, title, length(content) AS stored_chars, source_type FROM s")
 def source_load(spark: SparkSession, d: str) -> DataFrame:
     """C2, C3."""
-    return corpus.sources(spark, d).select("id", "title", F.length("content").alias("stored_chars"), "source_type")
+    return corpus.sources(spark, d).select("id", "title", F.length(F.substring("content", 1, corpus.STORED_CHARS)).alias("stored_chars"), "source_type")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import re
 
+from recollect.plans import corpus
 from recollect.plans.corpus import AS_OF
 from recollect.plans.registry import QUERIES
 
@@ -73,3 +74,17 @@ def test_dream_scores_use_clusters_and_crossing(spark, data):
     assert set(got) == set(want) and all(abs(got[i].score - s) < 2e-6 and got[i].promoted == (got[i].score >= 0.45) for i, s in want.items())
     report = QUERIES["dream_report"](spark, data).first()
     assert (report.candidates, report.promoted) == (len(want), sum(r.promoted for r in got.values())) and report.discarded == report.candidates - report.promoted
+
+
+def test_sources_are_read_behind_the_stored_part(spark, data, tmp_path):
+    x = spark.read.parquet(f"{data}/vault_sources.parquet")
+    content = "filler line of words\n" * 600 + "\n## Decisions\n- We keep ticket ZQX-4711 open until May\n"
+    row = {f.name: None for f in x.schema} | {"id": "s1", "title": "t", "content": content, "ingested_at": AS_OF - 60.0}
+    spark.createDataFrame([tuple(row[f.name] for f in x.schema)], x.schema).write.parquet(f"{tmp_path}/vault_sources.parquet")
+    d = str(tmp_path)
+    for name in ("claim_extract", "dream_light"):
+        assert any("ZQX-4711" in r.text for r in QUERIES[name](spark, d).collect()), name
+    for name in ("entity_typed", "entity_extract"):
+        assert "ZQX-4711" in {r.name for r in QUERIES[name](spark, d).collect()}, name
+    assert corpus.sources(spark, d).first().content == content  # what the search index is made of
+    assert QUERIES["source_load"](spark, d).first().stored_chars == 10_000
