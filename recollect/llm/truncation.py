@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from recollect.functions.arrow import task_mapper
 from recollect.session import cut_lineage
 
-#: A candidate limit is a length that occurs at least so often and so many times as often
-#: as the lengths around it.
-LIMIT_COUNT, LIMIT_RATIO = 8, 6.0
+#: A candidate limit is a length that occurs so many times as often as the lengths around it,
+#: and whose excess over the fitted density has so much log-likelihood, besides the logarithm
+#: of the number of lengths that could have been one.
+LIMIT_RATIO, LIMIT_EXCESS = 6.0, 4.0
 #: Prior log-odds that a text whose length is no limit lost its rest in a transfer.
 TRANSFER = -4.0
 
@@ -45,6 +46,12 @@ OPEN = 7.0  # ends in words that no complete sentence of this opening ends in
 SEEN = -3.5  # ends like complete sentences that open alike
 LINE = -7.0  # a row that opens like rows that have no closing punctuation
 
+#: Shares, smoothed by one row: below the first of its rows closed, an opening is of lines; from
+#: the second on of its other rows ending alike, a close repeats; from the third on of its ends
+#: complete, a close is one of complete sentences; from the fourth on of its rows closed, an
+#: opening is one that punctuation closes.
+SELDOM, REPEATS, COMPLETE, CLOSED_SHARE = 0.2, 0.2, 0.8, 0.5
+
 _digits = re.compile(r"\d+(?:[.,]\d+)*")
 _ident = re.compile(r"`[^`]*`|https?://[^\s，。]+|(?:[A-Za-z0-9_-]+/)+[A-Za-z0-9_.-]+|[A-Za-z0-9]+_[A-Za-z0-9_]+")
 _word = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+(?:[-'][^\W_]+)*|[^\w\s]")
@@ -210,18 +217,22 @@ def censoring(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, float]
     lengths, counts = lengths[order], counts[order]
     total = counts.sum()
     out = []
-    for i in np.nonzero(counts >= LIMIT_COUNT)[0]:
+    needed = LIMIT_EXCESS + math.log(len(lengths) or 1)
+    excess = lambda n, expected: n * math.log(n / expected) - n + expected if n > expected else 0.0
+    for i in np.nonzero(counts >= 2)[0]:  # a length that occurs once has no excess
         limit, n = int(lengths[i]), int(counts[i])
         if limit < 60:  # shorter texts are replies, and repeat
             continue
         near = (np.abs(lengths - limit) <= 12) & (lengths != limit)
         around = counts[near].sum() / 24
-        if n < LIMIT_RATIO * max(around, 0.3):
+        if n < LIMIT_RATIO * around or excess(n, max(around, 1 / 24)) < needed:
             continue
         mu, sigma = log_normal_censored(lengths, counts, limit)
         z = (math.log(limit + 0.5) - mu) / sigma
         density = math.exp(-0.5 * z * z) / (sigma * math.sqrt(2 * math.pi)) / (limit + 0.5)
-        explained = max(density * total, around)
+        explained = max(density * total, around, 1e-6)
+        if excess(n, explained) < needed:
+            continue
         out.append((limit, min(0.999, max(0.001, 1 - explained / n))))
     return out
 
@@ -249,6 +260,7 @@ def decide(texts: DataFrame) -> DataFrame:
     def of(kind: str, **by: str) -> DataFrame:
         return counts.where(F.col("kind") == kind).select(*(F.col(old).alias(new) for old, new in by.items()), F.col("c").alias(kind))
 
+    open_closes = counts.where("kind = 'alike'").groupBy("closes").agg(F.sum("c").alias("open_closes"))
     lengths = scanned.where("row = 'len'").groupBy("rel", F.coalesce("origin", F.lit("")).alias("origin"), "n").agg(F.sum("c").alias("c"))
     open_texts = scanned.where("row = 'text'").withColumn("origin", F.coalesce("origin", F.lit(""))).drop("row", "c")
     both, loose = {"opens": "opens", "closes": "closes"}, {"opens": "opens1", "closes": "closes3"}
@@ -261,15 +273,24 @@ def decide(texts: DataFrame) -> DataFrame:
         .join(of("stops", opens="opens"), "opens", "left")
         .join(of("lines", opens="opens"), "opens", "left")
         .join(of("any", closes="closes"), "closes", "left")
+        .join(open_closes, "closes", "left")
     )
     n0 = lambda c: F.coalesce(F.col(c), F.lit(0))
     p = F.col("posterior")
     prior = F.when(p.isNotNull(), F.log(p / (1 - p))).otherwise(F.lit(TRANSFER))
+    # what other texts say: a piece doesn't count itself
+    own = F.col("kind").isin("open", "marked").cast("int")
+    others = lambda c, one=own: F.greatest(n0(c) - one, F.lit(0))
+    rows = others("lines", own * F.col("own_row").cast("int"))
+    unclosed = rows / (rows + n0("stops") + 1)
+    complete = n0("any") / (n0("any") + others("open_closes") + 1)
     # an opening is of lines if punctuation hardly ever closes it, and this close repeats
-    repeats = (n0("alike") >= 3) | (F.col("path") & (n0("lines") >= 2)) | ((n0("any") >= 5) & (n0("lines") >= 2) & (F.col("n") < 80))
-    line = F.col("own_row") & (n0("stops") < 0.2 * n0("lines")) & repeats
-    rare = F.col("own_row") & (n0("stops") < 15) & (n0("any") >= 5)  # too few of its kind: the close alone must do
-    seen = (n0("done") > n0("alike")) | (n0("loose") > n0("alike3")) | rare
+    repeats = (others("alike") >= REPEATS * (rows + 1)) | (F.col("path") & (unclosed >= 0.5)) | ((complete >= COMPLETE) & (unclosed >= 0.5) & (F.col("n") < 80))
+    line = F.col("own_row") & (n0("stops") < SELDOM * (rows + 1)) & repeats
+    # one row more, so that a single meeting of words decides nothing
+    ends_alike = (n0("done") > others("alike") + 1) | (n0("loose") > others("alike3") + 1)
+    # an opening that is not known to be closed by punctuation: the close alone must do
+    seen = ends_alike | (F.col("own_row") & (n0("stops") < CLOSED_SHARE * (rows + n0("stops") + 1)) & (complete >= COMPLETE))
     evidence = (
         F.when(F.col("kind") == "broken", BROKEN)
         .when(F.col("kind") == "marked", F.when(line & (F.col("n") < 60), LINE).otherwise(MARKED))
