@@ -1,19 +1,23 @@
 """Template residue, filler, error pages and notices that scripts are needed.
 
-Method: positive-unlabelled naive Bayes.  Records are cut into passages.  Passages that
-are trusted residue (an open slot of a template, a standard error line, filler known as
-such) are the positives, all others are unlabelled.  Expectation-maximisation learns word
-probabilities of residue and of content from a bounded sample: the unlabelled passages'
-posteriors are re-estimated until they settle, so that lines which keep the company of
-trusted ones, and share their words, join them.  Every passage of the corpus is then
-scored with the model, and a record is residue if any of its passages is.
-
-A passage that quotes, shows or discusses such text is content: quoted spans, code and
-sentences that speak about errors or slots are recognised before scoring, and their
-words enter the model in a form of their own.
-
-The sample is the documented bound: ``SAMPLE`` passages of distinct form, chosen by hash
-from all of the corpus; scoring covers every passage of every record.
+Method: positive-unlabelled naive Bayes.  Records are cut into passages: the sentences
+outside code blocks, and each slot of a template with the words beside it.  Passages that
+are trusted residue (an open slot that is not quoted, a standard error line, filler known
+as such) are the positives, quoted slots are content, all others are unlabelled.
+Expectation-maximisation learns from a bounded sample how much more often each word, pair
+of words and form stands in residue than in content: the unlabelled passages' posteriors
+are re-estimated until they settle, so that lines that share the words of trusted ones
+join them.  Every passage of the corpus is then scored with the model alone: trust counts
+for nothing in the score, it only labels the sample.  A record is residue if one of its
+passages is more likely residue than not.
+
+Residue may stand at the edge of a content line, so a passage's score is the best of the
+whole, its beginnings and its ends.  Quoted spans count as one form each, whatever they say.
+
+The documented bound of the fit is ``SAMPLE`` records, chosen by hash from the whole
+corpus, with at most ``FORMS`` distinct passages.  A sample keeps the corpus' proportions,
+so the model does not depend on how large the corpus is.  Scoring covers every passage of
+every record.
 """
 
 from __future__ import annotations
@@ -30,15 +34,21 @@ from pyspark.sql import functions as F
 
 from recollect.functions.arrow import task_mapper
 
-#: At most so many distinct passages are fitted on, of each kind.
-SAMPLE = 60_000
+#: At most so many records are fitted on, with at most so many distinct passages.
+SAMPLE, FORMS = 20_000, 200_000
 ROUNDS = 12
-#: Share of passages expected to be residue, before any evidence.
-PRIOR = 0.02
-#: Log-odds from which on a passage is residue.
-THRESHOLD = 3.0
-#: The same for passages of a form that isn't trusted, and what trust adds.
-LEARNT, TRUST = 8.0, 12.0
+#: Share of the unlabelled passages expected to be residue, before any evidence.
+PRIOR = 0.002
+#: Log-odds from which on a passage is residue: it is more likely so than not.
+THRESHOLD = 0.0
+#: Seen so often in residue, as a share of one passage, is what was never seen there.
+SMOOTHING = 0.02
+#: One feature's log-odds are at most so large.
+BOUND = 6.0
+#: Words and pairs overlap, so each counts half.
+HALF = 0.5
+#: Words of the least beginning or end of a passage that is scored apart.
+EDGE = 4
 
 # --- open slots -------------------------------------------------------------------------
 
@@ -79,33 +89,30 @@ _SCRIPT = (
     r"^请(?:先)?(?:启用|开启|打开)\s?(?:javascript|脚本).{0,20}$|^(?:您|你)的浏览器不支持.{0,24}$|^(?:正在检查|请完成)(?:您的浏览器|人机验证|安全验证).{0,20}$",
 )
 _FILLER = (
-    r"^(?:lorem ipsum\b|.*\blorem ipsum dolor\b).*",
+    r"^lorem ipsum dolor\b.*",
     r"^(?:sample text\W*){2,}$|^(?:body copy|headline|your text|text|content|title) goes here\b.{0,20}$|^replace this (?:paragraph|text)\b.{0,40}$|^this is (?:a )?(?:dummy|placeholder|sample|filler) (?:paragraph|text|copy)\b.*",
     r"^(?:x{2,}\s*){3,}$|^(?:(?:asdf|qwer|jkl;?|zxcv|hjkl|fdsa|uiop)\s*){3,}$|^(?:test\s*){2,}(?:\d+\s*)?(?:test\s*)*$|^(?:blah\s*){2,}$",
     r"^(?:此处为示例文字[，,。]?)+$|^这里是占位(?:内容|文字).{0,12}$|^(?:测试){2,}.{0,12}$|^.{0,6}随便写点内容.{0,3}$",
 )
 SEEDS = [(kind, re.compile("|".join(f"(?:{p})" for p in patterns), re.I)) for kind, patterns in (("error", _ERROR), ("script", _SCRIPT), ("filler", _FILLER))]
 
-_lorem = re.compile("lorem ipsum", re.I)
+#: A passage that holds all of these words is filler (fixed values).
+FILLER_WORDS = frozenset(("lorem", "ipsum", "dolor"))
 
 # --- quoting ----------------------------------------------------------------------------
 
 _quoted = re.compile(r"`[^`\n]+`|\"[^\"\n]{3,160}\"|“[^”\n]{2,160}”|「[^」\n]{2,160}」|'[^'\n]{6,160}'")
-_about = re.compile(
-    r"\b(?:f-strings?|regex|renderer|template engine|placeholder names|open slots|braces|lint (?:step|rule)|means (?:the|that)|made up|of the crawl|links to|saw|sees|logs?|logged|returned?|reports?|when a|we (?:agreed|test|treat|count)|such as|instead of|rejected|replaces)\b"
-    r"|说明|提示，|记为|模板里|表示|变量|我们把|得到",
-    re.I,
-)
 _fence = re.compile(r"^\s*(?:```|~~~)")
 _lead = re.compile(r"^(?:\s|[-*+>#|•]|\d+[.)]\s)+|[\s|]+$")
 _tag = re.compile(r"</?(?:html|head|title|body|div|p|h\d|span|main|section|center)\b[^<>]*>", re.I)
 _splitter = re.compile(r"(?<=[a-z0-9)\]}>%_\"'][.!?])\s+(?=\S)|(?<=[。！？])")
 _invisible = re.compile(r"[​-‏⁠﻿­]")
+#: Names of things, which say nothing about a passage: paths, addresses, identifiers, hashes.
+_name_of = re.compile(r"https?://\S+|(?:[\w.-]*/)+[\w.-]*\w|\w+_\w+|\b(?=[a-f0-9]*\d)[a-f0-9]{6,}\b", re.A)
 _words = re.compile(r"§\w+|[一-鿿]|[^\W\d_一-鿿]+(?:'[a-z]+)?|\d+")
-_letters = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+")
 
-#: A passage and how it stands: (text, features, trusted kind or '', barred).
-Passage = tuple[str, list[str], str, bool]
+#: What is scored: (features, kind of trusted residue or '').
+Unit = tuple[list[str], str]
 
 
 def passages(text: str) -> list[str]:
@@ -127,168 +134,192 @@ def passages(text: str) -> list[str]:
 _quote_mark = re.compile("[`\"“「']")
 
 
-def _bare(passage: str) -> str:
-    """The passage without quoted spans and code."""
-    if not _quote_mark.search(passage):
-        return passage
-    return _quoted.sub(" § ", passage)
+def words(text: str) -> list[str]:
+    """The words in order; names of things, numbers, slots and quoted spans as forms."""
+    return ["§n" if w.isdigit() else w for w in _words.findall(unicodedata.normalize("NFC", _name_of.sub(" §id ", text).lower()))]
+
+
+def _quotes(passage: str) -> list[tuple[int, int]]:
+    """Spans of quoted text and code."""
+    return [m.span() for m in _quoted.finditer(passage)] if _quote_mark.search(passage) else []
 
 
-def slots(passage: str) -> bool:
-    """An unquoted slot that nobody filled."""
+def slots(passage: str) -> list[tuple[int, int]]:
+    """Spans of slots, open or quoted."""
     if not _slot_mark.search(passage):
-        return False
-    bare = _bare(passage)
-    return bool(SLOT.search(bare) or TITLED_SLOT.search(bare))
+        return []
+    return sorted(m.span() for regex in (SLOT, TITLED_SLOT) for m in regex.finditer(passage))
+
+
+def masked(passage: str) -> list[str]:
+    """The words of a passage, with quoted spans and slots as one word each.
+
+    A body of braces is data as it stands: its quotation marks quote nothing.
+    """
+    if not passage.startswith("{") and _quote_mark.search(passage):
+        passage = _quoted.sub(" §quote ", passage)
+    if _slot_mark.search(passage):
+        passage = TITLED_SLOT.sub(" §open ", SLOT.sub(" §open ", passage))
+    return words(passage)
+
+
+def _shape(n: int) -> str:
+    """The form of a passage of ``n`` words."""
+    return f"§len{min(6, n // 4)}"
+
+
+def features(passage: str) -> list[str]:
+    """Words, pairs of words, also with the passage's ends, and its length."""
+    own = masked(passage)
+    return sorted({*own, *(f"{a} {b}" for a, b in zip(["^", *own], [*own, "$"])), _shape(len(own))})
+
+
+def slot_features(passage: str, span: tuple[int, int], quoted: bool) -> list[str]:
+    """A slot's notation, the words beside it, and whether it is quoted."""
+    a, b = span
+    before, after = words(passage[:a])[-1:], words(passage[b:])[:1]
+    out = {"§slot", "§notation " + re.sub(r"[\w\s]", "", passage[a:b])[:2], "§before " + "".join(before), "§after " + "".join(after)}
+    return sorted(out | {"§quoted"}) if quoted else sorted(out)
 
 
 def trusted(passage: str) -> str:
-    """'slot', 'error', 'script', 'filler' or ''."""
-    if slots(passage) and not _about.search(_bare(passage)):
-        return "slot"
-    if passage[:1] in "\"'`“「" and not passage.startswith("{"):
+    """'error', 'script', 'filler' or '': the kind of a line that is residue as such."""
+    if passage[:1] in "\"'`“「":
         return ""
-    if len(passage) <= 240 or _lorem.search(passage):  # a standard line is short
-        for kind, regex in SEEDS:
-            if regex.search(passage):
-                return kind
-    return ""
+    for kind, regex in SEEDS:
+        if regex.search(passage):
+            return kind
+    return "filler" if FILLER_WORDS <= set(masked(passage)) else ""
 
 
-def features(passage: str) -> list[str]:
-    """Words, pairs of words and forms; quoted spans, slots and numbers as one form each."""
-    text = _quoted.sub(" §quote ", passage) if _quote_mark.search(passage) else passage
-    if _slot_mark.search(text):
-        text = TITLED_SLOT.sub(" §slot ", SLOT.sub(" §slot ", text))
-    text = unicodedata.normalize("NFC", text.lower())
-    words = ["§n" if w.isdigit() else w for w in _words.findall(text)]
-    out = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
-    out.add(f"§len{min(6, len(words) // 4)}")
-    if _about.search(text):
-        out.add("§about")
-    return sorted(out)
-
-
-def barred(passage: str) -> bool:
-    """Speaks about such text: content whatever its words.
-
-    Words within quotes and code count for nothing in the score, so quoting needs no bar.
-    """
-    return bool(_about.search(_bare(passage)))
+def _slot_units(passage: str) -> list[Unit]:
+    spans, quotes = slots(passage), _quotes(passage)
+    quoted = [any(x <= a and b <= y for x, y in quotes) for a, b in spans]
+    return [(slot_features(passage, s, q), "" if q else "slot") for s, q in zip(spans, quoted)]
+
+
+def units(passage: str) -> list[Unit]:
+    """The slots of a passage and the passage itself, which says nothing of its slots' kind."""
+    return [*_slot_units(passage), (features(passage), trusted(passage))]
 
 
 class Model:
-    """Log-odds of features; those never met say nothing."""
+    """Log-odds of features; ``rest`` is that of features hardly ever met."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, rest: float = 0.0):
+        self.weights, self.bias, self.rest = weights, bias, rest
+        self._hopeful = {f for f, w in weights.items() if w > 0 and not f.startswith("§len")}
 
     def score(self, found: list[str]) -> float:
-        """Log-odds, with the features' sum tempered: they overlap, so they count by the root."""
-        known = [w for f in found if (w := self.weights.get(f)) is not None]
-        return self.bias + sum(known) / math.sqrt(max(1, len(known)) / 2) if known else self.bias
-
+        """Log-odds of a passage's features."""
+        return self.bias + HALF * sum(self.weights.get(f, self.rest) for f in found)
+
+    def passage(self, own: list[str]) -> float:
+        """Log-odds of a passage's words: the best of the whole, its beginnings and its ends."""
+        pairs = [f"{a} {b}" for a, b in zip(["^", *own], [*own, "$"])]
+        if self._hopeful.isdisjoint(own) and self._hopeful.isdisjoint(pairs):
+            return self.bias
+        get, rest = self.weights.get, self.rest
+        best = sum(get(f, rest) for f in {*own, *pairs, _shape(len(own))})
+        word, pair = [get(w, rest) for w in own], [get(p, rest) for p in pairs]
+        head = tail = 0.0
+        for i in range(len(own) - 1):
+            head += word[i] + pair[i]
+            tail += word[-1 - i] + pair[-1 - i]
+            if i >= EDGE - 1:
+                best = max(best, head, tail)
+        return self.bias + HALF * best
 
     def verdict(self, passage: str) -> tuple[str, float]:
-        """(trusted kind, score) of a passage; a score below zero for content.
-
-        What only the model knows must be a passage of some words, not a heading, and
-        needs ``LEARNT`` log-odds.
-        """
-        found = features(passage)
-        score = self.score(found)
-        kind = trusted(passage)
-        if not kind and (score < LEARNT or len(_letters.findall(passage)) < 4):
-            return "", -1.0
-        if barred(passage):
-            return "", -1.0
-        return kind, score + (TRUST if kind else 0.0)
+        """(kind, score) of a passage: the kind of its best part, 'learnt' if that is not trusted."""
+        kind, score = "", self.passage(masked(passage))
+        for found, slot in _slot_units(passage):
+            if (s := self.score(found)) > score:
+                kind, score = slot, s
+        return (kind or trusted(passage) or "learnt") if score > THRESHOLD else "", score
 
 
 def fit(forms: list[list[str]], weights: list[float], positive: list[bool], rounds: int = ROUNDS) -> Model:
     """Positive-unlabelled naive Bayes by expectation-maximisation.
 
     ``forms`` are the passages' features, ``weights`` how often each occurs, ``positive``
-    the trusted ones, whose posterior stays 1.  No trusted passage: nothing is residue.
+    the trusted ones, whose posterior stays 1; that of quoted slots stays 0.  The prior of an
+    unlabelled passage is the share of residue among the unlabelled.  All evidence is relative:
+    weights a hundred times as large give the same model, but for the smoothing of rare words.
+    No trusted passage: nothing is residue.
     """
     if not any(positive):
         return Model({}, -10.0)
+    known = np.array(positive)
+    never = np.array(["§quoted" in f for f in forms])
+    w = np.array(weights, dtype=float)
     count: Counter = Counter()
-    for f in forms:
-        count.update(f)
-    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in count.items() if n >= 2))}
-    rows, cols = [], []
-    for r, f in enumerate(forms):
+    for f, n, y in zip(forms, weights, positive):
         for x in f:
-            if x in vocabulary:
-                rows.append(r)
-                cols.append(vocabulary[x])
-    r, c = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
-    w = np.minimum(np.array(weights, dtype=float), 20.0)  # repeats of one form say little more
-    known = np.array(positive)
+            count[x] += 2 * n if y else n
+    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in count.items() if n >= 2))}
+    at = [(r, i) for r, f in enumerate(forms) for x in f if (i := vocabulary.get(x)) is not None]
+    r, c = np.array(at, dtype=np.int64).reshape(-1, 2).T
     n = len(vocabulary)
-    post = np.where(known, 1.0, 0.0)
-    odds, bias = np.zeros(n), math.log(PRIOR / (1 - PRIOR))
-    per_row = np.bincount(r, minlength=len(forms)).astype(float)
+    rare = np.array([sum(x not in vocabulary for x in f) for f in forms])
+    post, share = known.astype(float), PRIOR
     for _ in range(rounds):
         p, q = w * post, w * (1 - post)
-        yes = np.bincount(c, weights=p[r], minlength=n) + 0.1
-        no = np.bincount(c, weights=q[r], minlength=n) + 0.1
-        odds = np.log(yes / (p.sum() + 1)) - np.log(no / (q.sum() + 1))
-        share = np.clip(p.sum() / (p.sum() + q.sum()), 0.001, 0.3)
-        bias = math.log(share / (1 - share))
-        s = bias + np.bincount(r, weights=odds[c], minlength=len(forms)) / np.sqrt(np.maximum(1, per_row) / 2)
-        new = np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(s, -40, 40))))
+        yes, no = np.bincount(c, weights=p[r], minlength=n), np.bincount(c, weights=q[r], minlength=n)
+        ratio = q.sum() / p.sum()
+        odds = np.log((yes + SMOOTHING) / (p.sum() + 1)) - np.log((no + SMOOTHING * ratio) / (q.sum() + ratio))
+        odds = np.clip(odds, -BOUND, BOUND)
+        # a word met once, in content
+        rest = math.log(SMOOTHING / (p.sum() + 1)) - math.log((1 + SMOOTHING * ratio) / (q.sum() + ratio))
+        s = math.log(share / (1 - share)) + HALF * (np.bincount(r, weights=odds[c], minlength=len(forms)) + rest * rare)
+        new = np.where(known, 1.0, np.where(never, 0.0, 1 / (1 + np.exp(-np.clip(s, -40, 40)))))
         settled = np.abs(new - post).max() < 1e-4
         post = new
+        if not known.all():
+            share = min(0.5, max(1e-4, float((w * post)[~known].sum() / w[~known].sum())))
         if settled:
             break
-    return Model(dict(zip(vocabulary, odds.round(4).tolist())), bias)
+    residue_share = min(0.5, max(1e-4, float((w * post).sum() / w.sum())))
+    return Model(dict(zip(vocabulary, odds.round(4).tolist())), math.log(residue_share / (1 - residue_share)), round(rest, 4))
 
 
-def learn(documents: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """The model of a corpus, fitted on at most ``sample`` trusted and ``sample`` unlabelled forms.
+def learn(documents: DataFrame, text: str = "text", sample: int = SAMPLE, forms: int = FORMS) -> Model:
+    """The model of a corpus, fitted on about ``sample`` of its records, at most ``forms`` distinct passages.
 
-    A form is a passage with its names and numbers masked.  Forms are counted over all
-    records; those with the smallest hashes are the sample, so it does not depend on the
-    order or number of rows, and no more than twice ``sample`` rows reach the driver.
+    Records are chosen by the hash of their text, so the sample does not depend on the order
+    of rows and holds the kinds of passages in the corpus' proportions.  Its passages are
+    counted by their features; only the distinct ones reach the driver.
     """
+    rows = documents.select(F.col(f"`{text}`").alias("text")).where("text is not null")
+    share = sample / max(1, rows.count())
+    if share < 1:
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 11) < F.lit(int(share * (1 << 53))))
 
     def make() -> Callable:
         def f(texts: list):
-            forms: Counter = Counter()
+            found: Counter = Counter()
             for t in texts:
-                if t and t.strip():
-                    for p in passages(t):
-                        forms["\x1f".join(features(p)), bool(trusted(p)) and not barred(p)] += 1
-            keys = list(forms)
-            return [k for k, _ in keys], [y for _, y in keys], [forms[k] for k in keys]
+                for p in passages(t):
+                    for own, kind in units(p):
+                        found["\x1f".join(own), bool(kind)] += 1
+            return [k for k, _ in found], [y for _, y in found], list(found.values())
 
         return f
 
-    forms = task_mapper(documents, [F.col(f"`{text}`")], "form string, positive boolean, n bigint", make)
-    forms = forms.groupBy("form", "positive").agg(F.sum("n").alias("n"))
-    chosen = None
-    for y in (True, False):
-        part = forms.where(F.col("positive") == y).orderBy(F.xxhash64("form"), "form").limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = sorted((r.form, r.positive, r.n) for r in chosen.collect())
-    return fit([_split(r[0]) for r in rows], [r[2] for r in rows], [r[1] for r in rows])
-
-
-def _split(form: str) -> list[str]:
-    """Features of a form."""
-    return form.split("\x1f")
+    counted = task_mapper(rows, [F.col("text")], "form string, positive boolean, n bigint", make)
+    counted = counted.groupBy("form", "positive").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("form"), "form", "positive").limit(forms)
+    chosen = sorted((r.form, r.positive, r.n) for r in counted.collect())
+    return fit([r[0].split("\x1f") for r in chosen], [r[2] for r in chosen], [r[1] for r in chosen])
 
 
 def judge(text: str | None, model: Model, threshold: float = THRESHOLD) -> list[tuple[str, float, str]]:
-    """(passage, score, trusted kind) of the residue passages of a record."""
+    """(passage, score, kind) of the residue passages of a record."""
     out = []
     if not text or not text.strip():
         return out
     for p in passages(text):
         kind, score = model.verdict(p)
-        if score >= threshold:
+        if score > threshold:
             out.append((p, round(score, 3), kind))
     return out
 
@@ -308,7 +339,7 @@ def residue(documents: DataFrame, model: Model | None = None, key: str = "doc_id
             for k, t in zip(keys, texts):
                 if found := judge(t, model):
                     _, score, kind = max(found, key=lambda x: x[1])
-                    for column, value in zip(out, (k, len(found), score, kind or "learnt")):
+                    for column, value in zip(out, (k, len(found), score, kind)):
                         column.append(value)
             return out
 

@@ -1,10 +1,12 @@
-"""Verdicts on cut texts rest on shares, not on how many texts there are."""
+"""Verdicts rest on shares, not on how many texts there are."""
 
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from recollect.llm import truncation
+from recollect.llm import residue, truncation
 
 
 def test_few_texts_can_show_a_limit():
@@ -43,3 +45,39 @@ def test_an_opening_closed_a_few_times_does_not_hide_a_cut(spark):
 def test_lines_stay_lines(spark):
     rng = random.Random(4)
     assert cut_keys(spark, ["run the tests"] * 4 + [words(rng, 9) + "." for _ in range(50)]) == set()
+
+
+def notes(rng, n):
+    """Notes of which a tenth hold residue: (id, text)."""
+    parts = ["the cache layer", "a graph merge", "one event queue", "our claim store"]
+    lines = [f"{rng.choice(parts)} {rng.choice(['was rebuilt', 'kept retrying', 'lost its lock'])} after {i} runs." for i in range(n)]
+    bad = ["Access denied.", "502 Bad Gateway", "Body copy goes here.", "Dear {{ name }},", "Please enable JavaScript to view this vault."]
+    return [(i, f"{t}\n{rng.choice(bad)}" if i % 10 == 0 else f"{t}\nthe server said \"Access denied.\" twice") for i, t in enumerate(lines)]
+
+
+@pytest.mark.parametrize("times", [10, 100])
+def test_residue_grows_in_proportion_with_the_corpus(spark, times):
+    df = spark.createDataFrame(notes(random.Random(5), 300), "doc_id bigint, text string")
+    many = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    once = {r.doc_id for r in residue.residue(df).collect()}
+    assert once == set(range(0, 300, 10))
+    found = residue.residue(many).groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in found} == once and {r["count"] for r in found} == {times}
+
+
+def test_a_sample_of_the_corpus_gives_the_same_residue(spark):
+    df = spark.createDataFrame(notes(random.Random(6), 3000), "doc_id bigint, text string")
+    whole = residue.residue(df, residue.learn(df)).select("doc_id").collect()
+    part = residue.residue(df, residue.learn(df, sample=600)).select("doc_id").collect()
+    assert set(whole) == set(part) == {(i,) for i in range(0, 3000, 10)}
+
+
+def test_counts_a_hundred_times_as_large_change_no_verdict():
+    texts = [t for _, t in notes(random.Random(7), 500)]
+    counted = [(u, k) for t in texts for p in residue.passages(t) for u, k in residue.units(p)]
+    forms, kinds = [u for u, _ in counted], [bool(k) for _, k in counted]
+    verdicts = []
+    for n in (1.0, 10.0, 100.0):
+        model = residue.fit(forms, [n] * len(forms), kinds)
+        verdicts.append([bool(residue.judge(t, model)) for t in texts])
+    assert verdicts[0] == verdicts[1] == verdicts[2] and sum(verdicts[0]) == 50
