@@ -49,6 +49,8 @@ BOUND = 6.0
 HALF = 0.5
 #: Words of the least beginning or end of a passage that is scored apart.
 EDGE = 4
+#: Verdicts a task remembers, so as not to judge a passage twice.
+MEMO = 50_000
 
 # --- open slots -------------------------------------------------------------------------
 
@@ -108,7 +110,8 @@ _tag = re.compile(r"</?(?:html|head|title|body|div|p|h\d|span|main|section|cente
 _splitter = re.compile(r"(?<=[a-z0-9)\]}>%_\"'][.!?])\s+(?=\S)|(?<=[。！？])")
 _invisible = re.compile(r"[​-‏⁠﻿­]")
 #: Names of things, which say nothing about a passage: paths, addresses, identifiers, hashes.
-_name_of = re.compile(r"https?://\S+|(?:[\w.-]*/)+[\w.-]*\w|\w+_\w+|\b(?=[a-f0-9]*\d)[a-f0-9]{6,}\b", re.A)
+_name_of = re.compile(r"(?<![A-Za-z0-9.:-])[A-Za-z0-9.:-]*+[/_][\w./:-]*+|(?<![A-Za-z0-9])(?=[a-f]*\d)[a-f0-9]{6,}+(?![A-Za-z0-9])", re.A)
+_name_mark = re.compile(r"[/_\d]")
 _words = re.compile(r"§\w+|[一-鿿]|[^\W\d_一-鿿]+(?:'[a-z]+)?|\d+")
 
 #: What is scored: (features, kind of trusted residue or '').
@@ -136,7 +139,10 @@ _quote_mark = re.compile("[`\"“「']")
 
 def words(text: str) -> list[str]:
     """The words in order; names of things, numbers, slots and quoted spans as forms."""
-    return ["§n" if w.isdigit() else w for w in _words.findall(unicodedata.normalize("NFC", _name_of.sub(" §id ", text).lower()))]
+    if _name_mark.search(text):
+        text = _name_of.sub(" §id ", text)
+        return ["§n" if w.isdigit() else w for w in _words.findall(unicodedata.normalize("NFC", text.lower()))]
+    return _words.findall(unicodedata.normalize("NFC", text.lower()))
 
 
 def _quotes(passage: str) -> list[tuple[int, int]]:
@@ -209,6 +215,7 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float, rest: float = 0.0):
         self.weights, self.bias, self.rest = weights, bias, rest
         self._hopeful = {f for f, w in weights.items() if w > 0 and not f.startswith("§len")}
+        self._met: dict[str, tuple[str, float]] = {}
 
     def score(self, found: list[str]) -> float:
         """Log-odds of a passage's features."""
@@ -231,7 +238,17 @@ class Model:
         return self.bias + HALF * best
 
     def verdict(self, passage: str) -> tuple[str, float]:
-        """(kind, score) of a passage: the kind of its best part, 'learnt' if that is not trusted."""
+        """(kind, score) of a passage: the kind of its best part, 'learnt' if that is not trusted.
+
+        Passages come again and again, so verdicts on the last ``MEMO`` are kept.
+        """
+        if (met := self._met.get(passage)) is None:
+            if len(self._met) >= MEMO:
+                self._met.clear()
+            met = self._met[passage] = self._judge(passage)
+        return met
+
+    def _judge(self, passage: str) -> tuple[str, float]:
         kind, score = "", self.passage(masked(passage))
         for found, slot in _slot_units(passage):
             if (s := self.score(found)) > score:
