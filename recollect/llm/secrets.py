@@ -2,7 +2,9 @@
 
 Method: a text is scanned for credentials, and every literal in it that may be an encoding
 (base64, hex, percent, backslash or JSON escapes) is decoded and scanned again, layer by
-layer.  Key material is recognised by the binary grammar of its container: DER sequences
+layer until nothing decodes; each layer is shorter than the one around it.  Percent and
+backslash escapes, and literals in pieces, are decoded where they stand, so that the names
+and words around a value count as its context.  Key material is recognised by the binary grammar of its container: DER sequences
 of private keys, OpenSSH's length-prefixed records, JSON web tokens.  What is found in a
 decoded layer redacts the whole encoded literal around it; what is found in the text
 itself redacts the secret's characters only, so quotes, keys and structure stay and the
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 
 from recollect.functions.arrow import task_mapper
 
-#: Layers of encoding that are opened.
-DEPTH = 5
 PLACEHOLDER = "REDACTED"
 
 Span = tuple[int, int]
@@ -37,14 +37,15 @@ Span = tuple[int, int]
 
 #: What stands where a secret would.
 _DUMMY = re.compile(
-    r"^(?:\W*|[*•.xX#-]{3,}|<[^<>]*>|\[[^\[\]]*\]|\$\{?[\w.:-]+\}?|%\w+%|\{\{.*|.*\}\}|\$\(.*|.*(?:your|example|placeholder|changeme|change[-_]me|replace[-_]?me|dummy|redacted|masked|removed|todo|insert|fake|sample|not[-_]?set|enter[-_]).*"
+    r"^(?:\W*|[*•.xX#-]{3,}|<[^<>]*>|\[[^\[\]]*\]|\$\{?[\w.:-]+\}?|%(?:[A-Z_][A-Z0-9_]*|[a-z_]+)%|\{\{.*|.*\}\}|\$\(.*|.*(?:your|example|placeholder|changeme|change[-_]me|replace[-_]?me|dummy|redacted|masked|removed|todo|insert|fake|sample|not[-_]?set|enter[-_]).*"
     r"|x{4,}.*|none|null|nil|true|false|undefined|empty|secret|password|passwd|token|bearer|basic|string|required|optional|hidden|(?:test|demo|foo|bar|abc|pass|user|admin|root)[\w-]{0,4}|(\w)\1*|1234\w*)$",
     re.I,
 )
 _REFERENCE = re.compile(r"^(?:os\.|process\.|env\b|env[.\[(]|getenv|config[.\[(]|settings[.\[(]|vault[.:/]|keyring|secrets?[.\[(:/]|ssm:|arn:|aws[-_]?sm|op://|ref\+|file:|/run/|/etc/|/var/|self\.|this\.|load\(|read\(|get\w*\(|\w+\(|input|\w+\.\w+\()", re.I)
 
 
-_CAMEL = re.compile(r"[A-Z]?[a-z]*(?:[_-]?[A-Z]{1,4}[a-z]{2,})*[A-Z]{0,3}(?:[_-][A-Z]?[a-z]+)*")
+_name_part = re.compile(r"[A-Z]{2,}(?![a-z])|[A-Z]?[a-z]+|[A-Z]")
+_soft = re.compile(r"[aeiouy]", re.I)
 _CODE = re.compile(r"[A-Z]{16,40}")
 _vowels = re.compile("[AEIOU]")
 
@@ -55,13 +56,20 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def _is_name(value: str) -> bool:
+    """Letters that read as the words of a name, in camel case or joined by marks."""
+    parts = [x for piece in re.split(r"[_-]", value) for x in _name_part.findall(piece)]
+    words = [x for x in parts if len(x) > 2 and not x.isupper()]
+    return len(parts) - len(words) <= 1 and all(0.2 <= len(_soft.findall(x)) / len(x) <= 0.75 for x in words)
+
+
 def _is_real(value: str) -> bool:
     return not _DUMMY.match(value) and not _REFERENCE.match(value)
 
 
 def _is_password(value: str) -> bool:
     """Could someone log in with it?  Letters together with digits or marks, or encoded so."""
-    if len(value) < 6 or len(value) > 400 or not _is_real(value) or any(c.isspace() for c in value):
+    if len(value) < 6 or not _is_real(value) or any(c.isspace() for c in value):
         return False
     letters = any(c.isalpha() for c in value)
     others = any(c.isdigit() for c in value) or any(c in "!@#$%^&*?~+=" for c in value)
@@ -69,7 +77,7 @@ def _is_password(value: str) -> bool:
     if re.fullmatch(r"[a-z]+(?:[-_.:/][a-z]+)*", value) or re.fullmatch(r"(?:[\w.-]+/)+[\w.-]+\.\w+", value):
         return False
     # letters alone: capitals where no word, name or camel case has them
-    mixed = any(c.islower() for c in value) and any(c.isupper() for c in value[1:]) and not _CAMEL.fullmatch(value)
+    mixed = any(c.islower() for c in value) and any(c.isupper() for c in value[1:]) and not _is_name(value)
     return letters and (others or mixed and len(value) >= 8 and entropy(value) > 2.5)
 
 
@@ -170,6 +178,8 @@ _issued = re.compile(
 )
 _random = re.compile(r"(?<![A-Za-z0-9_/+.=@-])[A-Za-z0-9]{40}(?![A-Za-z0-9_/+=-])")
 _url = re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s:/@'\"<>]*:([^\s@/'\"<>]+)@", re.I)
+#: A database client's password, written against its flag.
+_attached = re.compile(r"\s-u\s?[\w.@-]+\s(?:[^\n]*?\s)??-p(?P<v>[^\s'\"]{6,})|\b(?:mysql\w*|mariadb[\w-]*|sshpass)\s(?:[^\n]*?\s)??-p\s?(?P<w>[^\s'\"]{6,})")
 _curl_user = re.compile(r"(?:\s-u|--user)[ =]['\"]?[^\s:'\"]+:([^\s'\"]+)")
 _basic = re.compile(r"\bBasic ([A-Za-z0-9+/]{8,}={0,2})")
 _bearer = re.compile(r"\b(?:Bearer|Token) ([\w.~+/=-]{16,})")
@@ -181,7 +191,6 @@ _GIVES = r"['\"]?\s*(?:=>|:=|[:=])\s*\(?\s*"
 _assigned_password = re.compile(r"(?:passwords?|passwd|passphrase|pass|pwd|pw)" + _GIVES + _VALUE, re.I)
 _assigned_key = re.compile(r"(?:secret[\w-]*|tokens?|keys?|credentials?|auth|pat|hmac|signing)" + _GIVES + _VALUE, re.I)
 _password_name = re.compile(r"pass|pwd|pw$", re.I)
-_name_end = re.compile(r"[\w.-]*$")
 _key_name = re.compile(r"secret|token|api[-_]?keys?$|apikey|access[-_]?key|private[-_]?key|signing|encryption[-_]?key|credential|auth|[_-]key$|^key$|[a-z]Key$|(?:^|[_-])pat$|hmac", re.I)
 _spoken = re.compile(r"\b(?:password|passwd|passphrase|pwd|secret|pin)(?: is| was|:)? ['\"`]?(?P<v>[^\s'\"`,;]+)", re.I)
 #: Sentences that hand over a key.
@@ -256,8 +265,12 @@ def _plain(text: str) -> list[Span]:
         if _is_real(m[1]):
             add(*m.span(1))
     for m in _curl_user.finditer(text) if "-u" in text else ():
-        if _is_password(m[1]) or _is_key(m[1]):
+        if _is_real(m[1]) and len(m[1]) >= 6:  # what stands there is a password
             add(*m.span(1))
+    for m in _attached.finditer(text) if " -p" in text else ():
+        group = "v" if m["v"] else "w"
+        if _is_password(m[group]) or _is_key(m[group]):
+            add(*m.span(group))
     for m in _basic.finditer(text) if "Basic " in text else ():
         user = _base64(m[1])
         if user and b":" in user and user.isascii() and _is_real(user.decode().partition(":")[2]):
@@ -274,7 +287,9 @@ def _plain(text: str) -> list[Span]:
             if len(value) < 6 or not (good(value) or good is _is_password and _is_key(value)):
                 continue
             # all of the name, of which the pattern matched the end
-            start = _name_end.search(text, max(0, m.start() - 40), m.start()).start()
+            start = m.start()
+            while start and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+                start -= 1
             name = re.split(r"['\"]?\s*[:=]", text[start : m.end()], maxsplit=1)[0]
             if _names_only.match(text, start) or _benign_name.search(name) or good is _is_key and not _key_name.search(name):
                 continue
@@ -297,12 +312,17 @@ def _plain(text: str) -> list[Span]:
 
 # --- encoded layers ---------------------------------------------------------------------
 
-_base64_run = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2})(?![A-Za-z0-9+/_=-])")
+_base64_run = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2})(?![A-Za-z0-9+/_=-])")
+#: Base64 broken into lines: at least one full line, then the last.
+_wrapped = re.compile(r"^[ \t]*[A-Za-z0-9+/]{40,}[ \t]*\r?\n(?:[ \t]*[A-Za-z0-9+/]{40,}[ \t]*\r?\n)*+[ \t]*[A-Za-z0-9+/]+={0,2}[ \t]*$", re.M)
 _hex_run = re.compile(r"(?<![A-Za-z0-9])(?:0x)?((?:[0-9a-fA-F]{2}){10,})(?![A-Za-z0-9])")
 _spaced_hex = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{2}(?:[ :][0-9a-fA-F]{2}){9,}(?![A-Za-z0-9])")
-_percent_run = re.compile(r"[^\s'\"<>]*%[0-9A-Fa-f]{2}[^\s'\"<>]*")
-_escape_run = re.compile(r"(?:[^\s'\"\\]*\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[0-7]{3}))+[^\s'\"\\]*")
+_percent_word = re.compile(r"[^\s'\"<>]++")
+_percent_code = re.compile(r"%[0-9A-Fa-f]{2}")
+_percent_chain = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})")
+_escape_word = re.compile(r"[^\s'\"]++")
 _escape = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([0-7]{3})")
+_escape_chain = re.compile(r"\\(?:u005[cC]|x5[cC])+(?=[ux])")
 _literal = re.compile(r'"(?:[^"\\]|\\.)*"')
 
 
@@ -325,7 +345,7 @@ def _as_text(data: bytes | None) -> str | None:
 
 
 def _percent(value: str) -> str | None:
-    data = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), value.encode())
+    data = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), _percent_chain.sub("%", value).encode())
     try:
         return data.decode()
     except UnicodeDecodeError:
@@ -333,83 +353,89 @@ def _percent(value: str) -> str | None:
 
 
 def _unescape(value: str) -> str:
-    return _escape.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else chr(int(m[3], 8)), value)
+    return _escape.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else chr(int(m[3], 8)), _escape_chain.sub(r"\\", value))
+
+
+def _within(text: str, literals: list[tuple[int, int, str]]) -> list[int]:
+    """Which of the literals (start, end, what it stands for) hold a credential.
+
+    All are decoded where they stand and the text is scanned again once.
+    """
+    parts, places, at, size = [], [], 0, 0
+    for a, b, inner in literals:
+        parts += [text[at:a], inner]
+        size += a - at
+        places.append((size, size + len(inner)))
+        size, at = size + len(inner), b
+    hits = spans("".join([*parts, text[at:]]))
+    out, h = [], 0
+    for n, (x, y) in enumerate(places):
+        while h < len(hits) and hits[h][1] <= x:
+            h += 1
+        if h < len(hits) and hits[h][0] < y:
+            out.append(n)
+    return out
 
 
-def _encoded(text: str, depth: int) -> list[Span]:
+def _encoded(text: str) -> list[Span]:
     """Literals that hold a credential in a layer below."""
     found: list[Span] = []
-    if "\\" in text:
-        for m in _escape_run.finditer(text):
-            # the name in front of an escaped value is part of its context
-            start = max(text.rfind("\n", 0, m.start()) + 1, m.start() - 80)
-            before = text[start : m.start()]
-            inner = _unescape(m[0])
-            if inner != m[0] and any(b > len(before) for _, b in spans(before + inner + text[m.end() : m.end() + 1], depth - 1)):
-                found.append(m.span())
-    if "%" in text:
-        for m in _percent_run.finditer(text):
-            inner = _percent(m[0])
-            if inner and inner != m[0]:
-                start = max(text.rfind("\n", 0, m.start()) + 1, m.start() - 80)
-                before = text[start : m.start()]
-                if any(b > len(before) for _, b in spans(before + inner, depth - 1)):
-                    found.append(m.span())
+    for mark, word, code, decode in (("\\", _escape_word, _escape, _unescape), ("%", _percent_word, _percent_code, _percent)):
+        if mark in text and code.search(text):
+            literals = [(m.start(), m.end(), x) for m in word.finditer(text) if code.search(m[0]) and (x := decode(m[0])) and len(x) < len(m[0])]
+            if literals:
+                found += [literals[n][:2] for n in _within(text, literals)]
     if not _long_run(text):
         return found
-    for m in _base64_run.finditer(text):
-        data = _base64(m[0])
+
+    def holds(data: bytes | None) -> bool:
         if data is None:
-            continue
+            return False
         inner = _as_text(data)
-        if inner is not None and len(inner) >= 8:
-            if spans(inner, depth - 1):
-                found.append(m.span())
-        elif len(data) > 60 and container(data) == "private":
-            found.append(m.span())
+        return len(inner) >= 8 and bool(spans(inner)) if inner is not None else len(data) > 60 and container(data) == "private"
+
+    found += [m.span() for m in _base64_run.finditer(text) if holds(_base64(m[0]))]
+    if "\n" in text:
+        found += [m.span() for m in _wrapped.finditer(text) if holds(_base64("".join(m[0].split())))]
     for regex, group in ((_hex_run, 1), (_spaced_hex, 0)):
-        for m in regex.finditer(text):
-            try:
-                data = bytes.fromhex(re.sub(r"[ :]", "", m[group]))
-            except ValueError:
-                continue
-            inner = _as_text(data)
-            if inner is not None and spans(inner, depth - 1) or len(data) > 60 and container(data) == "private":
-                found.append(m.span())
+        found += [m.span() for m in regex.finditer(text) if holds(_unhex(m[group]))]
     return found
 
 
+def _unhex(value: str) -> bytes | None:
+    try:
+        return bytes.fromhex(re.sub(r"[ :]", "", value))
+    except ValueError:
+        return None
+
+
 _adjacent = re.compile(r"(['\"])\s*(?:[+.\\]\s*)?\1[A-Za-z0-9]")
 _between = re.compile(r"\s*(?:[+.\\]\s*)?")
-_is_name = re.compile(r"\s*:")
+_names_value = re.compile(r"\s*:")
+_text_literal = re.compile(r"(['\"])((?:(?!\1|\n).)*)\1")
 
 
-def _pieces(text: str, depth: int) -> list[Span]:
+def _pieces(text: str) -> list[Span]:
     """A secret cut into adjacent string literals: found in the joined text, redacted in each."""
     runs: list[list[re.Match]] = []
-    for m in re.finditer(r"(['\"])((?:(?!\1|\n).)*)\1", text):
-        if runs and runs[-1][-1][1] == m[1] and _between.fullmatch(text, runs[-1][-1].end(), m.start()) and not _is_name.match(text, m.end()):
+    for m in _text_literal.finditer(text):
+        if runs and runs[-1][-1][1] == m[1] and _between.fullmatch(text, runs[-1][-1].end(), m.start()) and not _names_value.match(text, m.end()):
             runs[-1].append(m)
         else:
             runs.append([m])
-    found: list[Span] = []
-    for run in runs:
-        if len(run) > 1:
-            start = max(text.rfind("\n", 0, run[0].start()) + 1, run[0].start() - 80)
-            head = text[start : run[0].start(2)]
-            whole = "".join(m[2] for m in run)
-            if any(b > len(head) for _, b in spans(head + whole + run[0][1], depth - 1)):
-                found += [m.span(2) for m in run if m[2]]
-    return found
+    runs = [run for run in runs if len(run) > 1]
+    if not runs:
+        return []
+    # what stands between the first literal's quotes is all that the run says
+    literals = [(run[0].start(2), run[-1].end(2), "".join(m[2] for m in run)) for run in runs]
+    return [m.span(2) for n in _within(text, literals) for m in runs[n] if m[2]]
 
 
-def spans(text: str, depth: int = DEPTH) -> list[Span]:
+def spans(text: str) -> list[Span]:
     """Spans of credentials and of encoded literals that hold one, in order, disjoint."""
-    found = _plain(text)
-    if depth > 0:
-        found += _encoded(text, depth)
-        if ("(" in text or "+" in text or "\\" in text) and text.count("'") + text.count('"') >= 4 and _adjacent.search(text):
-            found += _pieces(text, depth)
+    found = _plain(text) + _encoded(text)
+    if ("(" in text or "+" in text or "\\" in text) and text.count("'") + text.count('"') >= 4 and _adjacent.search(text):
+        found += _pieces(text)
     out: list[Span] = []
     for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
         if out and a < out[-1][1]:
@@ -451,11 +477,9 @@ def _redact_json(text: str) -> tuple[str, int]:
     out, at, n = [], 0, 0
     name = ""
     for m in _literal.finditer(text):
-        if _is_name.match(text, m.end()):
+        if _names_value.match(text, m.end()):
             name = m[0][1:-1]
             continue
-        if len(m[0]) < 8:
-            continue
         value = json.loads(m[0])
         clean, k = redact(value)
         if not k and (_key_name.search(name) or _password_name.search(name)) and text[: m.start()].rstrip().endswith(":"):
