@@ -78,6 +78,11 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.turns(table(spark, d, "agent_events"))
 
 
+def p6_method(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate limits of each agent and of the claim store, with their censoring posteriors."""
+    return truncation.censored(spread(table(spark, d, "agent_events")), table(spark, d, "vault_claims"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The records whose text was cut."""
     return truncation.cut_records(spread(table(spark, d, "agent_events")), table(spark, d, "vault_claims"))
@@ -122,7 +127,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_redacted, p2_found, p2_survivors, p3_found, p3_ranking, p4_found, p4_redacted, p5_method, p5_found, p5_conversations,
-        p6_found, p6_rates, p6_source_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_clean,
+        p6_method, p6_found, p6_rates, p6_source_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_clean,
     )
 }
 

@@ -1,6 +1,7 @@
 """Texts cut off by field limits and broken transfers.
 
-Method, in three steps over all texts of all origins (an origin is an agent or a store):
+Method, in four steps over all texts of all origins (an origin is an agent or a store: whoever
+writes a field sets its limit; a source's texts come from several of them):
 
 1. Lengths.  Each origin's length histogram is fitted by maximum likelihood with a
    log-normal distribution that is right-censored at a candidate limit: lengths at the
@@ -8,8 +9,18 @@ Method, in three steps over all texts of all origins (an origin is an agent or a
    is one minus the share of such texts that the fitted density explains.
 2. Endings.  How a text ends is compared with how sentences end in the corpus: counts of
    (first words, last words) of sentences that are surely complete (closed by punctuation,
-   or followed by another line), of open endings, and of open line openings.
-3. Decision.  The log-odds of the length posterior and of the ending evidence are added.
+   or followed by another line), of open endings, and of open line openings.  This sorts
+   endings into a few kinds.
+3. Evidence.  A text whose last sentence is closed broke off in none, so only the others
+   are asked about.  How often cut ones end in each kind is learned from the texts at the
+   limits, weighted by their censoring posteriors; how often complete ones do, from the rest:
+   a complete sentence without its stop ends like those that have it, and ends newly as
+   often as any sentence does, which the endings met once tell (Good-Turing).
+   A text off the limits may have lost its end in a transfer: how many did is the share that
+   makes the others' endings most likely (expectation-maximisation; a handful of counts).
+   Truncation marks and broken characters say by themselves that something was lost.
+4. Decision.  A text's posterior of being cut joins its length's posterior (off the limits,
+   the share of broken transfers) with its ending's evidence.
 
 The histograms and counts are aggregates with partial results over the whole corpus; only
 texts with an open ending are joined with them, spread by their ending, so no group of
@@ -35,16 +46,21 @@ from recollect.session import cut_lineage
 #: and whose excess over the fitted density has so much log-likelihood, besides the logarithm
 #: of the number of lengths that could have been one.
 LIMIT_RATIO, LIMIT_EXCESS = 6.0, 4.0
-#: Prior log-odds that a text whose length is no limit lost its rest in a transfer.
-TRANSFER = -4.0
-
-#: Log-odds of each kind of ending.
-CLOSED = -9.0  # punctuation, a code fence, a table row, a closed field
-BROKEN = 12.0  # ends in a broken character
-MARKED = 9.0  # ends in a truncation mark
-OPEN = 7.0  # ends in words that no complete sentence of this opening ends in
-SEEN = -3.5  # ends like complete sentences that open alike
-LINE = -7.0  # a row that opens like rows that have no closing punctuation
+#: Share of broken transfers among the unclosed texts off the limits, before any evidence.
+TRANSFER = 0.05
+#: How unclosed texts end that are cut, and that are complete, before any evidence, and as how
+#: many texts that counts.
+PRIOR_TEXTS = 10.0
+PRIOR_ENDINGS = {
+    "open": (0.92, 0.02),  # words that no complete sentence of this opening ends in
+    "seen": (0.05, 0.18),  # like complete sentences that open alike
+    "line": (0.005, 0.795),  # a row that opens like rows that have no closing punctuation
+    "fence": (0.025, 0.005),  # inside a code block
+}
+#: Log-odds of endings that say themselves that something was lost: a broken character, and a
+#: truncation mark on what is no repeated row.
+SELF_EVIDENT = {"broken": 12.0, "marked": 9.0}
+ROUNDS = 500
 
 #: Shares, smoothed by one row: below the first of its rows closed, an opening is of lines; from
 #: the second on of its other rows ending alike, a close repeats; from the third on of its ends
@@ -221,7 +237,7 @@ def censoring(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[int, float]
     excess = lambda n, expected: n * math.log(n / expected) - n + expected if n > expected else 0.0
     for i in np.nonzero(counts >= 2)[0]:  # a length that occurs once has no excess
         limit, n = int(lengths[i]), int(counts[i])
-        if limit < 60:  # shorter texts are replies, and repeat
+        if n <= counts[i + 1 :].sum():  # most of what is beyond a limit stands at it
             continue
         near = (np.abs(lengths - limit) <= 12) & (lengths != limit)
         around = counts[near].sum() / 24
@@ -252,8 +268,8 @@ def limits(lengths: DataFrame) -> DataFrame:
 
 
 def decide(texts: DataFrame) -> DataFrame:
-    """(rel, key, origin, n, kind, score): log-odds that the text was cut, for each text
-    that does not end closed.  ``texts`` has (rel, key, origin, text), all strings."""
+    """(rel, key, origin, n, kind, posterior, score): log-odds that the text was cut, for each text
+    that does not end closed; ``posterior`` is that of its length, null off the limits.  ``texts`` has (rel, key, origin, text), all strings."""
     scanned = cut_lineage(task_mapper(texts, [F.col(c) for c in ("rel", "key", "origin", "text")], SCAN, _scan))
     counts = scanned.where("row = 'n'").groupBy("kind", "opens", "closes").agg(F.sum("c").alias("c"))
 
@@ -264,8 +280,9 @@ def decide(texts: DataFrame) -> DataFrame:
     lengths = scanned.where("row = 'len'").groupBy("rel", F.coalesce("origin", F.lit("")).alias("origin"), "n").agg(F.sum("c").alias("c"))
     open_texts = scanned.where("row = 'text'").withColumn("origin", F.coalesce("origin", F.lit(""))).drop("row", "c")
     both, loose = {"opens": "opens", "closes": "closes"}, {"opens": "opens1", "closes": "closes3"}
+    found = limits(lengths)
     x = (
-        open_texts.join(limits(lengths), ["rel", "origin", "n"], "left")
+        open_texts.join(found, ["rel", "origin", "n"], "left")
         .join(of("done", **both), ["opens", "closes"], "left")
         .join(of("alike", **both), ["opens", "closes"], "left")
         .join(of("loose", **loose), ["opens1", "closes3"], "left")
@@ -276,8 +293,6 @@ def decide(texts: DataFrame) -> DataFrame:
         .join(open_closes, "closes", "left")
     )
     n0 = lambda c: F.coalesce(F.col(c), F.lit(0))
-    p = F.col("posterior")
-    prior = F.when(p.isNotNull(), F.log(p / (1 - p))).otherwise(F.lit(TRANSFER))
     # what other texts say: a piece doesn't count itself
     own = F.col("kind").isin("open", "marked").cast("int")
     others = lambda c, one=own: F.greatest(n0(c) - one, F.lit(0))
@@ -285,21 +300,90 @@ def decide(texts: DataFrame) -> DataFrame:
     unclosed = rows / (rows + n0("stops") + 1)
     complete = n0("any") / (n0("any") + others("open_closes") + 1)
     # an opening is of lines if punctuation hardly ever closes it, and this close repeats
-    repeats = (others("alike") >= REPEATS * (rows + 1)) | (F.col("path") & (unclosed >= 0.5)) | ((complete >= COMPLETE) & (unclosed >= 0.5) & (F.col("n") < 80))
+    repeats = (others("alike") >= REPEATS * (rows + 1)) | (F.col("path") & (unclosed >= 0.5)) | ((complete >= COMPLETE) & (unclosed >= 0.5))
     line = F.col("own_row") & (n0("stops") < SELDOM * (rows + 1)) & repeats
     # one row more, so that a single meeting of words decides nothing
     ends_alike = (n0("done") > others("alike") + 1) | (n0("loose") > others("alike3") + 1)
     # an opening that is not known to be closed by punctuation: the close alone must do
     seen = ends_alike | (F.col("own_row") & (n0("stops") < CLOSED_SHARE * (rows + n0("stops") + 1)) & (complete >= COMPLETE))
-    evidence = (
-        F.when(F.col("kind") == "broken", BROKEN)
-        .when(F.col("kind") == "marked", F.when(line & (F.col("n") < 60), LINE).otherwise(MARKED))
-        .when(F.col("kind") == "fence", OPEN)
-        .when(line, LINE)
-        .when(seen, SEEN)
-        .otherwise(OPEN)
+    how = (
+        F.when(F.col("kind").isin("broken", "fence"), F.col("kind"))
+        .when(F.col("kind") == "marked", F.when(line, "line").otherwise("marked"))
+        .when(line, "line")
+        .when(seen, "seen")
+        .otherwise("open")
     )
-    return x.select("rel", "key", "origin", "n", "kind", (prior + evidence).alias("score"))
+    x = cut_lineage(x.select("rel", "key", "origin", "n", F.col("posterior").alias("p"), how.alias("kind")))
+    evidence, transfer = fit_endings(ending_counts(x), new_endings(counts))
+    off = F.lit(math.log(TRANSFER / (1 - TRANSFER)))
+    for rel, odds in transfer.items():
+        off = F.when(F.col("rel") == rel, F.lit(odds)).otherwise(off)
+    says = F.lit(0.0)
+    for kind, odds in SELF_EVIDENT.items():
+        says = F.when(F.col("kind") == kind, F.lit(odds)).otherwise(says)
+    for (rel, kind), odds in evidence.items():
+        says = F.when((F.col("rel") == rel) & (F.col("kind") == kind), F.lit(odds)).otherwise(says)
+    p = F.col("p")
+    return x.select("rel", "key", "origin", "n", "kind", p.alias("posterior"), (F.coalesce(F.log(p / (1 - p)), off) + says).alias("score"))
+
+
+def ending_counts(texts: DataFrame) -> list[tuple[str, float | None, str, int]]:
+    """(rel, posterior, ending, count) of the unclosed, unmarked texts (rel, p, kind); the posterior is null off the limits.
+
+    Posteriors are rounded to thousandths, so however many origins there are, a relation has
+    at most a thousand rows for each kind of ending.
+    """
+    counts = texts.where(F.col("kind").isin(*PRIOR_ENDINGS)).groupBy("rel", F.round("p", 3).alias("p"), "kind").agg(F.count("*").alias("c"))
+    return sorted(((r.rel, r.p, r.kind, r.c) for r in counts.collect()), key=str)
+
+
+def new_endings(counts: DataFrame) -> float:
+    """How often a complete sentence ends as no other does: the Good-Turing share of endings met once."""
+    once = counts.where("kind in ('done', 'loose')").groupBy("kind").agg(F.sum((F.col("c") == 1).cast("int")).alias("once"), F.sum("c").alias("all"))
+    return min((r.once / r["all"] for r in once.collect()), default=1.0)
+
+
+def fit_endings(counts: list[tuple[str, float | None, str, int]], new: float, rounds: int = ROUNDS) -> tuple[dict[tuple[str, str], float], dict[str, float]]:
+    """Log-odds of cut against complete for each (rel, ending), and of a broken transfer for each rel.
+
+    Expectation-maximisation over the texts' kinds of length and ending.  The texts at the
+    limits have their censoring posterior as prior, all others their relation's share of
+    broken transfers, which is estimated along.  How cut texts end is learned from all
+    relations together, since a limit or a transfer falls anywhere in a text; how complete
+    texts end differs between relations.  Of the complete ones that end like sentences, the
+    share ``new`` ends openly.
+    """
+    unmet = min(new, 0.5) / (1 - min(new, 0.5))
+    rels = sorted({rel for rel, *_ in counts})
+    cut = {k: c for k, (c, _) in PRIOR_ENDINGS.items()}
+    complete = {(rel, k): c for rel in rels for k, (_, c) in PRIOR_ENDINGS.items()}
+    share = dict.fromkeys(rels, TRANSFER)
+    for _ in range(rounds):
+        cuts = {k: PRIOR_TEXTS * c for k, (c, _) in PRIOR_ENDINGS.items()}
+        others = {(rel, k): PRIOR_TEXTS * PRIOR_ENDINGS[k][1] for rel in rels for k in PRIOR_ENDINGS}
+        lost, off = dict.fromkeys(rels, PRIOR_TEXTS * TRANSFER), dict.fromkeys(rels, PRIOR_TEXTS)
+        for rel, p, k, n in counts:
+            prior = share[rel] if p is None else p
+            yes, no = prior * cut[k], (1 - prior) * complete[rel, k]
+            post = yes / (yes + no)
+            cuts[k] += n * post
+            if k != "open":
+                others[rel, k] += n * (1 - post)
+            if k == "seen":
+                others[rel, "open"] += n * (1 - post) * unmet
+            if p is None:
+                lost[rel] += n * post
+                off[rel] += n
+        total = sum(cuts.values())
+        cut = {k: c / total for k, c in cuts.items()}
+        sums = {rel: sum(others[rel, k] for k in PRIOR_ENDINGS) for rel in rels}
+        complete = {(rel, k): c / sums[rel] for (rel, k), c in others.items()}
+        last, share = share, {rel: lost[rel] / off[rel] for rel in rels}
+        settled = all(abs(last[rel] - share[rel]) < 1e-9 for rel in rels)
+        if settled:
+            break
+    evidence = {(rel, k): round(math.log(cut[k] / complete[rel, k]), 6) for rel in rels for k in PRIOR_ENDINGS}
+    return evidence, {rel: round(math.log(s / (1 - s)), 6) for rel, s in share.items()}
 
 
 def all_texts(events: DataFrame, claims: DataFrame) -> DataFrame:
@@ -331,3 +415,14 @@ def rates(events: DataFrame, claims: DataFrame, by: str = "origin") -> DataFrame
     cut = cut_records(events, claims).withColumnRenamed("row_key", "key").withColumn("cut", F.lit(1))
     per = texts.join(cut, ["rel", "key"], "left").groupBy("rel", by).agg(F.count("*").alias("records"), F.count("cut").alias("cut"))
     return per.withColumn("share", F.round(F.col("cut") / F.col("records"), 6))
+
+
+def censored(events: DataFrame, claims: DataFrame) -> DataFrame:
+    """(rel, origin, limit, posterior, records, cut): what the censored fit says of each candidate limit.
+
+    ``records`` counts the texts of that length that no punctuation closes, ``cut`` those of
+    them whose posterior with the ending's evidence is above one half.
+    """
+    at = decide(all_texts(events, claims)).where("posterior is not null")
+    out = at.groupBy("rel", "origin", F.col("n").alias("limit")).agg(F.first("posterior").alias("posterior"), F.count("*").alias("records"), F.sum((F.col("score") > 0).cast("bigint")).alias("cut"))
+    return out.withColumn("posterior", F.round("posterior", 6))

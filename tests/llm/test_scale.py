@@ -81,3 +81,24 @@ def test_counts_a_hundred_times_as_large_change_no_verdict():
         model = residue.fit(forms, [n] * len(forms), kinds)
         verdicts.append([bool(residue.judge(t, model)) for t in texts])
     assert verdicts[0] == verdicts[1] == verdicts[2] and sum(verdicts[0]) == 50
+
+
+def test_evidence_is_learned_from_the_limits():
+    """Rows at limits tell how cut texts end; that decides on rows of other lengths."""
+    own = [("r", None, "line", 500), ("r", None, "seen", 200), ("r", None, "open", 50)]
+    at_words = [("r", 0.99, "open", 300), ("r", 0.99, "seen", 10)]
+    at_seen = [("r", 0.99, "open", 10), ("r", 0.99, "seen", 300)]
+    for limit, higher in ((at_words, "open"), (at_seen, "seen")):
+        evidence, transfer = truncation.fit_endings(own + limit, 0.05)
+        free, _ = truncation.fit_endings(own, 0.05)
+        assert evidence["r", higher] > free["r", higher] and evidence["r", "line"] < 0
+    evidence, transfer = truncation.fit_endings(own + at_words, 0.05)
+    many, share = truncation.fit_endings([(r, p, k, 100 * n) for r, p, k, n in own + at_words], 0.05)
+    assert abs(share["r"] - transfer["r"]) < 0.2 and all((many[x] + share["r"] > 0) == (evidence[x] + transfer["r"] > 0) for x in evidence if x[1] != "fence")
+    assert truncation.fit_endings([], 1.0) == ({}, {})
+
+
+def test_a_limit_may_be_short():
+    rng = random.Random(8)
+    lengths = [min(rng.randint(5, 80), 30) for _ in range(500)]
+    assert dict(truncation.censoring(*np.unique(lengths, return_counts=True)))[30] > 0.9
