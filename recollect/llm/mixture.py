@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import bpe
+from recollect.session import cut_lineage
 
 #: Equal key ranges per source and pass.
 RANGES = 1024
@@ -48,7 +49,8 @@ def mix(
     )
     wanted = documents.where("source is not null and text is not null").join(goal.select("source"), "source", "left_semi")
     sized = bpe.count_tokens(wanted, ["source", "doc_id"], folder=folder).where("n_tokens > 0")
-    sized = sized.groupBy("source", "doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    # read twice below, and counting tokens is the costly part
+    sized = cut_lineage(sized.groupBy("source", "doc_id").agg(F.max("n_tokens").alias("n_tokens")))
     has = sized.groupBy("source").agg(F.sum("n_tokens").alias("size"))
     if total_tokens is None:
         # one row for each source with a target: a window without partition over a handful of rows
