@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.session import cut_lineage
+
 #: Times from here on are milliseconds (fixed value; as seconds, the year 5138).
 MILLISECONDS_FROM = 1e11
 #: Seconds of a stretch.
@@ -125,8 +127,13 @@ def turns(events: DataFrame, stretch: float = STRETCH) -> DataFrame:
     )
 
 
+def _hash() -> Column:
+    """A message's hash, in 40 bits."""
+    return F.pmod(F.xxhash64("ts", "role", "content"), F.lit(1 << 40))
+
+
 def fragments(events: DataFrame, export_seconds: int = EXPORT_SECONDS) -> DataFrame:
-    """Messages in their export fragments: (session_id, fragment, pos, length, h, upto, total).
+    """Messages in their export fragments: (session_id, fragment, pos, length, t, h, upto, total).
 
     A fragment holds the distinct messages of a session that were loaded in one interval
     of ``export_seconds``, in time order.  ``h`` is the message's hash, ``upto`` the sum of the
@@ -135,7 +142,7 @@ def fragments(events: DataFrame, export_seconds: int = EXPORT_SECONDS) -> DataFr
     """
     m = _sessions(events).where(is_message()).select(
         "session_id", F.floor(F.unix_timestamp("loaded_at") / export_seconds).alias("fragment"), F.coalesce(seconds(F.col("ts")), F.lit(0.0)).alias("t"),
-        F.pmod(F.xxhash64("ts", "role", "content"), F.lit(1 << 40)).alias("h"),
+        _hash().alias("h"),
     ).where("fragment is not null").distinct()
     # prefix sums in stretches of time, so that a large fragment is summed by many tasks
     m = m.withColumn("stretch", F.floor(F.col("t") / 60))
@@ -149,20 +156,15 @@ def fragments(events: DataFrame, export_seconds: int = EXPORT_SECONDS) -> DataFr
     inside = Window.partitionBy("session_id", "fragment", "stretch").orderBy("t", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return m.withColumn("s", F.sum("h").over(inside)).withColumn("n", F.row_number().over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(
         parts, ["session_id", "fragment", "stretch"]
-    ).select("session_id", "fragment", (F.col("n0") + F.col("n")).alias("pos"), "length", "h", (F.col("s0") + F.col("s")).alias("upto"), "total")
+    ).select("session_id", "fragment", (F.col("n0") + F.col("n")).alias("pos"), "length", "t", "h", (F.col("s0") + F.col("s")).alias("upto"), "total")
 
 
-def assemble(events: DataFrame, export_seconds: int = EXPORT_SECONDS) -> DataFrame:
-    """(session_id, fragments, contained, merged, gaps, kept): the overlap graph's verdict.
+def _overlaps(events: DataFrame, export_seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fragments, those contained in another, and the unambiguous overlaps (session_id, a, b, common).
 
-    Of a session's ``fragments``, those whose messages all lie in a row in another one are
-    ``contained``; ``merged`` counts the suffix-prefix overlaps that are the only one at both
-    their ends; ``gaps`` the breaks that remain between the others.  Overlaps lead forward in
-    time, so without gaps the session is one path and is ``kept``.  Sessions without messages
-    give no row.
+    An overlap is a suffix of fragment a that is a prefix of b; it is unambiguous if it is the only
+    one at both its ends.
     """
-    from recollect.session import cut_lineage
-
     f = cut_lineage(fragments(events, export_seconds))
     first = f.where("pos = 1").select("session_id", "h", F.col("fragment").alias("b"), F.col("length").alias("b_length"), F.col("total").alias("b_total"))
     # places in fragment a where fragment b's first message stands
@@ -183,9 +185,13 @@ def assemble(events: DataFrame, export_seconds: int = EXPORT_SECONDS) -> DataFra
         .join(inside.withColumnRenamed("b", "a"), ["session_id", "a"], "left_anti")
         .groupBy("session_id", "a", "b").agg(F.max("common").alias("common"))
     )
-    only_out = overlaps.groupBy("session_id", "a").agg(F.count("*").alias("n"), F.first("b").alias("b")).where("n = 1").select("session_id", "a", "b")
-    only_in = overlaps.groupBy("session_id", "b").agg(F.count("*").alias("n"), F.first("a").alias("a")).where("n = 1").select("session_id", "a", "b")
-    merged = only_out.join(only_in, ["session_id", "a", "b"]).groupBy("session_id").agg(F.count("*").alias("merged"))
+    only = lambda c: overlaps.groupBy("session_id", c).agg(F.count("*").alias("n")).where("n = 1").select("session_id", c)
+    return f, inside, overlaps.join(only("a"), ["session_id", "a"], "left_semi").join(only("b"), ["session_id", "b"], "left_semi")
+
+
+def _verdicts(f: DataFrame, inside: DataFrame, sure: DataFrame) -> DataFrame:
+    """(session_id, fragments, contained, merged, gaps, kept)."""
+    merged = sure.groupBy("session_id").agg(F.count("*").alias("merged"))
     per = f.where("pos = 1").groupBy("session_id").agg(F.count("*").alias("fragments"))
     lost = inside.groupBy("session_id").agg(F.count("*").alias("contained"))
     zero = F.lit(0)
@@ -195,3 +201,37 @@ def assemble(events: DataFrame, export_seconds: int = EXPORT_SECONDS) -> DataFra
         .withColumn("gaps", F.col("fragments") - F.col("contained") - F.col("merged") - 1)
         .withColumn("kept", F.col("gaps") == 0)
     )
+
+
+def assemble(events: DataFrame, export_seconds: int = EXPORT_SECONDS) -> DataFrame:
+    """(session_id, fragments, contained, merged, gaps, kept): the overlap graph's verdict.
+
+    Of a session's ``fragments``, those whose messages all lie in a row in another one are
+    ``contained``; ``merged`` counts the unambiguous overlaps between the others; ``gaps`` the
+    breaks that remain.  Unambiguous overlaps join each fragment to at most one before and
+    one after it and lead forward in time, so they form paths, and one less of them than of
+    fragments is a single path: the session is ``kept``.  Sessions without messages give no row.
+    """
+    return _verdicts(*_overlaps(events, export_seconds))
+
+
+def merged(events: DataFrame, export_seconds: int = EXPORT_SECONDS) -> DataFrame:
+    """(session_id, turn, speaker, ts, content): the conversations of the kept sessions, merged along their paths.
+
+    A fragment's messages follow those of the fragment before it, less their overlap, so
+    ``turn`` is the place in the merged sequence.
+    """
+    f, inside, sure = _overlaps(events, export_seconds)
+    kept = _verdicts(f, inside, sure).where("kept").select("session_id")
+    path = f.where("pos = 1").join(inside.withColumnRenamed("b", "fragment"), ["session_id", "fragment"], "left_anti").join(kept, "session_id", "left_semi")
+    path = path.select("session_id", "fragment", "length", "t", "h").join(sure.select("session_id", F.col("b").alias("fragment"), "common"), ["session_id", "fragment"], "left")
+    # one row for each fragment, in the order of their first messages: how many messages stand before it, and how many of its own came before
+    along = Window.partitionBy("session_id").orderBy("t", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    common = F.coalesce(F.col("common"), F.lit(0))
+    path = path.select("session_id", "fragment", common.alias("common"), (F.sum(F.col("length") - common).over(along) - F.col("length")).alias("before"))
+    placed = f.join(path, ["session_id", "fragment"]).where("pos > common").select("session_id", (F.col("before") + F.col("pos")).alias("turn"), "h")
+    m = _sessions(events).where(is_message()).select("session_id", _hash().alias("h"), "role", seconds(F.col("ts")).alias("ts"), "content")
+    texts = m.groupBy("session_id", "h").agg(F.min(F.struct("ts", "role", "content")).alias("m"))
+    who = speaker(F.col("m.role"))
+    named = F.when(who == "other", F.lower(F.trim("m.role"))).otherwise(who)
+    return placed.join(texts, ["session_id", "h"]).select("session_id", "turn", named.alias("speaker"), "m.ts", "m.content")

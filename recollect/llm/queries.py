@@ -27,6 +27,11 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(texts, ["rel", "row_key"], "text", persons)
 
 
+def p2_method(spark: SparkSession, d: str) -> DataFrame:
+    """The aligned consensus of the records that name the same things, and the record closest to it."""
+    return consensus.consensus(table(spark, d, "consolidated_facts"), table(spark, d, "vault_claims")).drop("group")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The survivor of each group of duplicate facts."""
     return consensus.survivors(table(spark, d, "consolidated_facts"), table(spark, d, "vault_claims")).select("fact_id")
@@ -64,7 +69,12 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_method(spark: SparkSession, d: str) -> DataFrame:
-    """What the overlap graph of export fragments says of each session."""
+    """The conversations that the overlap graph of export fragments merges without a gap."""
+    return conversations.merged(table(spark, d, "agent_events"))
+
+
+def p5_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """What the overlap graph says of each session."""
     return conversations.assemble(table(spark, d, "agent_events"))
 
 
@@ -126,7 +136,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_redacted, p2_found, p2_survivors, p3_found, p3_ranking, p4_found, p4_redacted, p5_method, p5_found, p5_conversations,
+        p1_found, p1_redacted, p2_method, p2_found, p2_survivors, p3_found, p3_ranking, p4_found, p4_redacted, p5_method, p5_found, p5_fragments, p5_conversations,
         p6_method, p6_found, p6_rates, p6_source_rates, p8_ids, p9_mixture, p9_shares, p10_found, p10_clean,
     )
 }

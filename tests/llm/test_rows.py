@@ -50,6 +50,23 @@ def test_alignment_puts_words_under_words():
     assert consensus.align([], consensus.as_profile(["x"], ["x"], 1.0), 2.0, 1.0) == [{"": {"": 2.0}, "x": {"x": 1.0}}]
 
 
+def test_consensus_of_records_that_differ_in_words(spark):
+    df = facts(
+        spark, dict(fact_id=1, fact="Adopted KV-11434474 for the old cache, 504 rows.", weight=1.0), dict(fact_id=2, fact="We adopted kv-11434474 for the cache, 504 rows!", weight=0.9), dict(fact_id=3, fact="adopted KV-11434474 for the cache, 505 rows", weight=0.8),
+        dict(fact_id=4, fact="adopted KV-1 for x"), dict(fact_id=5, fact="adopted KV-1 for x"), dict(fact_id=6, fact=None), dict(fact_id=7, fact="KV-11434475 alone"),
+    )
+    for part in (consensus.PART, 1):
+        (row,) = consensus.consensus(df, claims(spark), part=part).collect()
+        assert (row.texts, row.records, row.consensus) == (3, 3, "Adopted KV-11434474 for the cache, 504 rows") and row.fact_id in (1, 3)
+    assert consensus.consensus(df.limit(0), claims(spark)).count() == 0
+
+
+def test_table_groups_with_insertions_are_aligned(spark, data):
+    read = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
+    rows = consensus.consensus(read("consolidated_facts"), read("vault_claims")).where("texts > 1").collect()
+    assert rows and all(r.records >= r.texts > 1 and r.consensus for r in rows)
+
+
 # --- ranking ----------------------------------------------------------------------------
 
 NAN = float("nan")
@@ -153,6 +170,16 @@ def test_overlapping_exports_are_merged(spark):
     assert got == {"chain": (4, 1, 2, 0, True), "gap": (2, 0, 0, 1, False), "fork": (3, 0, 0, 2, False), "twice": (2, 1, 0, 0, True)}
 
 
+def test_merged_conversations_hold_each_message_once_in_order(spark):
+    chain = [(2, "chain", t) for t in (1, 2, 3)] + [(1, "chain", t) for t in (2, 3, 4, 5)] + [(0, "chain", t) for t in (5, 6)] + [(3, "chain", 4)]
+    gap = [(0, "gap", 1), (1, "gap", 3)]
+    whole = [(0, "whole", t) for t in range(1, 8)]
+    got = {}
+    for r in conversations.merged(at(spark, *chain, *gap, *whole)).collect():
+        got.setdefault(r.session_id, []).append((r.turn, r.ts))
+    assert {s: sorted(x) for s, x in got.items()} == {"chain": [(t, t) for t in range(1, 7)], "whole": [(t, t) for t in range(1, 8)]}
+
+
 def test_no_events(spark):
     df = spark.createDataFrame([], EV)
-    assert conversations.judge(df).count() == 0 and conversations.turns(df).count() == 0 and conversations.assemble(df).count() == 0
+    assert conversations.judge(df).count() == 0 and conversations.turns(df).count() == 0 and conversations.assemble(df).count() == 0 and conversations.merged(df).count() == 0
