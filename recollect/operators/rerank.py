@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from recollect.functions import text as T
-from recollect.operators.retrieval import top_k
+from recollect.operators.retrieval import term_frequencies, top_k
 from recollect.session import cut_lineage, spread_rows
 
 #: Weights of the signals (fixed values); the last is added on top.
@@ -15,50 +18,57 @@ WEIGHTS = {"tfidf": 0.25, "coverage": 0.10, "phrase": 0.10, "title": 0.15, "posi
 DENSITY_BONUS = 0.08
 
 
-def idf(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def idf(docs: DataFrame, terms: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
     """(term, idf) of the given terms over all documents; unseen terms have the highest.
 
-    Only the queries' terms leave the documents' tokens, so the table is as long as the queries.
+    ``frequencies`` is a stored (term, df).  Without it the documents' tokens are counted, of
+    which only the queries' terms leave the scan, so the table is as long as the queries.
     """
-    held = docs.select("doc_id", F.explode(F.array_distinct(T.rerank_tokens(F.coalesce("raw", F.lit(""))))).alias("term"))
-    df = held.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = term_frequencies(docs, terms) if frequencies is None else frequencies
     n = docs.agg(F.count("*").alias("n"))
     return terms.select("term").distinct().join(df, "term", "left").crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1.0).alias("idf"))
 
 
+#: R11g: characters that halve a window's density, and beyond which windows are not widened (fixed values).
+NEAR, FAR = 200.0, 500
+#: Starts of windows looked at in one piece.
+STARTS = 8192
+
+
+def density(terms: list[str], low: str) -> float:
+    """R11g of one text in lower case: the share of terms found and the densest window, half each.
+
+    A window starts at an occurrence and ends at another; its density is the number of different
+    terms over one plus its width in units of ``NEAR``.  The last window tried from a start is
+    the first wider than ``FAR``.  With each term's next occurrence after every start in a row
+    of a matrix, sorted, the m-th entry is the narrowest window of m terms.
+    """
+    found = [np.array([m.start() for m in re.finditer(f"(?={re.escape(t)})", low)]) for t in terms]
+    found = [p for p in found if p.size]
+    if not found:
+        return 0.0
+    share = len(found) / len(terms)
+    starts = np.sort(np.concatenate(found))
+    if starts.size < 2:
+        return share / 2
+    best = 1 / (1 + (np.diff(starts).min() + 1) / NEAR)  # the next occurrence, of whichever term
+    number = np.arange(1, len(found) + 1)
+    for at in range(0, starts.size, STARTS):
+        s = starts[at : at + STARTS]
+        following = np.sort(np.stack([np.append(p, np.inf)[np.searchsorted(p, s)] for p in found], axis=1), axis=1)
+        last = np.append(starts, np.inf)[np.searchsorted(starts, s + FAR)][:, None]
+        within = (following < last) | ((following == last) & np.isfinite(following))
+        score = np.where(within & (number > 1), number / (1 + (following - s[:, None] + 1) / NEAR), 0.0)
+        best = max(best, float(score.max()))
+    return min(1.0, share / 2 + best / 2)
+
+
 @F.pandas_udf(DoubleType())
 def cooccurrence(terms, texts):
-    """R11g: how close the terms stand to each other, over windows of about 500 characters."""
+    """R11g: how close the terms stand to each other; 0 without terms or text."""
     import pandas as pd
 
-    def one(ts, body):
-        if ts is None or body is None or not len(ts) or not body:
-            return 0.0
-        low = body.lower()
-        places = []
-        for t in ts:
-            at = low.find(t)
-            while at >= 0:
-                places.append((at, t))
-                at = low.find(t, at + 1)
-        if not places:
-            return 0.0
-        covered = len({t for _, t in places}) / len(ts)
-        if len(places) < 2:
-            return covered * 0.5
-        places.sort()
-        best = 0.0
-        for i, (start, first) in enumerate(places):
-            seen = {first}
-            for at, t in places[i + 1 :]:
-                seen.add(t)
-                width = at - start + 1
-                best = max(best, len(seen) / (1 + width / 200.0))
-                if width > 500:
-                    break
-        return min(1.0, covered * 0.5 + best * 0.5)
-
-    return pd.Series([one(t, b) for t, b in zip(terms, texts)])
+    return pd.Series([density(list(ts), body.lower()) if ts is not None and len(ts) and body else 0.0 for ts, body in zip(terms, texts)], dtype=float)
 
 
 def _collapsed(c: Column) -> Column:
@@ -86,14 +96,14 @@ def focused_density(query: Column, paras: Column, rare: Column) -> Column:
     return T.let(high, best)
 
 
-def signals(pool: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+def signals(pool: DataFrame, docs: DataFrame, queries: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, signals...): R11b to R11i for each document of each query's pool.
 
     ``pool`` is a ranked list, ``docs`` (doc_id, title, raw, page_type).
     """
     q = queries.select("query_id", "query", T.query_terms(F.col("query")).alias("terms"), T.rerank_entities(F.col("query")).alias("wanted"))
     terms = q.select("query_id", F.explode("terms").alias("term"))
-    weights = terms.join(idf(docs, terms), "term").groupBy("query_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "idf")))).alias("idf"))
+    weights = terms.join(idf(docs, terms, frequencies), "term").groupBy("query_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "idf")))).alias("idf"))
     n = pool.groupBy("query_id").agg(F.max("rank").alias("n"))
     x = pool.select("query_id", "doc_id", "rank").join(n, "query_id").join(q, "query_id").join(weights, "query_id", "left").join(docs.select("doc_id", "title", "raw", "page_type"), "doc_id")
     x = spread_rows(x)
@@ -132,6 +142,6 @@ def fuse_signals(found: DataFrame) -> DataFrame:
     return found.select("query_id", "doc_id", F.round(F.when(weak, base * 0.5).otherwise(base) + F.col("density") * DENSITY_BONUS, 4).alias("score"))
 
 
-def rerank(pool: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def rerank(pool: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, frequencies: DataFrame | None = None) -> DataFrame:
     """The pool's best k by the fused signals."""
-    return top_k(fuse_signals(signals(pool, docs, queries)), k)
+    return top_k(fuse_signals(signals(pool, docs, queries, frequencies)), k)

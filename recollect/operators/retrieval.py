@@ -6,11 +6,14 @@ list is (query_id, doc_id, score, rank); order is score descending, then doc_id.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
 from recollect.functions.arrow import task_mapper
+from recollect.session import cut_lineage
 
 K1, B = 1.5, 0.75
 #: Parts of a token's list of documents.
@@ -51,13 +54,32 @@ def index_documents(sources: DataFrame, entities: DataFrame | None = None, facts
     return out.dropDuplicates(["doc_id"])
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, dl): one row per term of a document, dl its number of tokens."""
-    tokens = docs.select("doc_id", T.bm25_tokens(F.col("text")).alias("tokens"))
-    return (
-        tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    )
+@dataclass(frozen=True)
+class SearchIndex:
+    """What BM25 and reranking know of a set of documents, stored once and read by every query.
+
+    ``docs`` is what was indexed, ``postings`` (term, part, doc_id, tf, dl), ``stats`` one row of
+    the number of documents and their mean length, ``frequencies`` (term, df) of the reranker's
+    tokens.  A common term's documents are spread over ``PARTS`` parts.
+    """
+
+    docs: DataFrame
+    postings: DataFrame
+    stats: DataFrame
+    frequencies: DataFrame | None = None
+
+
+def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, part, doc_id, tf, dl): one row per term of a document, dl its number of tokens.
+
+    With ``terms`` (term) only theirs leave the scan.
+    """
+    tokens = docs.select("doc_id", T.bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    counted = each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return counted.select("term", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"), "doc_id", "tf", "dl")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -65,6 +87,25 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(T.bm25_tokens(F.coalesce("text", F.lit(""))))).alias("avg_dl"))
 
 
+def build_index(docs: DataFrame, frequencies: bool = True) -> SearchIndex:
+    """Tokenises the documents once and stores the result in the session's shared folder."""
+    spark = docs.sparkSession
+    parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = cut_lineage(postings(docs).repartition(parallel, "term", "part"))
+    lengths = stored.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.sum("dl").alias("tokens"))
+    stats = cut_lineage(docs.agg(F.count("*").alias("n")).crossJoin(lengths).select("n", (F.coalesce("tokens", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avg_dl")))
+    df = cut_lineage(term_frequencies(docs)) if frequencies else None
+    return SearchIndex(docs, stored, stats, df)
+
+
+def term_frequencies(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, df): in how many documents each of the reranker's tokens stands."""
+    held = docs.select(F.explode(F.array_distinct(T.rerank_tokens(F.coalesce("raw", F.lit(""))))).alias("term"))
+    if terms is not None:
+        held = held.join(terms.select("term").distinct(), "term", "left_semi")
+    return held.groupBy("term").agg(F.count("*").alias("df"))
+
+
 # --- substrings -------------------------------------------------------------------------
 
 #: Characters of all distinct terms that are sent to every task; with more they are joined.
@@ -136,25 +177,24 @@ def _find_by_grams(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 # --- R2: BM25 ---------------------------------------------------------------------------
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, rounded: int = 4) -> DataFrame:
+def bm25(docs: DataFrame | SearchIndex, queries: DataFrame, k: int = 10, rounded: int = 4) -> DataFrame:
     """R2: the k best documents of each query.
 
     Query tokens that repeat count again.  A document that holds the whole query, whatever
     the case, is boosted by 1.5, and by 1.3 more if the query has six or more characters.
     Null texts match nothing.
 
-    The texts are tokenised once; only tokens that some query has leave the scan, and the
-    few documents that hold a whole query are found apart, so no text is shuffled.
+    ``docs`` is a stored index, whose postings of the queries' terms are read, or documents,
+    which are then tokenised for these queries.  The few documents that hold a whole query
+    are found apart, so no text is shuffled.
     """
     terms = queries.select("query_id", F.explode(T.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    tokens = docs.select("doc_id", T.bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).select("doc_id", "tokens", F.size("tokens").alias("dl"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))  # one row
-    post = (
-        tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    )
+    wanted = terms.select("term").distinct()
+    if isinstance(docs, SearchIndex):
+        stats, post, docs = docs.stats, docs.postings.join(wanted, "term", "left_semi"), docs.docs
+    else:
+        stats, post = corpus_stats(docs), postings(docs, wanted)
     # a common token meets very many documents, so each token's list is cut into parts by document
-    post = post.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
     parallel = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     post = post.repartition(parallel, "term", "part")
     df = post.groupBy("term").agg(F.count("*").alias("df"))

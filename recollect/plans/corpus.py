@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,25 @@ def whole_texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents")).where("text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
+#: Stored indexes of this process, by session, tables and their files.
+_STORED: dict[tuple, object] = {}
+
+
+def stored(spark: SparkSession, d: str, names: tuple[str, ...], what: str, make: Callable):
+    """What ``make`` builds from the tables, built once for each session and state of their files."""
+    files = tuple(sorted(f for n in names for f in spark.read.parquet(f"{d}/{n}.parquet").inputFiles()))
+    stamp = tuple((f, os.stat(p).st_mtime_ns) if os.path.exists(p := f.removeprefix("file://")) else (f, 0) for f in files)
+    key = (spark.sparkContext.applicationId, what, stamp)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def documents_index(spark: SparkSession, d: str) -> retrieval.SearchIndex:
+    """The stored index of the documents."""
+    return stored(spark, d, ("documents",), "documents", lambda: retrieval.build_index(documents(spark, d), frequencies=False))
+
+
 def is_query(number: Column) -> Column:
     """The stated query set: rows whose id is divisible by 50."""
     return number % 50 == 0
@@ -58,11 +80,16 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vault_index(spark: SparkSession, d: str) -> Index:
-    """Sources and entity pages with their graph."""
+    """Sources and entity pages with their graph and stored index."""
+    return stored(spark, d, ("vault_sources", "vault_claims", "vault_entities"), "vault", lambda: _vault_index(spark, d))
+
+
+def _vault_index(spark: SparkSession, d: str) -> Index:
     c = claims(spark, d)
     texts = truth.active(c).where("entity_id is not null and text is not null").groupBy("entity_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("created_at", "claim_id", "text"))), lambda x: x["text"]).alias("claims"))
     e = entities(spark, d)
     pages = e.select("id", "name").join(truth.summaries(c).withColumnRenamed("entity_id", "id"), "id", "left").join(texts.withColumnRenamed("entity_id", "id"), "id", "left")
     names = e.select(F.col("id").alias("entity_id"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     edges = e.select(F.col("id").alias("entity_id"), F.explode("backlinks").alias("source_id"))
-    return Index(cut_lineage(spread_rows(retrieval.index_documents(sources(spark, d), pages))), names, edges)
+    docs = cut_lineage(spread_rows(retrieval.index_documents(sources(spark, d), pages)))
+    return Index(docs, names, edges, search=retrieval.build_index(docs))

@@ -16,7 +16,8 @@ from recollect.session import cut_lineage
 class Index:
     """What queries are answered from.
 
-    ``docs`` is ``retrieval.index_documents``; ``names`` (entity_id, name) and ``edges`` (entity_id,
+    ``docs`` is ``retrieval.index_documents``, ``search`` its stored index (``retrieval.build_index``),
+    without which texts are tokenised for each batch of queries; ``names`` (entity_id, name) and ``edges`` (entity_id,
     source_id) serve the graph, ``vectors`` (doc_id, vector) vector search.  Each may be absent.
     """
 
@@ -24,6 +25,7 @@ class Index:
     names: DataFrame | None = None
     edges: DataFrame | None = None
     vectors: DataFrame | None = None
+    search: retrieval.SearchIndex | None = None
 
 
 def rewrite(queries: DataFrame) -> DataFrame:
@@ -32,21 +34,34 @@ def rewrite(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", q.alias("original"), T.keyword_query(q).alias("keyword"), T.entity_query(q).alias("entity"), q.alias("semantic"))
 
 
+def _variants(r: DataFrame, *variants: tuple[str, str | None]) -> DataFrame:
+    """Several forms of the queries as one query set: query_id is (variant, query_id)."""
+    out = None
+    for n, (column, condition) in enumerate(variants):
+        part = (r.where(condition) if condition else r).select(F.struct(F.lit(n).alias("variant"), "query_id").alias("query_id"), F.col(column).alias("query"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _of(ranked: DataFrame, variant: int, k: int) -> DataFrame:
+    return ranked.where((F.col("query_id.variant") == variant) & (F.col("rank") <= k)).select(F.col("query_id.query_id").alias("query_id"), "doc_id", "score", "rank")
+
+
 def candidate_lists(index: Index, queries: DataFrame, k: int, query_vectors: DataFrame | None = None) -> list[tuple[DataFrame, float]]:
-    """The weighted ranked lists that are fused; variants only where they differ."""
-    r = rewrite(queries)
-    of = lambda c, cond=None: (r.where(cond) if cond else r).select("query_id", F.col(c).alias("query"))
+    """The weighted ranked lists that are fused; variants only where they differ.
+
+    Both forms of the queries for exact search, and both for BM25, are one query set each, so
+    the texts are read once for each of the two.
+    """
+    r = cut_lineage(rewrite(queries))
     raw = index.docs.select("doc_id", F.col("raw").alias("text"))
-    lists = [
-        (retrieval.exact(raw, of("original"), 3 * k), 2.0),
-        (retrieval.exact(raw, of("entity", "entity <> '' and entity <> original"), 2 * k), 1.0),
-        (retrieval.bm25(index.docs, of("original"), 3 * k), 2.0),
-        (retrieval.bm25(index.docs, of("keyword", "keyword <> '' and keyword <> original"), 2 * k), 1.5),
-    ]
+    exact = cut_lineage(retrieval.exact(raw, _variants(r, ("original", None), ("entity", "entity <> '' and entity <> original")), 3 * k).select("query_id", "doc_id", "score", "rank"))
+    bm25 = cut_lineage(retrieval.bm25(index.search or index.docs, _variants(r, ("original", None), ("keyword", "keyword <> '' and keyword <> original")), 3 * k))
+    lists = [(_of(exact, 0, 3 * k), 2.0), (_of(exact, 1, 2 * k), 1.0), (_of(bm25, 0, 3 * k), 2.0), (_of(bm25, 1, 2 * k), 1.5)]
     if index.vectors is not None and query_vectors is not None:
         lists.append((retrieval.vector_search(index.vectors, query_vectors, 3 * k), 2.0))
     if index.names is not None and index.edges is not None:
-        lists.append((graph.graph_search(index.names, index.edges, of("original"), 2 * k), 0.5))
+        lists.append((graph.graph_search(index.names, index.edges, r.select("query_id", F.col("original").alias("query")), 2 * k), 0.5))
     return lists
 
 
@@ -55,7 +70,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, query_vectors: DataFram
     pool = cut_lineage(retrieval.by_parent(retrieval.rrf(candidate_lists(index, queries, k, query_vectors), max(6 * k, 30))))
     if not reranked:
         return pool.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-    return rerank.rerank(pool, index.docs, queries, k).select("query_id", "rank", "doc_id", "score")
+    return rerank.rerank(pool, index.docs, queries, k, index.search.frequencies if index.search else None).select("query_id", "rank", "doc_id", "score")
 
 
 def show(results: DataFrame, index: Index, queries: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def fact_extract(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= {K}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """R2, R3, R12."""
-    return retrieval.bm25(corpus.documents(spark, d), corpus.document_queries(spark, d), K)
+    return retrieval.bm25(corpus.documents_index(spark, d), corpus.document_queries(spark, d), K)
 
 
 _EXACT_TERMS = rf"""list_concat(regexp_extract_all(query, '{L.SNAKE}'), list_concat(regexp_extract_all(query, '{L.DOTTED}'), list_concat(regexp_extract_all(query, '{L.PREFIXED}'),
@@ -207,7 +207,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """BM25 with a list of known items."""
     q = corpus.document_queries(spark, d)
     known = q.select("query_id", F.col("query_id").alias("doc_id"), F.lit(1).alias("rank"))
-    return retrieval.rrf([(retrieval.bm25(corpus.documents(spark, d), q, 30), 2.0), (known, 1.0)], K)
+    return retrieval.rrf([(retrieval.bm25(corpus.documents_index(spark, d), q, 30), 2.0), (known, 1.0)], K)
 
 
 @query(
@@ -277,7 +277,7 @@ def engine_fused(spark: SparkSession, d: str) -> DataFrame:
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """B1, B2 of BM25; a query's gold is the document it was taken from."""
     q = corpus.document_queries(spark, d)
-    ranked = retrieval.bm25(corpus.documents(spark, d), q, 20)
+    ranked = retrieval.bm25(corpus.documents_index(spark, d), q, 20)
     return evaluate.metrics(evaluate.hit_ranks(ranked, q.select("query_id", F.col("query_id").alias("doc_id")), q))
 
 

@@ -142,6 +142,37 @@ def test_cooccurrence(spark):
     assert got[0] == 1.0 and got[1] == 0.25 and got[2] == 0.0 and got[3] == 0.0
 
 
+def test_density_equals_every_window_tried():
+    rng = random.Random(9)
+    for terms in (["ab", "b", "cab", "zz"], ["a"], ["ab", "abab"]):
+        for size, gap in ((40, 3), (60, 90), (25, 400)):
+            text = "".join(rng.choice(["ab", "b", "cab", "x", "a"]) + " " * rng.randint(0, gap) for _ in range(size))
+            at = sorted((i, t) for t in terms for i in range(len(text)) if text.startswith(t, i))
+            best = 0.0
+            for i in range(len(at)):
+                ends = [j for j in range(i + 1, len(at))]
+                reach = next((n + 1 for n, j in enumerate(ends) if at[j][0] - at[i][0] + 1 > 500), len(ends))
+                for j in ends[:reach]:
+                    best = max(best, len({t for _, t in at[i : j + 1]}) / (1 + (at[j][0] - at[i][0] + 1) / 200))
+            want = min(1.0, len({t for _, t in at}) / len(terms) / 2 + best / 2)
+            assert abs(rerank.density(terms, text) - want) < 1e-12
+
+
+def test_density_of_a_long_text_is_not_quadratic():
+    assert rerank.density(["ab", "b", "zz"], "ab " * 100_000) > 0
+
+
+def test_a_stored_index_gives_the_same_lists(spark):
+    x, q = docs(spark), queries(spark, "quick fox quick", "retry_flag 3000", "lazy", "nothing here", "成本中心")
+    index = retrieval.build_index(x)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(retrieval.bm25(index, q)) == rows(retrieval.bm25(x, q)) != []
+    terms = q.select(F.explode(T.query_terms(F.col("query"))).alias("term"))
+    assert rows(rerank.idf(x, terms, index.frequencies)) == rows(rerank.idf(x, terms))
+    empty = retrieval.build_index(x.limit(0))
+    assert retrieval.bm25(empty, q).count() == 0
+
+
 def test_engine_end_to_end(spark):
     index = engine.Index(
         retrieval.index_documents(
