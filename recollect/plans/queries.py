@@ -72,7 +72,7 @@ def _strip(x: str) -> str:
 
 
 _SOURCES = """s AS (
-  SELECT id, r.title AS title, r.content[:10000] AS content, r.source_type AS source_type, r.ingested_at AS ingested_at FROM (
+  SELECT id, r.title AS title, r.content AS content, r.source_type AS source_type, r.ingested_at AS ingested_at FROM (
     SELECT id, min({'ingested_at': ingested_at, 'title': title, 'content': content, 'source_type': source_type, 'path': path}) AS r
     FROM vault_sources WHERE id IS NOT NULL GROUP BY id))"""
 _CLAIMS = """c AS (
@@ -120,10 +120,65 @@ _EXTRACT = rf"""l0 AS (SELECT id, unnest(range(1, len(p) + 1)) AS pos, unnest(p)
     CASE WHEN coalesce(tag, '') = 'decision' THEN 'stable' WHEN coalesce(tag, '') = 'todo' THEN 'temporary' WHEN {_signal("text", L.TEMPORARY)} THEN 'temporary' ELSE 'unknown' END AS durability,
     {_polarity("text")} AS polarity, round(least(0.95, weight::DOUBLE / (weight::DOUBLE + 1)), 3) AS confidence FROM (SELECT * FROM a UNION ALL SELECT * FROM b))"""
 
+
+
+def _greedy(name: str, threshold: float, also: str = "true") -> str:
+    """K6, K8, D3 in SQL, item by item: ``name`` is (id, grp, toks, i), i counting from 1 within a group in
+    order, with whatever ``also`` compares of a and b.  Gives ``name``_led (id, grp, leader)."""
+    both = "len(list_intersect(a.toks, b.toks))"
+    alike = f"len(a.toks) > 0 AND len(b.toks) > 0 AND {both}::DOUBLE / (len(a.toks) + len(b.toks) - {both}) >= {threshold} - 1e-12"
+    return f"""{name}_nb AS (SELECT b.grp, b.i, b.id, coalesce(list(a.id ORDER BY a.i) FILTER (a.id IS NOT NULL), []) AS nb FROM {name} b LEFT JOIN {name} a ON a.grp = b.grp AND a.i < b.i AND {alike} AND ({also}) GROUP BY 1, 2, 3),
+  {name}_st AS (SELECT DISTINCT grp, 0::BIGINT AS i, id[:0] AS leaders FROM (SELECT grp, [id] AS id FROM {name})
+    UNION ALL SELECT s.grp, n.i, CASE WHEN list_has_any(n.nb, s.leaders) THEN s.leaders ELSE list_append(s.leaders, n.id) END FROM {name}_st s JOIN {name}_nb n ON n.grp = s.grp AND n.i = s.i + 1),
+  {name}_led AS (SELECT n.id, n.grp, coalesce(list_filter(n.nb, lambda x: list_contains(f.leaders, x))[1], n.id) AS leader FROM {name}_nb n JOIN (SELECT grp, arg_max(leaders, i) AS leaders FROM {name}_st GROUP BY 1) f USING (grp))"""
+
+
+def _first_of(items: str, low: str = "lower(x)") -> str:
+    """A list without later repeats, order kept."""
+    return f"list_filter({items}, lambda x, i: list_position(list_transform({items}, lambda y: {low.replace('x', 'y')}), {low}) = i)"
+
+
+def _joined(*lists: str) -> str:
+    out = lists[0]
+    for other in lists[1:]:
+        out = f"list_concat({out}, {other})"
+    return out
+
+
+_CJK = r"\x{4e00}-\x{9fff}"
+
+
+def _found(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, '{pattern}')"
+
+
+def _runs(text: str, pattern: str) -> str:
+    """Matches between word boundaries of a pattern of word characters: whole runs of them."""
+    return rf"list_filter(regexp_extract_all({text}, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '{pattern}'))"
+
+
+def _exact_terms(q: str) -> str:
+    """T8 in SQL."""
+    plain = [_found(q, p) for p in (L.SNAKE, L.DOTTED, L.PREFIXED, L.HEX, L.NUMBER_UNIT)]
+    found = _joined(*plain, _runs(q, r"\d{3,}"), _found(q, L.SPECIALS), f"list_filter({_found(q, f'[{_CJK}]{{2,4}}')}, lambda t: length(t) >= 3)")
+    return f"list_filter({_first_of(found)}, lambda t: length(t) >= 2)"
+
+
+def _entity_terms(q: str) -> str:
+    return _joined(_found(q, L.SNAKE), _found(q, L.PREFIXED_QUERY), _runs(q, L.HEX), _found(q, L.NUMBER_UNIT_QUERY))
+
+
+def _query_terms(q: str) -> str:
+    """T3 in SQL."""
+    runs = _found(f"lower({q})", f"[{_CJK}]+|[a-zA-Z0-9_.-]+")
+    parts = "CASE WHEN r >= '一' AND length(r) >= 2 THEN list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1)), list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) ELSE [] END"
+    return _first_of(f"list_concat({runs}, flatten(list_transform({runs}, lambda r: {parts})))", "x")
+
+
 # --- text -------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, {_tokens('text')}[1:20] AS tokens FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, {_tokens('text')} AS tokens FROM documents WHERE text IS NOT NULL")
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
     """T1."""
     tokens = T.bm25_tokens(F.col("text"))
@@ -153,7 +208,7 @@ def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_DOC_QUERIES}, t AS (
+    f"""WITH qq AS (SELECT doc_id AS query_id, {_strip("text")} AS query FROM documents WHERE text IS NOT NULL), t AS (
       SELECT query_id, query, regexp_extract_all(regexp_replace(query, '[{L.QUERY_STOP_CN}]', ' ', 'g'), '[\\x{{4e00}}-\\x{{9fff}}]+|[a-zA-Z0-9_.-]+') AS parts FROM qq),
       k AS (SELECT query_id, query, list_transform(parts, lambda t: regexp_replace(t, '[{L.QUERY_PARTICLES}]+$', '')) AS parts FROM t)
     SELECT query_id, query AS original, array_to_string(list_filter(parts, lambda t: t <> '' AND NOT list_contains([{", ".join(repr(w) for w in L.QUERY_STOP_EN)}], lower(t))), ' ') AS keyword FROM k"""
@@ -163,7 +218,11 @@ def query_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return engine.rewrite(corpus.whole_texts(spark, d)).select("query_id", "original", "keyword")
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE text IS NOT NULL)
+    SELECT query_id, {_exact_terms("query")} AS exact, array_to_string({_first_of(_entity_terms("query"))}, ' ') AS entity, {_first_of(_joined(_entity_terms("query"), _found("query", f"[{_CJK}]{{3,}}")))} AS key_terms,
+      {_query_terms("query")} AS terms FROM q"""
+)
 def query_identifiers(spark: SparkSession, d: str) -> DataFrame:
     """T8, T10, T11 of every document's whole text."""
     q = F.col("query")
@@ -186,13 +245,16 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(corpus.documents_index(spark, d), corpus.document_queries(spark, d), K)
 
 
-_EXACT_TERMS = rf"""list_concat(regexp_extract_all(query, '{L.SNAKE}'), list_concat(regexp_extract_all(query, '{L.DOTTED}'), list_concat(regexp_extract_all(query, '{L.PREFIXED}'),
-  list_concat(regexp_extract_all(query, '{L.HEX}'), list_concat(regexp_extract_all(query, '{L.NUMBER_UNIT}'), list_filter(regexp_extract_all(query, '[\x{{4e00}}-\x{{9fff}}]{{2,4}}'), lambda z: length(z) >= 3))))))"""
+_EXACT = f"""{_DOC_QUERIES}, x AS (SELECT query_id, generate_subscripts(ts, 1) AS n, lower(unnest(ts)) AS low FROM (SELECT query_id, {_exact_terms("query")} AS ts FROM qq)),
+  b AS (SELECT doc_id, lower(text) AS body FROM documents WHERE text IS NOT NULL), l AS (SELECT DISTINCT low FROM x),
+  f AS (SELECT low, doc_id, (length(body) - length(replace(body, low, ''))) // length(low) AS c, instr(body, low) - 1 AS pos FROM l JOIN b ON contains(body, low)),
+  g AS (SELECT query_id, doc_id, round(sum((c * 2.0 + 1.0 / (1.0 + pos / 1000.0)) * (1.0 + length(low) / 20.0)) * (1.0 + 0.3 * (count(*) - 1)), 4) AS score FROM x JOIN f USING (low) GROUP BY 1, 2),
+  ex AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g)"""
 
 
-@query()
+@query(f"WITH {_EXACT} SELECT * FROM ex WHERE rank <= {K}")
 def exact_topk(spark: SparkSession, d: str) -> DataFrame:
-    """R4; tested against brute force, since the SQL engine's word boundaries differ."""
+    """R4."""
     docs = corpus.documents(spark, d).select("doc_id", "text")
     return retrieval.exact(docs, corpus.document_queries(spark, d), K).select("query_id", "doc_id", "score", "rank")
 
@@ -417,7 +479,14 @@ def hook_error(spark: SparkSession, d: str) -> DataFrame:
     return _fired(spark, d, "error").select("event_id", "text")
 
 
-@query()
+_ARGS = "CASE WHEN json_valid(args_json) AND json_type(args_json) = 'OBJECT' THEN args_json END"
+
+
+@query(
+    rf"""WITH t AS (SELECT id, name, {_ARGS} AS a, regexp_extract_all(coalesce(result, '')[:2000], '(?i){L.RESULT_KEYS}', 1)[1:5] AS ks FROM agent_events WHERE "type" = 'tool_use' AND coalesce(name, '') <> ''),
+    u AS (SELECT *, array_to_string(list_transform(json_keys(a)[1:5], lambda k: k || '=' || coalesce(json_extract_string(a, '/' || replace(replace(k, '~', '~0'), '/', '~1')), 'null')), ', ') AS args FROM t)
+    SELECT id AS event_id, ('Tool: ' || name || CASE WHEN coalesce(args, '') <> '' THEN ' | Args: ' || args ELSE '' END || CASE WHEN len(ks) > 0 THEN ' | Keys: ' || array_to_string(ks, ', ') ELSE '' END)[:500] AS text, ['tool_use', name] AS tags FROM u"""
+)
 def hook_tool(spark: SparkSession, d: str) -> DataFrame:
     """H3."""
     return _fired(spark, d, "tool_use").select("event_id", "text", "tags")
@@ -542,7 +611,11 @@ def contradictions(spark: SparkSession, d: str) -> DataFrame:
     return truth.contradictions(corpus.claims(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE o AS (SELECT fact_id AS id, any_value(coalesce(entities[1], '')) AS grp, any_value(coalesce(fact, '')) AS text, any_value(coalesce("timestamp", 0)) AS t FROM consolidated_facts WHERE fact_id IS NOT NULL GROUP BY 1),
+    it AS (SELECT id, grp, {_set("text")} AS toks, row_number() OVER (PARTITION BY grp ORDER BY -t, id) AS i FROM o), {_greedy("it", L.SAME_FACT)}
+    SELECT id, leader, CASE WHEN id = leader THEN 1.0 ELSE {L.ABSORBED_WEIGHT} END::DOUBLE AS weight FROM it_led"""
+)
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
     """K6 over the facts, within each first entity."""
     f = table(spark, d, "consolidated_facts").where("fact_id is not null")
@@ -551,7 +624,13 @@ def consolidate(spark: SparkSession, d: str) -> DataFrame:
     return truth.consolidate(one.select("id", grp.alias("grp"), F.col("r.fact").alias("text"), "r.timestamp"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CLAIMS}, o AS (SELECT claim_id AS id, entity_id AS grp, text, coalesce(created_at, 0) AS t, coalesce(durability = 'temporary', false) AS tmp FROM c WHERE status = 'active' AND entity_id IS NOT NULL AND text IS NOT NULL),
+    it AS (SELECT id, grp, {_set("text")} AS toks, row_number() OVER (PARTITION BY grp ORDER BY -t, id) AS i FROM o), {_greedy("it", L.SAME_FACT)},
+    k AS (SELECT o.* FROM o JOIN it_led USING (id) WHERE leader = id),
+    it2 AS (SELECT id, grp, tmp, {_set("text")} AS toks, row_number() OVER (PARTITION BY grp ORDER BY -t, id) AS i FROM k), {_greedy("it2", L.SAME_TEMPORARY, "a.tmp OR b.tmp")}
+    SELECT o.id AS claim_id, CASE WHEN it2_led.leader = o.id THEN 'active' ELSE 'superseded' END AS status FROM o LEFT JOIN it2_led ON it2_led.id = o.id"""
+)
 def claim_supersede(spark: SparkSession, d: str) -> DataFrame:
     """K7, K8."""
     return truth.supersede(corpus.claims(spark, d))
@@ -620,12 +699,16 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_SCORE = f"""{_CLAIMS}, z AS (SELECT claim_id, max(cluster_size) AS cluster_size FROM dream_candidates WHERE claim_id IS NOT NULL GROUP BY 1),
-  x AS (SELECT c.*, coalesce(cluster_size, 1) AS cs, coalesce(len(evidence), 0) AS ev, coalesce(len(list_distinct(list_transform(evidence, lambda e: e.source_id))), 0) AS sc FROM c LEFT JOIN z USING (claim_id) WHERE status = 'active' AND text IS NOT NULL),
+_SCORE = f"""RECURSIVE {_CLAIMS}, v AS (SELECT * FROM c WHERE status = 'active' AND text IS NOT NULL),
+  it AS (SELECT claim_id AS id, '' AS grp, {_set("text")} AS toks, row_number() OVER (ORDER BY created_at NULLS FIRST, claim_id) AS i FROM v), {_greedy("it", L.DREAM_CLUSTER)},
+  z AS (SELECT id AS claim_id, leader, count(*) OVER (PARTITION BY leader) AS cs FROM it_led),
+  cr AS (SELECT entity_id FROM v JOIN z USING (claim_id) WHERE entity_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT leader) > 1),
+  x AS (SELECT v.*, cs, (cr.entity_id IS NOT NULL)::INT AS crosses, coalesce(len(list_filter(evidence, lambda e: e IS NOT NULL)), 0) AS ev, coalesce(len(list_distinct(list_transform(evidence, lambda e: e.source_id))), 0) AS sc
+    FROM v JOIN z USING (claim_id) LEFT JOIN cr USING (entity_id)),
   y AS (SELECT claim_id, text, round(0.24 * least(1, least(1, ev / 3.0) + least(0.3, (cs - 1) * 0.1))
     + 0.30 * CASE WHEN list_contains(tags, 'decision') THEN 0.9 WHEN list_contains(tags, 'learning') THEN 0.8 WHEN list_contains(tags, 'action') THEN 0.6 WHEN list_contains(tags, 'todo') THEN 0.3 ELSE 0.4 END
     + 0.15 * least(1, sc / 2.0) + 0.15 * pow(2, -((({AS_OF}::DOUBLE - created_at) / 86400) / CASE durability WHEN 'temporary' THEN 3 WHEN 'stable' THEN 30 ELSE 7 END))
-    + 0.10 * CASE WHEN entity_id IS NOT NULL THEN 0.7 ELSE 0.2 END + 0.06 * least(1, length(text) / 100.0), 6) AS score FROM x)"""
+    + 0.10 * CASE WHEN entity_id IS NOT NULL THEN 0.7 ELSE 0.2 END + 0.06 * least(1, least(1, length(text) / 100.0) + 0.3 * crosses), 6) AS score FROM x)"""
 
 
 @query(f"WITH {_SCORE} SELECT claim_id, score, score >= 0.45 AS promoted FROM y")
@@ -649,7 +732,11 @@ def dream_light(spark: SparkSession, d: str) -> DataFrame:
     return dream.light(corpus.sources(spark, d), AS_OF, 24.0 * 90)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE o AS (SELECT fact_id AS id, any_value(coalesce(fact, '')) AS text, any_value(coalesce("timestamp", 0)) AS t FROM consolidated_facts WHERE fact_id IS NOT NULL GROUP BY 1),
+    it AS (SELECT id, '' AS grp, {_set("text")} AS toks, row_number() OVER (ORDER BY t, id) AS i FROM o), {_greedy("it", L.DREAM_CLUSTER)}
+    SELECT id AS claim_id, leader, count(*) OVER (PARTITION BY leader) AS size FROM it_led"""
+)
 def dream_clusters(spark: SparkSession, d: str) -> DataFrame:
     """D3 over the distinct facts."""
     f = table(spark, d, "consolidated_facts").where("fact_id is not null")
@@ -670,7 +757,7 @@ def foresight_expire(spark: SparkSession, d: str) -> DataFrame:
 # --- vault and pull ---------------------------------------------------------------------
 
 
-@query(f"WITH {_SOURCES} SELECT id, title, length(content) AS stored_chars, source_type FROM s")
+@query(f"WITH {_SOURCES} SELECT id, title, length(content[:10000]) AS stored_chars, source_type FROM s")
 def source_load(spark: SparkSession, d: str) -> DataFrame:
     """C2, C3."""
     return corpus.sources(spark, d).select("id", "title", F.length(F.substring("content", 1, corpus.STORED_CHARS)).alias("stored_chars"), "source_type")
