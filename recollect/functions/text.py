@@ -128,11 +128,11 @@ def title_of(text: Column) -> Column:
     return F.coalesce(F.substring(F.try_element_at(F.filter(lines, lambda x: F.length(x) > 3), F.lit(1)), 1, 80), F.lit("Untitled"))
 
 
-#: Ordered substitutions of the markdown cleaner (fixed values).
+#: Ordered substitutions of the markdown cleaner (fixed values); lines end with \\n only.
 MARKDOWN = (
-    (r"(?s)```[\w]*\n(.*?)```", "$1"), (r"`([^`]+)`", "$1"), (r"\*\*(.+?)\*\*", "$1"), (r"__(.+?)__", "$1"), (r"(?U)(?<!\w)\*(.+?)\*(?!\w)", "$1"), (r"~~(.+?)~~", "$1"),
-    (r"(?m)^#{1,6}\s+", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"<[^>]+>", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"(?m)^>\s?", ""),
-    (r"(?m)^\|[-:| ]+\|\s*$", ""), (r"(?m)^\||\|$", ""),
+    (r"(?s)```[\w]*\n(.*?)```", "$1"), (r"`([^`]+)`", "$1"), (r"(?d)\*\*(.+?)\*\*", "$1"), (r"(?d)__(.+?)__", "$1"), (r"(?dU)(?<!\w)\*(.+?)\*(?!\w)", "$1"), (r"(?d)~~(.+?)~~", "$1"),
+    (r"(?dm)^#{1,6}\s+", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"<[^>]+>", ""), (r"(?dm)^[-*_]{3,}\s*$", ""), (r"(?dm)^>\s?", ""),
+    (r"(?dm)^\|[-:| ]+\|\s*$", ""), (r"(?dm)^\||\|$", ""),
 )
 
 

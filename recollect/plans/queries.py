@@ -175,6 +175,73 @@ def _query_terms(q: str) -> str:
     return _first_of(f"list_concat({runs}, flatten(list_transform({runs}, lambda r: {parts})))", "x")
 
 
+
+_WORDY = r"\p{L}\p{N}\p{M}_"
+#: A text in which no word boundary stands between ASCII and other letters, as the SQL engine sees them.
+_OTHER = r"[\x{aa}\x{b5}\x{ba}\x{c0}-\x{2af}\x{300}-\x{1fff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}]"
+_BOUND = rf"regexp_replace(regexp_replace(content, '([A-Za-z0-9_])({_OTHER})', '\1_\2', 'g'), '({_OTHER})([A-Za-z0-9_])', '\1_\2', 'g')"
+
+
+def _between(text: str, pattern: str) -> str:
+    """Matches of a pattern of any letters between word boundaries."""
+    return rf"regexp_extract_all({text}, '(?i)(?:^|[^{_WORDY}])({pattern})(?:$|[^{_WORDY}])', 1)"
+
+
+def _typed_matches() -> list[tuple[int, str, str]]:
+    """(rank, type, SQL list of names) of X8."""
+    email = rf"regexp_extract_all(content, '([{_WORDY}][{_WORDY}.+-]*@[{_WORDY}-]+\.[{_WORDY}.-]*[{_WORDY}])', 1)"
+    out = []
+    for i, (kind, patterns) in enumerate(L.TYPED):
+        for j, p in enumerate(patterns):
+            if "@" in p:
+                sql = email
+            elif "财年" in p or "美元" in p or "策略" in p:
+                inner = p.removeprefix("(?i)").removeprefix(r"\b(").removesuffix(r"\b").removesuffix(")")
+                sql = _between("content", inner) if p.endswith(r"\b") else rf"regexp_extract_all(content, '(?i)(?:^|[^{_WORDY}])({inner})', 1)"
+            elif r"\b" in p:
+                sql = f"regexp_extract_all(bound, '{p}', 1)"
+            elif p.startswith("(?<![A-Za-z])"):
+                sql = f"regexp_extract_all(content, '(?:^|[^A-Za-z]){p.removeprefix('(?<![A-Za-z])')}', 1)"
+            else:
+                sql = f"regexp_extract_all(content, '{p}', 1)"
+            out.append((i * 100 + j, kind, sql))
+    return out
+
+
+def _suffix(name: str) -> str:
+    return _case([(f"regexp_matches({name}, '{p}')", f"'{t}'") for t, p in L.SUFFIXES], "'named'")
+
+
+_TYPED = f"""{_SOURCES}, tx AS (SELECT id, content, {_BOUND} AS bound FROM s WHERE content IS NOT NULL),
+  th AS (SELECT id, rank, type, {_strip("name")} AS name FROM ({" UNION ALL ".join(f"SELECT id, {r} AS rank, '{t}' AS type, unnest({q}) AS name FROM tx" for r, t, q in _typed_matches())})),
+  t1 AS (SELECT id, name, arg_min(type, rank) AS type FROM th WHERE length(name) >= 2 GROUP BY 1, 2),
+  ty AS (SELECT * FROM t1 a WHERE NOT EXISTS (SELECT 1 FROM t1 b WHERE b.id = a.id AND b.type = a.type AND length(b.name) > length(a.name) AND contains(b.name, a.name)))"""
+
+
+def _candidates_sql() -> str:
+    """X11, X12 and F5 in SQL: (id, name) of noun-like strings."""
+    stop = sorted(L.name_stop_cn())
+    many = "|".join(sorted((w for w in stop if len(w) > 1), key=len, reverse=True))
+    every = "|".join(sorted(stop, key=len, reverse=True))
+    full = lambda run, p: f"list_filter(regexp_extract_all(content, '{run}'), lambda w: regexp_full_match(w, '{p}'))"
+    latin = [
+        full("[A-Za-z]+", "[A-Z][a-z]+(?:[A-Z][a-z]+)+"),
+        "list_filter(list_transform(regexp_extract_all(content, '[A-Za-z]+'), lambda w: regexp_extract(w, '^([A-Z][a-z]+[A-Z]{2,5})(?:[A-Z].*)?$', 1)), lambda w: w <> '')",
+        full("[A-Za-z]+", "[A-Z]{2,8}"),
+        full("[A-Za-z0-9_-]+", "[a-z][a-z0-9]*(?:[_-][a-z0-9]+){1,5}"),
+        "regexp_extract_all(bound, '" + L.CANDIDATES[4] + "', 1)",
+        *(f"regexp_extract_all(content, '{p}', 1)" for p in L.CANDIDATES[5:]),
+    ]
+    cut = f"regexp_extract_all(regexp_replace(content, '(?:{many}|[{L.PARTICLES}])', chr(1), 'g'), '[{_CJK}]{{2,}}')"
+    chunk = f"CASE WHEN length(c) <= 4 OR {_suffix('c')} <> 'named' THEN [c] ELSE [c[:4], c[-4:]] END"
+    names = " UNION ALL ".join(f"SELECT id, regexp_replace({_strip('unnest(' + q + ')')}, '^(?:The|A|An) ', '') AS name FROM tx" for q in latin)
+    no = (
+        f"length(name) < 2 OR regexp_matches(regexp_replace(name, '[,. ]', '', 'g'), '^[0-9]+$') OR list_contains({stop!r}, name) OR (regexp_matches(name, '^[A-Z][a-z]*$') AND list_contains({list(L.NAME_STOP_EN)!r}, lower(name)))"
+        f" OR (regexp_matches(name, '^[{_CJK}]+$') AND regexp_matches(name, '^[{L.FRAGMENT_STARTERS}]|^(?:{many})*(?:{every})$'))"
+    )
+    return f"SELECT DISTINCT id, name FROM ({names} UNION ALL SELECT id, unnest(flatten(list_transform({cut}, lambda c: {chunk}))) FROM tx) WHERE NOT ({no})"
+
+
 # --- text -------------------------------------------------------------------------------
 
 
@@ -201,9 +268,26 @@ def title_derive(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.title_of(F.col("text")).alias("title"))
 
 
-@query()
+def _clean(text: str) -> str:
+    """T5 in SQL."""
+    for pattern, new in T.MARKDOWN:
+        p, new = pattern.replace("(?dU)", "").replace("(?dm)", "(?m)").replace("(?d)", "").replace("'", "''"), new.replace("$1", r"\1")
+        if "(?<!" in p:  # emphasis between characters that are no letters; twice, since neighbours share such a character
+            for _ in range(2):
+                text = rf"regexp_replace({text}, '(^|[^{_WORDY}])\*(.+?)\*($|[^{_WORDY}])', '\1\2\3', 'g')"
+        else:
+            text = f"regexp_replace({text}, '{p}', '{new}', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return _strip(f"array_to_string(list_transform(string_split({text}, chr(10)), lambda x: {_strip('x')}), chr(10))")
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, text AS content FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, content, {_BOUND} AS bound FROM t),
+    v AS (SELECT doc_id, content, list_concat(list_concat(list_filter(list_transform(regexp_extract_all(content, '`([^`]+)`', 1), lambda t: {_strip("t")}), lambda t: t <> '' AND length(t) < 100), regexp_extract_all(bound, '\b({L.SNAKE})\b', 1)), regexp_extract_all(bound, '\b({L.PREFIXED})\b', 1)) AS ids FROM u)
+    SELECT doc_id, {_clean("content")} AS plain, {_first_of("ids")} AS identifiers FROM v"""
+)
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """T5 to T7; look-arounds have no SQL."""
+    """T5 to T7."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.clean_markdown(F.col("text")).alias("plain"), T.identifiers(F.col("text")).alias("identifiers"))
 
 
@@ -229,7 +313,11 @@ def query_identifiers(spark: SparkSession, d: str) -> DataFrame:
     return corpus.whole_texts(spark, d).select("query_id", T.exact_terms(q).alias("exact"), T.entity_query(q).alias("entity"), T.rerank_entities(q).alias("key_terms"), T.query_terms(q).alias("terms"))
 
 
-@query()
+@query(
+    f"""WITH f AS (SELECT doc_id, list_transform({_joined(*(f"regexp_extract_all(text, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in L.INCIDENTAL))}, lambda t: regexp_replace({_strip("t")}, '[,;:]+$', '')) AS fs FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT doc_id, list_filter(fs, lambda t: length(t) >= {L.FACT_CHARS[0]} AND length(t) <= {L.FACT_CHARS[1]}) AS fs FROM f)
+    SELECT doc_id, generate_subscripts(fs, 1)::INT - 1 AS pos, unnest(fs) AS fact FROM (SELECT doc_id, {_first_of("fs")} AS fs FROM g)"""
+)
 def fact_extract(spark: SparkSession, d: str) -> DataFrame:
     """T16."""
     x = table(spark, d, "documents").where("text is not null")
@@ -639,13 +727,16 @@ def claim_supersede(spark: SparkSession, d: str) -> DataFrame:
 # --- entities ---------------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH {_TYPED} SELECT * FROM ty")
 def entity_typed(spark: SparkSession, d: str) -> DataFrame:
     """X8, X9."""
     return entities.typed(corpus.sources(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {_TYPED}, ca AS ({_candidates_sql()}), al AS (SELECT id, name, type, 0 AS p FROM ty UNION ALL SELECT id, name, {_suffix("name")}, 2 FROM ca)
+    SELECT id, name, arg_min(type, p) AS type FROM al GROUP BY 1, 2"""
+)
 def entity_extract(spark: SparkSession, d: str) -> DataFrame:
     """X11 to X14, F5."""
     return entities.extract(corpus.sources(spark, d))
