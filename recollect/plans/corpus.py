@@ -79,17 +79,17 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "vault_entities").where("id is not null and name is not null").withColumn("name", F.trim("name"))
 
 
-def vault_index(spark: SparkSession, d: str) -> Index:
+def vault_index(spark: SparkSession, d: str, facts: bool = False) -> Index:
     """Sources and entity pages with their graph and stored index."""
-    return stored(spark, d, ("vault_sources", "vault_claims", "vault_entities"), "vault", lambda: _vault_index(spark, d))
+    return stored(spark, d, ("vault_sources", "vault_claims", "vault_entities"), f"vault {facts}", lambda: _vault_index(spark, d, facts))
 
 
-def _vault_index(spark: SparkSession, d: str) -> Index:
+def _vault_index(spark: SparkSession, d: str, facts: bool) -> Index:
     c = claims(spark, d)
     texts = truth.active(c).where("entity_id is not null and text is not null").groupBy("entity_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("created_at", "claim_id", "text"))), lambda x: x["text"]).alias("claims"))
     e = entities(spark, d)
     pages = e.select("id", "name").join(truth.summaries(c).withColumnRenamed("entity_id", "id"), "id", "left").join(texts.withColumnRenamed("entity_id", "id"), "id", "left")
     names = e.select(F.col("id").alias("entity_id"), F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     edges = e.select(F.col("id").alias("entity_id"), F.explode("backlinks").alias("source_id"))
-    docs = cut_lineage(spread_rows(retrieval.index_documents(sources(spark, d), pages)))
+    docs = cut_lineage(spread_rows(retrieval.index_documents(sources(spark, d), pages, facts)))
     return Index(docs, names, edges, search=retrieval.build_index(docs))

@@ -65,12 +65,17 @@ def candidate_lists(index: Index, queries: DataFrame, k: int, query_vectors: Dat
     return lists
 
 
+def pool(index: Index, queries: DataFrame, k: int = 5, query_vectors: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the fused first of each query, fact children as their parents."""
+    return cut_lineage(retrieval.by_parent(retrieval.rrf(candidate_lists(index, queries, k, query_vectors), max(6 * k, 30))))
+
+
 def search(index: Index, queries: DataFrame, k: int = 5, query_vectors: DataFrame | None = None, reranked: bool = True) -> DataFrame:
     """(query_id, rank, doc_id, score): the best k documents of each query."""
-    pool = cut_lineage(retrieval.by_parent(retrieval.rrf(candidate_lists(index, queries, k, query_vectors), max(6 * k, 30))))
+    fused = pool(index, queries, k, query_vectors)
     if not reranked:
-        return pool.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-    return rerank.rerank(pool, index.docs, queries, k, index.search.frequencies if index.search else None).select("query_id", "rank", "doc_id", "score")
+        return fused.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return rerank.rerank(fused, index.docs, queries, k, index.search.frequencies if index.search else None).select("query_id", "rank", "doc_id", "score")
 
 
 def show(results: DataFrame, index: Index, queries: DataFrame) -> DataFrame:

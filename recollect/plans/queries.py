@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recollect.functions import lexicon as L
 from recollect.functions import text as T
 from recollect.operators import claims as C
-from recollect.operators import dream, entities, evaluate, events, graph, hooks, retrieval, truth, umsf
+from recollect.operators import dream, entities, evaluate, events, graph, hooks, leader, rerank, retrieval, truth, umsf
 from recollect.plans import corpus, engine
 from recollect.session import cut_lineage
 from recollect.sources import pull
@@ -242,6 +242,19 @@ def _candidates_sql() -> str:
     return f"SELECT DISTINCT id, name FROM ({names} UNION ALL SELECT id, unnest(flatten(list_transform({cut}, lambda c: {chunk}))) FROM tx) WHERE NOT ({no})"
 
 
+
+def _facts_of(text: str) -> str:
+    """T16 in SQL, with repeats."""
+    found = _joined(*(f"regexp_extract_all({text}, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in L.INCIDENTAL))
+    return f"list_filter(list_transform({found}, lambda t: regexp_replace({_strip('t')}, '[,;:]+$', '')), lambda t: length(t) >= {L.FACT_CHARS[0]} AND length(t) <= {L.FACT_CHARS[1]})"
+
+
+_SUMMARY = f"""su_a AS (SELECT *, coalesce(tags[1], 'other') AS tag FROM c WHERE status = 'active' AND entity_id IS NOT NULL AND text IS NOT NULL),
+  su_r AS (SELECT *, list_position({list(L.SUMMARY_ORDER)}, tag) AS place, row_number() OVER (PARTITION BY entity_id, tag ORDER BY confidence DESC NULLS LAST, created_at, claim_id) AS n FROM su_a),
+  su_p AS (SELECT entity_id, place, '[' || ({list(L.SUMMARY_LABELS)})[place] || '] ' || string_agg(text[:120], '; ' ORDER BY n) AS p FROM su_r WHERE place > 0 AND n <= 3 GROUP BY 1, 2),
+  su_j AS (SELECT entity_id, string_agg(p, ' | ' ORDER BY place) AS summary FROM su_p GROUP BY 1), su_f AS (SELECT entity_id, arg_min(text[:200], (created_at, claim_id)) AS first FROM su_a GROUP BY 1),
+  su AS (SELECT entity_id, coalesce(summary, first) AS summary FROM su_f LEFT JOIN su_j USING (entity_id))"""
+
 # --- text -------------------------------------------------------------------------------
 
 
@@ -314,8 +327,7 @@ def query_identifiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH f AS (SELECT doc_id, list_transform({_joined(*(f"regexp_extract_all(text, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in L.INCIDENTAL))}, lambda t: regexp_replace({_strip("t")}, '[,;:]+$', '')) AS fs FROM documents WHERE text IS NOT NULL),
-    g AS (SELECT doc_id, list_filter(fs, lambda t: length(t) >= {L.FACT_CHARS[0]} AND length(t) <= {L.FACT_CHARS[1]}) AS fs FROM f)
+    f"""WITH g AS (SELECT doc_id, {_facts_of("text")} AS fs FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, generate_subscripts(fs, 1)::INT - 1 AS pos, unnest(fs) AS fact FROM (SELECT doc_id, {_first_of("fs")} AS fs FROM g)"""
 )
 def fact_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -407,13 +419,137 @@ def graph_2hop(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(found.select("query_id", "doc_id", F.round("score", 4).alias("score")), K)
 
 
-@query()
+def _ranked(scored: str, out: str) -> str:
+    return f"{out} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {scored})"
+
+
+def _bm25_over(out: str, docs: str, queries: str) -> str:
+    """R2 in SQL: ``docs`` (doc_id, text), ``queries`` (query_id, query)."""
+    return f"""{out}_d AS (SELECT doc_id, text, {_tokens("text")} AS toks FROM {docs}), {out}_st AS (SELECT count(*) AS n, avg(len(toks)) AS avg_dl FROM {out}_d),
+  {out}_p AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM {out}_d) GROUP BY 1, 2), {out}_df AS (SELECT term, count(*) AS df FROM {out}_p GROUP BY 1),
+  {out}_qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_tokens("query")}) AS term FROM {queries}) GROUP BY 1, 2),
+  {out}_sc AS (SELECT query_id, doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))) AS s FROM {out}_qt JOIN {out}_df USING (term) JOIN {out}_p USING (term), {out}_st GROUP BY 1, 2),
+  {out}_bo AS (SELECT query_id, doc_id, round(s * CASE WHEN contains(lower(text), lower(query)) THEN CASE WHEN length(query) >= 6 THEN 1.5 * 1.3 ELSE 1.5 END ELSE 1 END, 4) AS score FROM {out}_sc JOIN {queries} USING (query_id) JOIN {out}_d USING (doc_id) WHERE s > 0),
+  {_ranked(out + "_bo", out)}"""
+
+
+def _exact_over(out: str, docs: str, queries: str) -> str:
+    """R4 in SQL, over (doc_id, raw)."""
+    return f"""{out}_x AS (SELECT query_id, lower(unnest(ts)) AS low FROM (SELECT query_id, {_exact_terms("query")} AS ts FROM {queries})), {out}_b AS (SELECT doc_id, lower(raw) AS body FROM {docs}), {out}_l AS (SELECT DISTINCT low FROM {out}_x),
+  {out}_f AS (SELECT low, doc_id, (length(body) - length(replace(body, low, ''))) // length(low) AS c, instr(body, low) - 1 AS pos FROM {out}_l JOIN {out}_b ON contains(body, low)),
+  {out}_g AS (SELECT query_id, doc_id, round(sum((c * 2.0 + 1.0 / (1.0 + pos / 1000.0)) * (1.0 + length(low) / 20.0)) * (1.0 + 0.3 * (count(*) - 1)), 4) AS score FROM {out}_x JOIN {out}_f USING (low) GROUP BY 1, 2), {_ranked(out + "_g", out)}"""
+
+
+def _identified(text: str) -> str:
+    return f"""list_concat(list_concat(list_filter(list_transform(regexp_extract_all({text}, '`([^`]+)`', 1), lambda t: {_strip("t")}), lambda t: t <> '' AND length(t) < 100), regexp_extract_all(bound, '\\b({L.SNAKE})\\b', 1)), regexp_extract_all(bound, '\\b({L.PREFIXED})\\b', 1))"""
+
+
+def _vault_docs(facts: bool) -> str:
+    """R1 in SQL: docs (doc_id, title, text, raw, page_type)."""
+    children = f""" UNION ALL SELECT id || '#fact_' || (n - 1), title, fact, fact, 'fact' FROM (SELECT id, title, generate_subscripts(fs, 1) AS n, unnest(fs) AS fact FROM (
+      SELECT id, title, {_first_of("fs")} AS fs FROM (SELECT id, title, {_facts_of("content")} AS fs FROM src)))""" if facts else ""
+    return f"""{_SOURCES}, {_CLAIMS}, {_SUMMARY}, src AS (SELECT id, coalesce(title, '') AS title, coalesce(content, '') AS content, {_BOUND} AS bound FROM s),
+  si AS (SELECT *, {_identified("content")} AS ids FROM src), sj AS (SELECT *, {_first_of("ids")} AS one FROM si),
+  ct AS (SELECT entity_id AS id, string_agg(text, chr(10) ORDER BY created_at NULLS FIRST, claim_id) AS claims FROM c WHERE status = 'active' AND entity_id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+  ep AS (SELECT e.id, trim(name) AS name, trim(name) || chr(10) || coalesce(summary, '') || chr(10) || coalesce(claims, '') AS page FROM vault_entities e LEFT JOIN su ON su.entity_id = e.id LEFT JOIN ct ON ct.id = e.id WHERE e.id IS NOT NULL AND name IS NOT NULL),
+  docs AS (SELECT id AS doc_id, title, {_clean("content")} || CASE WHEN len(one) > 0 THEN chr(10) || array_to_string(one, ' ') ELSE '' END AS text, content AS raw, 'source' AS page_type FROM sj
+    UNION ALL SELECT id, name, page, page, 'entity' FROM ep{children})"""
+
+
+def _engine(facts: bool = False) -> str:
+    """R8 to R10 in SQL: pool (query_id, doc_id, score, rank) of the thirty fused first."""
+    return f"""{_vault_docs(facts)}, {_DOC_QUERIES},
+  rw0 AS (SELECT query_id, {_strip("query")} AS original FROM qq),
+  rw AS (SELECT query_id, original, array_to_string({_first_of(_entity_terms("original"))}, ' ') AS entity, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(original, '[{L.QUERY_STOP_CN}]', ' ', 'g'), '[{_CJK}]+|[a-zA-Z0-9_.-]+'),
+    lambda t: regexp_replace(t, '[{L.QUERY_PARTICLES}]+$', '')), lambda t: t <> '' AND NOT list_contains({list(L.QUERY_STOP_EN)!r}, lower(t))), ' ') AS keyword FROM rw0),
+  q1 AS (SELECT query_id, original AS query FROM rw), q2 AS (SELECT query_id, entity AS query FROM rw WHERE entity <> '' AND entity <> original), q3 AS (SELECT query_id, keyword AS query FROM rw WHERE keyword <> '' AND keyword <> original),
+  {_exact_over("ex1", "docs", "q1")}, {_exact_over("ex2", "docs", "q2")}, {_bm25_over("bm1", "docs", "q1")}, {_bm25_over("bm2", "docs", "q3")},
+  nm AS (SELECT DISTINCT id AS entity_id, lower(trim(unnest(list_concat([trim(name)], coalesce(aliases, []))))) AS name FROM vault_entities WHERE id IS NOT NULL AND name IS NOT NULL),
+  rt AS (SELECT query_id, entity_id, count(*) AS times FROM q1 JOIN nm ON nm.name <> '' AND contains(lower(query), nm.name) GROUP BY 1, 2),
+  cn AS (SELECT entity_id, source_id, count(*) AS k FROM (SELECT id AS entity_id, unnest(backlinks) AS source_id FROM vault_entities WHERE id IS NOT NULL AND name IS NOT NULL) WHERE source_id IS NOT NULL GROUP BY 1, 2),
+  ed AS (SELECT entity_id, source_id, k / (SELECT max(k) FROM cn) AS ew FROM cn), h1 AS (SELECT query_id, source_id, sum(ew * times) AS score FROM rt JOIN ed USING (entity_id) GROUP BY 1, 2),
+  wy AS (SELECT query_id, ed.entity_id, count(*) AS ways FROM h1 JOIN ed USING (source_id) WHERE (query_id, ed.entity_id) NOT IN (SELECT query_id, entity_id FROM rt) GROUP BY 1, 2),
+  h2 AS (SELECT query_id, source_id, sum(ew * 0.5 * ways) AS score FROM wy JOIN ed USING (entity_id) WHERE (query_id, source_id) NOT IN (SELECT query_id, source_id FROM h1) GROUP BY 1, 2),
+  gr0 AS (SELECT query_id, source_id AS doc_id, round(score, 4) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)), {_ranked("gr0", "gr")},
+  fu0 AS (SELECT query_id, doc_id, 2.0 / (60 + rank) AS s FROM ex1 WHERE rank <= 15 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM ex2 WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, 2.0 / (60 + rank) FROM bm1 WHERE rank <= 15
+    UNION ALL SELECT query_id, doc_id, 1.5 / (60 + rank) FROM bm2 WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, 0.5 / (60 + rank) FROM gr WHERE rank <= 10),
+  fu1 AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM fu0 GROUP BY 1, 2), {_ranked("fu1", "fu2")},
+  fu3 AS (SELECT query_id, split_part(doc_id, '#fact_', 1) AS doc_id, score, rank, row_number() OVER (PARTITION BY query_id, split_part(doc_id, '#fact_', 1) ORDER BY rank) AS n FROM fu2 WHERE rank <= 30),
+  pool AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM fu3 WHERE n = 1)"""
+
+
+def _flat(x: str) -> str:
+    return f"regexp_replace({x}, '[{_SPACE}]+', '', 'g')"
+
+
+def _rerank_tokens(text: str) -> str:
+    """T2 in SQL."""
+    raw = rf"regexp_extract_all(lower({text}), '[\x{{4e00}}-\x{{9fff}}]|[a-zA-Z0-9_.-]+')"
+    cjk = f"list_filter({raw}, lambda z: z >= '一')"
+    return f"list_concat({raw}, list_transform(list_zip({cjk}[:-2], {cjk}[2:]), lambda p: p[1] || p[2]))"
+
+
+def _rerank(pool: str) -> str:
+    """R11 in SQL: sig (query_id, doc_id and the signals), rr (query_id, doc_id, score, rank)."""
+    share = lambda keep: f"coalesce(sum(idf) FILTER ({keep}), 0) / sum(idf)"
+    return rf"""rq AS (SELECT query_id, query, {_query_terms("query")} AS terms, {_first_of(_joined(_entity_terms("query"), _found("query", f"[{_CJK}]{{3,}}")))} AS wanted FROM qq),
+  dn AS (SELECT count(*) AS n FROM docs), dw AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_rerank_tokens("raw")})) AS term FROM docs) GROUP BY 1),
+  ti AS (SELECT query_id, term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1.0 AS idf FROM (SELECT query_id, unnest(terms) AS term FROM rq) LEFT JOIN dw USING (term), dn),
+  pb0 AS (SELECT p.query_id, p.doc_id, p.rank, max(p.rank) OVER (PARTITION BY p.query_id) AS n, rq.query, rq.wanted, title, page_type, {_clean("lower(raw)")} AS body FROM {pool} p JOIN rq USING (query_id) JOIN docs USING (doc_id)),
+  pb AS (SELECT *, {_flat("body")} AS flat, {_rerank_tokens("body")} AS toks, lower(title) AS low_title, body[:greatest(200, greatest(length(body), 1) // 5)] AS head, {_clean("lower(query)")} AS plain FROM pb0),
+  ts AS (SELECT query_id, doc_id, {share("list_contains(toks, term) OR contains(flat, term)")} AS tfidf, {share("contains(low_title, term)")} AS title, {share(f"contains(head, term) OR contains({_flat('head')}, term)")} AS position FROM pb JOIN ti USING (query_id) GROUP BY 1, 2),
+  oc AS (SELECT query_id, doc_id, term, unnest(list_filter(range(1, length(body) + 1), lambda i: substr(body, i, length(term)) = term)) AS pos FROM pb JOIN ti USING (query_id) WHERE contains(body, term)),
+  nx AS (SELECT a.query_id, a.doc_id, a.pos, a.term, b.term AS other, min(b.pos) AS nxt FROM oc a JOIN oc b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.pos >= a.pos GROUP BY 1, 2, 3, 4, 5),
+  la AS (SELECT a.query_id, a.doc_id, a.pos, min(b.pos) AS last FROM (SELECT DISTINCT query_id, doc_id, pos FROM oc) a JOIN oc b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.pos >= a.pos + 500 GROUP BY 1, 2, 3),
+  de AS (SELECT query_id, doc_id, pos, nxt, row_number() OVER (PARTITION BY query_id, doc_id, pos, term ORDER BY nxt) AS m FROM nx),
+  dm AS (SELECT query_id, doc_id, max(m / (1 + (nxt - pos + 1) / 200.0)) FILTER (m > 1 AND nxt <= coalesce(last, 1000000000)) AS best FROM de LEFT JOIN la USING (query_id, doc_id, pos) GROUP BY 1, 2),
+  gp AS (SELECT query_id, doc_id, min(gap) AS gap, count(*) AS hits, count(DISTINCT term) AS found FROM (SELECT query_id, doc_id, term, pos, lead(pos) OVER (PARTITION BY query_id, doc_id ORDER BY pos) - pos AS gap FROM oc) GROUP BY 1, 2),
+  tg AS (SELECT query_id, doc_id, CASE WHEN hits < 2 THEN found / len(terms) * 0.5 ELSE least(1.0, found / len(terms) * 0.5 + greatest(coalesce(best, 0), 1 / (1 + (gap + 1) / 200.0)) * 0.5) END AS together FROM gp LEFT JOIN dm USING (query_id, doc_id) JOIN rq USING (query_id)),
+  rare AS (SELECT query_id, list(term) AS singles FROM ti WHERE length(term) = 1 AND idf > 3.0 GROUP BY 1),
+  hi AS (SELECT query_id, unnest(list_distinct(list_filter({_found("lower(query)", f"[{_CJK}]+|[a-zA-Z0-9_.-]+")}, lambda t: length(t) >= 2 OR list_contains(coalesce(singles, []), t)))) AS t FROM rq LEFT JOIN rare USING (query_id)),
+  hn AS (SELECT query_id, count(*) AS hn FROM hi GROUP BY 1),
+  pa AS (SELECT query_id, doc_id, unnest(string_split(regexp_replace(regexp_replace(body, '\n\s*\n', chr(1), 'g'), '\n(#{{1,3}}\s|[-*]\s)', chr(1) || '\1', 'g'), chr(1))) AS p FROM pb),
+  pd AS (SELECT query_id, doc_id, max(k) AS k FROM (SELECT query_id, doc_id, p, count(*) AS k FROM (SELECT DISTINCT query_id, doc_id, p FROM pa WHERE length({_strip("p")}) >= 20) JOIN hi USING (query_id) WHERE contains(lower(p), t) OR contains({_flat("lower(p)")}, t) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  sig AS (SELECT query_id, doc_id, rank, page_type, ts.tfidf, CASE WHEN len(wanted) > 0 THEN len(list_filter(wanted, lambda e: contains(body, lower(e)) OR contains(flat, lower(e)))) / len(wanted) ELSE ts.tfidf END AS coverage,
+    CASE WHEN contains(body, plain) OR contains(flat, {_flat("plain")}) THEN 1.0 ELSE 0.0 END AS phrase, ts.title, ts.position, coalesce(together, 0) AS together, 1.0 - (rank - 1) / n AS original, coalesce(k / hn, 0) AS density
+    FROM pb JOIN ts USING (query_id, doc_id) LEFT JOIN tg USING (query_id, doc_id) LEFT JOIN pd USING (query_id, doc_id) LEFT JOIN hn USING (query_id)),
+  sb AS (SELECT *, tfidf * 0.25 + coverage * 0.10 + phrase * 0.10 + title * 0.15 + position * 0.15 + together * 0.10 + original * 0.05 AS base FROM sig),
+  rr0 AS (SELECT query_id, doc_id, round(CASE WHEN page_type = 'entity' AND NOT (phrase > 0.5 OR coverage > 0.7) THEN base * 0.5 ELSE base END + density * 0.08, 4) AS score FROM sb), {_ranked("rr0", "rr")}"""
+
+
+@query(f"WITH {_engine()}, {_rerank('pool')} SELECT query_id, rank, doc_id, score FROM rr WHERE rank <= 5")
 def engine_search(spark: SparkSession, d: str) -> DataFrame:
-    """All lists, fusion, parents and reranking over the vault."""
+    """Exact, BM25 and graph lists, fusion, parents and reranking over the vault, which has no vectors."""
     return engine.search(corpus.vault_index(spark, d), corpus.document_queries(spark, d), 5)
 
 
-@query()
+@query(f"WITH {_engine()}, {_rerank('pool')} SELECT query_id, doc_id, {', '.join(f'round({c}, 4) AS {c}' for c in ('tfidf', 'coverage', 'phrase', 'title', 'position', 'together', 'original', 'density'))} FROM sig")
+def rerank_signals(spark: SparkSession, d: str) -> DataFrame:
+    """R11a to R11i: every signal of each query's pool."""
+    index, q = corpus.vault_index(spark, d), corpus.document_queries(spark, d)
+    found = rerank.signals(engine.pool(index, q, 5), index.docs, q, index.search.frequencies)
+    return found.select("query_id", "doc_id", *(F.round(c, 4).alias(c) for c in ("tfidf", "coverage", "phrase", "title", "position", "together", "original", "density")))
+
+
+@query(f"WITH {_engine(facts=True)} SELECT query_id, rank, doc_id, score FROM pool WHERE rank <= 5")
+def engine_facts(spark: SparkSession, d: str) -> DataFrame:
+    """R9, R10 over an index with the sources' incidental facts as children, shown as their parents."""
+    return engine.search(corpus.vault_index(spark, d, facts=True), corpus.document_queries(spark, d), 5, reranked=False)
+
+
+@query(
+    f"""WITH {_CLAIMS}, t AS (SELECT claim_id, entity_id, {_set("text")} AS toks FROM c WHERE entity_id IS NOT NULL AND text IS NOT NULL),
+    p AS (SELECT a.claim_id AS a, b.claim_id AS b, len(list_intersect(a.toks, b.toks)) AS k, len(a.toks) + len(b.toks) AS n FROM t a JOIN t b ON a.entity_id = b.entity_id AND a.claim_id < b.claim_id AND len(a.toks) > 0 AND len(b.toks) > 0)
+    SELECT a, b, round(k / (n - k), 6) AS similarity FROM p WHERE k / (n - k) >= {L.SAME_FACT} - 1e-12"""
+)
+def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Like claims of an entity."""
+    c = corpus.claims(spark, d).where("entity_id is not null and text is not null")
+    items = c.select(F.col("claim_id").alias("id"), F.col("entity_id").alias("grp"), T.jaccard_tokens(F.col("text")).alias("tokens"))
+    return leader.similar_pairs(items, L.SAME_FACT).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {_engine()} SELECT query_id, rank, doc_id, score FROM pool WHERE rank <= 5")
 def engine_fused(spark: SparkSession, d: str) -> DataFrame:
     """R9 without reranking."""
     return engine.search(corpus.vault_index(spark, d), corpus.document_queries(spark, d), 5, reranked=False)
@@ -676,12 +812,7 @@ def timeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CLAIMS}, a AS (SELECT *, coalesce(tags[1], 'other') AS tag FROM c WHERE status = 'active' AND entity_id IS NOT NULL AND text IS NOT NULL),
-    r AS (SELECT *, list_position({list(L.SUMMARY_ORDER)}, tag) AS place, row_number() OVER (PARTITION BY entity_id, tag ORDER BY confidence DESC NULLS LAST, created_at, claim_id) AS n FROM a),
-    p AS (SELECT entity_id, place, '[' || ({list(L.SUMMARY_LABELS)})[place] || '] ' || string_agg(text[:120], '; ' ORDER BY n) AS p FROM r WHERE place > 0 AND n <= 3 GROUP BY 1, 2),
-    j AS (SELECT entity_id, string_agg(p, ' | ' ORDER BY place) AS summary FROM p GROUP BY 1),
-    f AS (SELECT entity_id, arg_min(text[:200], (created_at, claim_id)) AS first FROM a GROUP BY 1)
-    SELECT entity_id, coalesce(summary, first) AS summary FROM f LEFT JOIN j USING (entity_id)"""
+    f"WITH {_CLAIMS}, {_SUMMARY} SELECT entity_id, summary FROM su"
 )
 def truth_summary(spark: SparkSession, d: str) -> DataFrame:
     """K5."""
