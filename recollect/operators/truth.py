@@ -105,24 +105,29 @@ def supersede(claims: DataFrame) -> DataFrame:
     return c.select("claim_id").join(stay, "claim_id", "left").select("claim_id", F.coalesce("status", F.lit("superseded")).alias("status"))
 
 
+def opposed(claims: DataFrame) -> DataFrame:
+    """K9: (entity_id, claim_id, text, confidence, p): the active claims that take a side, surer than 0.5.
+
+    A neutral polarity is read from the text.
+    """
+    c = active(claims).where("entity_id is not null and text is not null and confidence > 0.5")
+    pol = F.when(F.coalesce("polarity", F.lit("neutral")) != "neutral", F.col("polarity")).otherwise(T.polarity(F.col("text")))
+    return c.select("entity_id", "claim_id", "text", "confidence", pol.alias("p")).where("p in ('positive', 'negative')")
+
+
 def contradictions(claims: DataFrame) -> DataFrame:
     """K9: (entity_id, positives, negatives): active claims of an entity with opposite polarity.
 
-    Both sides must have a confidence above 0.5.  A neutral polarity is read from the text.
     Contradicting pairs are all pairs across the two sides, so the sides are returned
     and not the pairs; ``pairs`` counts them.
     """
-    c = active(claims).where("entity_id is not null and text is not null and confidence > 0.5")
-    pol = F.when(F.coalesce("polarity", F.lit("neutral")) != "neutral", F.col("polarity")).otherwise(T.polarity(F.col("text")))
-    sides = c.select("entity_id", pol.alias("p")).groupBy("entity_id").agg(F.count_if(F.col("p") == "positive").alias("positives"), F.count_if(F.col("p") == "negative").alias("negatives"))
+    sides = opposed(claims).groupBy("entity_id").agg(F.count_if(F.col("p") == "positive").alias("positives"), F.count_if(F.col("p") == "negative").alias("negatives"))
     return sides.where("positives > 0 and negatives > 0").withColumn("pairs", F.col("positives") * F.col("negatives"))
 
 
 def contradicting_pairs(claims: DataFrame) -> DataFrame:
     """K9 in pairs, (entity_id, claim_a, claim_b), for a report on chosen entities."""
-    c = active(claims).where("entity_id is not null and text is not null and confidence > 0.5")
-    pol = F.when(F.coalesce("polarity", F.lit("neutral")) != "neutral", F.col("polarity")).otherwise(T.polarity(F.col("text")))
-    sides = c.select("entity_id", "claim_id", pol.alias("p"))
+    sides = opposed(claims)
     a = sides.where("p = 'positive'").select("entity_id", F.col("claim_id").alias("x"))
     b = sides.where("p = 'negative'").select("entity_id", F.col("claim_id").alias("y"))
     return a.join(b, "entity_id").select("entity_id", F.least("x", "y").alias("claim_a"), F.greatest("x", "y").alias("claim_b"))

@@ -198,3 +198,29 @@ def test_watched_files_come_again_when_modified(spark, tmp_path):
         assert [x.content for x in spark.table("watched").collect()] == ["two"]
     finally:
         q.stop()
+
+
+def test_listings_page_through_all_and_reports_name_every_pair(spark, tmp_path, monkeypatch):
+    server = rpc.Server(spark, str(tmp_path / "v"))
+    server.vault.init()
+    for n in range(3):
+        server.ak_ingest({"text": f"# Note {n}\n\n## decisions\n- We adopted the warm cache number {n} for the relay.\n", "title": f"Note {n}"})
+    monkeypatch.setattr(rpc, "PAGE", 2)
+    seen, cursor = [], ""
+    while True:
+        page = server.handle({"id": 1, "method": "resources/list", "params": {"cursor": cursor}})["result"]
+        assert len(page["resources"]) <= 2
+        seen += [r["uri"] for r in page["resources"]]
+        cursor = page.get("nextCursor")
+        if not cursor:
+            break
+    want = {f"ak://entities/{r.id}" for r in server.vault.load("entities").collect()} | {f"ak://sources/{r.id}" for r in server.vault.load("sources").collect()}
+    assert len(seen) == len(set(seen)) and set(seen) == want and len([u for u in seen if "sources" in u]) == 3
+    assert server.handle({"id": 2, "method": "resources/list", "params": {"cursor": "x"}})["error"]["code"] == -32602
+    claims = spark.createDataFrame(
+        [(f"c{i}", "e", f"claim {i}", "active", p, 0.9) for i, p in enumerate(["positive"] * 3 + ["negative"] * 2 + ["neutral"])], "id string, entity_id string, text string, status string, polarity string, confidence double"
+    )
+    names = spark.createDataFrame([("e", "Relay")], "id string, name string")
+    monkeypatch.setattr(server.vault, "load", lambda n: {"claims": claims, "entities": names}[n])
+    report = server.contradictions()
+    assert "6 contradicting pair(s)" in report and "Relay" in report and all(f"claim {i}" in report for i in range(5)) and "claim 5" not in report
