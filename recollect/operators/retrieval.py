@@ -6,10 +6,15 @@ list is (query_id, doc_id, score, rank); order is score descending, then doc_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from recollect.functions import text as T
 from recollect.functions.arrow import task_mapper
@@ -233,47 +238,204 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(F.lit(0.0))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 256, exclude_self: bool = False) -> DataFrame:
+#: Bytes of query vectors that one plan sends to its tasks; a larger query set is split by hash.
+SENT_VECTORS = 64_000_000
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows without a length stay zero."""
+    n = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, n, out=np.zeros_like(rows), where=n > 0)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow list column, none of them null, as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+class _Best:
+    """The best ``k`` (score, id) of each query over all that is shown; ties by id."""
+
+    def __init__(self, k: int, queries: int):
+        self.k, self.floor = k, np.zeros(queries)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def see(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` has a row for each query and a column for each id."""
+        n = scores.shape[1]
+        if n > self.k:
+            self.floor = np.maximum(self.floor, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
+        q, d = np.nonzero((scores >= self.floor[:, None]) & (scores > 0))
+        self.parts.append((q, ids[d], scores[q, d]))
+        self.held += len(q)
+        if self.held > 4 * self.k * max(1, len(self.floor)):
+            self.parts = [self.best()]
+            self.held = len(self.parts[0][0])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, ids, s = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, -s, q))
+        q, ids, s = q[order], ids[order], s[order]
+        first = np.searchsorted(q, np.arange(len(self.floor)))
+        kept = np.arange(len(q)) - first[q] < self.k
+        return q[kept], ids[kept], s[kept]
+
+
+def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of unit rows, rounded as they are ranked, so that ties are broken by id only."""
+    return np.round(np.round(q @ v.T, 10), 4)
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 256, exclude_self: bool = False, sent: int = SENT_VECTORS) -> DataFrame:
     """The k nearest vectors of each query by cosine, only positive ones.
 
-    ``vectors`` is (doc_id, vector), ``queries`` (query_id, vector).  A stated query set against
-    all rows: queries travel in blocks of ``block``, each block meets every vector once in
-    a batched matrix product, and each batch passes on only its k best per query.
+    ``vectors`` is (doc_id, vector), ``queries`` (query_id, vector), all of one length; null vectors
+    match nothing.  A stated query set against all rows: the queries go to every task once,
+    each batch of vectors meets them in blocks of ``block``, and a task passes on its best
+    per query.  Query sets beyond ``sent`` bytes are searched in several such passes.
+    """
+    vectors, queries = vectors.where("vector is not null"), queries.where("vector is not null")
+    size = queries.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first().n * 8
+    slices = max(1, -(-size // sent))
+    found = None
+    for n in range(slices):
+        part = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == n)
+        one = _search_slice(vectors, part, k + exclude_self, block)
+        found = one if found is None else found.unionByName(one)
+    if exclude_self:
+        found = found.where("query_id <> doc_id")
+    return top_k(found, k)
+
+
+def _search_slice(vectors: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
+    rows = queries.collect()  # at most SENT_VECTORS bytes of vectors
+    names = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], _unit(np.array([r.vector for r in rows], dtype=float)) if rows else np.zeros((0, 0))))
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("doc_id", vectors.schema["doc_id"].dataType), StructField("score", DoubleType())])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = names.value
+        best = [_Best(k, len(q[a : a + block])) for a in range(0, len(q), block)]
+        seen = False
+        for batch in batches:
+            if batch.num_rows and len(q):
+                docs, v, seen = batch.column(0).to_numpy(zero_copy_only=False), _unit(_matrix(batch.column(1))), True
+                for b, a in zip(best, range(0, len(q), block)):
+                    b.see(_scores(q[a : a + block], v), docs)
+        for b, a in zip(best, range(0, len(q), block)) if seen else ():
+            at, docs, s = b.best()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[a + i] for i in at], out[0].type), pa.array(docs, out[1].type), pa.array(s, out[2].type)], schema=out)
+
+    return vectors.select("doc_id", "vector").mapInArrow(run, schema)
+
+
+#: The approximate index: vectors its cells are fitted on, and vectors in one part of a cell on average.
+FITTED, CELL_PART = 20_000, 4096
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """Every vector in the cell of its nearest centroid: (cell, part, doc_id, vector).
+
+    A cell is cut into parts by hash, so a crowded one is no single group.  ``probes`` is how many
+    cells a query must look into for the recall asked for, as measured on the fitted vectors.
+    """
+
+    centroids: np.ndarray
+    cells: DataFrame
+    parts: DataFrame
+    probes: int
+
+
+def _nearest(centroids: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centroids of each unit row."""
+    s = v @ centroids.T
+    return np.argsort(-s, axis=1, kind="stable")[:, :n]
+
+
+def _in_cells(rows: DataFrame, key: str, centroids: np.ndarray, n: int) -> DataFrame:
+    """(cell, key, vector): each row in its ``n`` nearest cells."""
+    shared = rows.sparkSession.sparkContext.broadcast(centroids)
+    schema = StructType([StructField("cell", IntegerType()), StructField(key, rows.schema[key].dataType), StructField("vector", rows.schema["vector"].dataType)])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = _nearest(shared.value, _unit(_matrix(batch.column(1))), n)
+                take = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), batch.column(0).take(take), batch.column(1).take(take).cast(out[2].type)], schema=out)
+
+    return rows.select(key, "vector").mapInArrow(run, schema)
+
+
+def _probes(centroids: np.ndarray, v: np.ndarray, recall: float, k: int = 10, asked: int = 500) -> int:
+    """The least number of nearest cells that hold that share of the ``k`` nearest rows, for up to ``asked`` of the rows."""
+    q = v[: asked]
+    s = q @ v.T
+    s[np.arange(len(q)), np.arange(len(q))] = -2
+    k = min(k, len(v) - 1)
+    if k < 1:
+        return len(centroids)
+    nearest = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    order = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)  # the place of each cell for each query
+    places = np.take_along_axis(order, _nearest(centroids, v, 1)[:, 0][nearest], axis=1)
+    held = np.cumsum(np.bincount(places.ravel(), minlength=len(centroids))) / places.size
+    return int(np.searchsorted(held, recall) + 1)
+
+
+def vector_index(vectors: DataFrame, cells: int | None = None, fitted: int = FITTED, rounds: int = 10, seed: int = 7, recall: float = 0.95) -> VectorIndex:
+    """An inverted file: spherical k-means on at most ``fitted`` vectors chosen by hash; every vector is indexed.
+
+    By default there are as many cells as the root of the fitted vectors.
+    """
+    vectors = vectors.where("vector is not null")
+    sample = vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fitted).select("vector").collect()
+    if not sample:
+        raise ValueError("no vectors to index")
+    v = _unit(np.array([r.vector for r in sample], dtype=float))
+    n = min(len(v), cells or max(1, int(len(v) ** 0.5)))
+    centroids = v[np.random.default_rng(seed).choice(len(v), n, replace=False)]
+    for _ in range(rounds):
+        near = _nearest(centroids, v, 1)[:, 0]
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, near, v)
+        met = np.bincount(near, minlength=n) > 0
+        centroids = np.where(met[:, None], _unit(sums), centroids)
+    rows = _in_cells(vectors, "doc_id", centroids, 1)
+    rows = cut_lineage(rows.withColumn("h", F.xxhash64("doc_id")))
+    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL_PART).cast("int").alias("parts"))
+    parted = rows.join(parts, "cell").select("cell", F.pmod("h", F.col("parts")).cast("int").alias("part"), "doc_id", "vector")
+    return VectorIndex(centroids, cut_lineage(parted), cut_lineage(parts), min(n, _probes(centroids, v, recall)))
+
+
+def vector_search_near(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = None, exclude_self: bool = False) -> DataFrame:
+    """R5, approximately: the k nearest vectors among those in each query's ``probes`` nearest cells.
+
+    By default as many as the index needs for its recall; all cells give the exact result.
     """
-    import numpy as np
-    import pandas as pd
-
-    blocks = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)).alias("h"))
-    n_blocks = max(1, -(-queries.count() // block))
-    blocks = blocks.groupBy(F.pmod("h", F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
-    kind = queries.schema["query_id"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            for _, part in pdf.groupby("block"):
-                qs = part.queries.iloc[0]
-                q = np.array([x["vector"] for x in qs], dtype=float)
-                v = np.array(part.vector.tolist(), dtype=float)
-                qn, vn = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
-                s = (q @ v.T) / np.maximum(qn[:, None], 1e-300) / np.maximum(vn[None, :], 1e-300)
-                s[:, vn == 0] = 0
-                s[qn == 0] = 0
-                s = np.round(s, 10)
-                ids = part.doc_id.to_numpy()
-                out = []
-                for i, x in enumerate(qs):
-                    row = s[i]
-                    order = np.lexsort((ids, -row))[: k + 2]
-                    out += [(x["query_id"], ids[j], float(row[j])) for j in order if row[j] > 0]
-                yield pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
-
-    # each row of vectors is paired with each block, not with each query
-    paired = vectors.select("doc_id", "vector").crossJoin(F.broadcast(blocks)) if n_blocks == 1 else vectors.select("doc_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")).join(blocks, "block")
-    doc_kind = vectors.schema["doc_id"].dataType.simpleString()
-    found = paired.mapInPandas(run, f"query_id {kind}, doc_id {doc_kind}, score double")
+    probes = probes or index.probes
+    probing = _in_cells(queries.where("vector is not null"), "query_id", index.centroids, min(probes, len(index.centroids)))
+    probing = probing.join(index.parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "vector")
+    kept = k + exclude_self
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("doc_id", index.cells.schema["doc_id"].dataType), StructField("score", DoubleType())])
+    out = to_arrow_schema(schema)
+
+    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        if not docs.num_rows or not asked.num_rows:
+            return out.empty_table()
+        v, q = (_unit(_matrix(t.column("vector").combine_chunks())) for t in (docs, asked))
+        best = _Best(kept, len(q))
+        best.see(_scores(q, v), docs.column("doc_id").to_numpy())
+        at, ids, s = best.best()
+        return pa.Table.from_arrays([asked.column("query_id").take(pa.array(at)), pa.array(ids, out[1].type), pa.array(s, out[2].type)], schema=out)
+
+    found = index.cells.groupBy("cell", "part").cogroup(probing.groupBy("cell", "part")).applyInArrow(run, schema)
     if exclude_self:
         found = found.where("query_id <> doc_id")
-    return top_k(found.select("query_id", "doc_id", F.round("score", 4).alias("score")), k)
+    return top_k(found, k)
 
 
 # --- R8, R10: fusion --------------------------------------------------------------------

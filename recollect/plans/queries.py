@@ -384,6 +384,15 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_search(v, q, K, exclude_self=True)
 
 
+@query()
+def vector_near(spark: SparkSession, d: str) -> DataFrame:
+    """R5 by the approximate index, which is fitted on a sample and holds every row."""
+    v = table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    q = v.where(corpus.is_query(F.col("doc_id"))).select(F.col("doc_id").alias("query_id"), "vector")
+    index = corpus.stored(spark, d, ("embeddings",), "vectors", lambda: retrieval.vector_index(v))
+    return retrieval.vector_search_near(index, q, K, exclude_self=True)
+
+
 _EDGES = """cnt AS (SELECT l_partkey AS entity_id, l_orderkey AS source_id, count(*) AS c FROM lineitem GROUP BY 1, 2),
   e AS (SELECT entity_id, source_id, c / (SELECT max(c) FROM cnt) AS ew FROM cnt),
   r AS (SELECT p_partkey AS query_id, p_partkey AS entity_id FROM part WHERE p_partkey % 50 = 0),

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from recollect.functions import text as T
@@ -119,6 +120,51 @@ def test_vector_search_blocks_and_zero_vectors(spark):
         assert 99 not in got
 
 
+def test_vector_search_in_many_blocks_and_passes_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(700, 8)), 1)
+    x[::50] = x[0]  # ties
+    x[5] = 0
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, None)], "doc_id bigint, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(600)] + [(901, None)], "query_id bigint, vector array<double>")
+    n = np.linalg.norm(x, axis=1)
+    s = np.round(np.round(np.divide(x @ x.T, np.outer(n, n), out=np.zeros((700, 700)), where=np.outer(n, n) > 0), 10), 4)
+    want = {i: [(j, s[i, j]) for j in np.lexsort((np.arange(700), -s[i])) if j != i and s[i, j] > 0][:5] for i in range(600)}
+    want = {i: x for i, x in want.items() if x}
+    for options in ({}, {"block": 64}, {"sent": 8 * 8 * 200}):
+        got = {}
+        for r in retrieval.vector_search(v, q, 5, exclude_self=True, **options).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        assert got == want
+    assert retrieval.vector_search(v.limit(0), q, 5).count() == 0 and retrieval.vector_search(v, q.limit(0), 5).count() == 0
+
+
+def test_recall_of_the_vector_index(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    q = e.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    index = retrieval.vector_index(e)
+    assert index.cells.count() == e.count() and index.cells.select("doc_id").distinct().count() == e.count()
+    exact = {(r.query_id, r.doc_id) for r in retrieval.vector_search(e, q, 10, exclude_self=True).collect()}
+    near = {(r.query_id, r.doc_id) for r in retrieval.vector_search_near(index, q, 10, exclude_self=True).collect()}
+    recall = len(exact & near) / len(exact)
+    assert recall >= 0.9, (recall, index.probes)
+    print("recall", recall, "probes", index.probes, "of", len(index.centroids))
+    everything = retrieval.vector_search_near(index, q, 10, probes=10_000, exclude_self=True).collect()
+    assert {(r.query_id, r.doc_id) for r in everything} == exact
+
+
+def test_clustered_vectors_need_few_cells(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16)) * 4
+    x = centres[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 16))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id bigint, vector array<double>")
+    q = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    index = retrieval.vector_index(v)
+    exact = {(r.query_id, r.doc_id) for r in retrieval.vector_search(v, q, 10).collect()}
+    near = {(r.query_id, r.doc_id) for r in retrieval.vector_search_near(index, q, 10).collect()}
+    assert index.probes <= len(index.centroids) // 4 and len(exact & near) >= 0.9 * len(exact)
+
+
 def test_rrf_and_parents(spark):
     a = spark.createDataFrame([(0, "x#fact_1", 1), (0, "y", 2)], "query_id int, doc_id string, rank int")
     b = spark.createDataFrame([(0, "x", 1), (0, "y", 3)], "query_id int, doc_id string, rank int")
