@@ -253,6 +253,8 @@ def test_leader_clusters_equal_the_sequential_loop(spark):
     df = spark.createDataFrame(items, "id int, grp string, tokens array<string>, t int")
     for threshold in (0.3, 0.6):
         got = {r.id: r.leader for r in leader.cluster(df, threshold, [F.col("t")]).collect()}
+        # few items in a block: several blocks, then pairs
+        assert got == {r.id: r.leader for r in leader.cluster(df, threshold, [F.col("t")], block=3).collect()}
         want, leaders = {}, []
         for i, g, ts, t in sorted(items, key=lambda x: (x[3], x[0])):
             s = set(ts)
