@@ -170,10 +170,10 @@ ORACLES: dict[str, str] = {
           SELECT query_id, list_name, any_value(med) AS med, quantile_disc(abs(score - med), 0.5) AS mad, avg(abs(score - med)) AS mean, min(score) AS least
           FROM x JOIN m USING (query_id, list_name) WHERE score IS NOT NULL GROUP BY ALL),
         z AS (SELECT *, CASE WHEN mad > 0 THEN mad * 1.4826 WHEN mean > 0 THEN mean ELSE 1 END AS scale FROM o),
-        b AS (SELECT *, -ln(1 + exp(-greatest(-60, least(60, (least - med) / scale)))) - ln(2) AS floor FROM z),
+        b AS (SELECT *, ln(0.25 + 0.75 / (1 + exp(-greatest(-60, least(60, (least - med) / scale))))) - ln(2) AS floor FROM z),
         t AS (SELECT query_id, sum(floor) AS floors, count(*) AS n FROM b GROUP BY 1),
         v AS (
-          SELECT query_id, id, sum(CASE WHEN score IS NULL OR med IS NULL THEN 0 ELSE -ln(1 + exp(-greatest(-60, least(60, (score - med) / scale)))) - floor END) AS gain
+          SELECT query_id, id, sum(CASE WHEN score IS NULL OR med IS NULL THEN 0 ELSE ln(0.25 + 0.75 / (1 + exp(-greatest(-60, least(60, (score - med) / scale))))) - floor END) AS gain
           FROM x LEFT JOIN b USING (query_id, list_name) GROUP BY ALL),
         r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(exp((floors + gain) / n), 9) DESC, id) AS k FROM v JOIN t USING (query_id))
         SELECT query_id, id FROM r WHERE k = 1

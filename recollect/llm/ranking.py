@@ -2,8 +2,9 @@
 
 Method: in each list of a query a score is standardised with the median and the median
 absolute deviation, so that neither range nor outliers matter; a logistic function bounds
-it, which takes what remains of the outliers; and the weighted geometric mean of the
-bounded values orders the pages, so a page must do well in every list to come first.
+it between ``LOW`` and 1, which takes what remains of the outliers on both sides; and the
+weighted geometric mean of the bounded values orders the pages, so a page must do well in
+every list to come first, but no list alone can raise or sink it.
 
 Medians come from mergeable summaries of bounded size (exact up to ``ACCURACY`` scores in
 a list, within 1/ACCURACY of the rank beyond), so a query that holds a third of all rows
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 #: Makes the median absolute deviation estimate a standard deviation (fixed value).
 MAD_SCALE = 1.4826
+#: The least bounded value: in a geometric mean one near zero would outweigh all other lists.
+LOW = 0.25
 #: Bounded values are compared after rounding, so that sums in another order tie alike.
 DIGITS = 9
 #: Slices of the value range in which ranks are counted separately.
@@ -39,7 +42,7 @@ def all_scores(results: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def fuse(scores: DataFrame, weights: dict[str, float] | None = None, accuracy: int = ACCURACY) -> DataFrame:
-    """(query_id, id, value): value in (0, 1), the weighted geometric mean.
+    """(query_id, id, value): value between 0 and 1, the weighted geometric mean.
 
     ``weights`` by list name, 1 by default; a weight of 0 leaves a list out.  A missing
     score counts less than any present one of its list: its bounded value is half of the
@@ -59,10 +62,9 @@ def fuse(scores: DataFrame, weights: dict[str, float] | None = None, accuracy: i
         F.percentile_approx("off", 0.5, accuracy).alias("mad"), F.avg("off").alias("mean_off"), F.min("score").alias("least")
     )
     scale = F.when(F.col("mad") > 0, F.col("mad") * MAD_SCALE).when(F.col("mean_off") > 0, F.col("mean_off")).otherwise(F.lit(1.0))
-    # ln of the logistic function, from which no precision is lost far out
     def bounded(c):
         z = F.least(F.greatest((c - F.col("median")) / F.col("scale"), F.lit(-60.0)), F.lit(60.0))
-        return -F.log1p(F.exp(-z))
+        return F.log(F.lit(LOW) + F.lit(1 - LOW) / (1 + F.exp(-z)))
 
     stats = spread.withColumn("scale", scale)
     stats = stats.select(*by, "median", "scale", "list_w", (bounded(F.col("least")) - F.log(F.lit(2.0))).alias("floor"))
