@@ -41,6 +41,19 @@ def long_word_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(words(a), words(b)))
 
 
+#: Type of a question that has no answer (fixed value).
+ABSTENTION = "abstention"
+
+
+def answerable(questions: DataFrame, first: int | None = None) -> DataFrame:
+    """(question_id, question_type, ...) of questions that have an answer; the first of them in the ids' order if asked.
+
+    A question without a type has an answer.
+    """
+    kept = questions.where(F.coalesce("question_type", F.lit("")) != ABSTENTION)
+    return kept if first is None else kept.orderBy("question_id").limit(first)
+
+
 def haystacks(spark: SparkSession, questions: int, sessions: int = 48, seed: int = 42) -> DataFrame:
     """Synthetic questions with one answer among many sessions, by hash and not by state."""
     topics = ["piano", "garden", "bicycle", "pottery", "chess", "sourdough", "kayak", "telescope"]
