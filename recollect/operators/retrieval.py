@@ -128,13 +128,15 @@ def find_terms(docs: DataFrame, terms: DataFrame, text: str = "text", sent: int
     wanted = terms.where("low <> ''").select("low").distinct()
     if wanted.agg(F.coalesce(F.sum(F.length("low")), F.lit(0))).first()[0] > sent:
         return _find_by_grams(docs, wanted, text)
-    words = [r.low for r in wanted.collect()]  # at most ``sent`` characters
+    # at most ``sent`` characters, sent once to each executor
+    shared = docs.sparkSession.sparkContext.broadcast([r.low for r in wanted.collect()])
     body = docs.where(F.col(text).isNotNull()).select("doc_id", F.lower(text).alias("body"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
         import ahocorasick
 
+        words = shared.value
         automaton = ahocorasick.Automaton()
         for w in words:
             automaton.add_word(w, w)

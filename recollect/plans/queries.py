@@ -635,33 +635,74 @@ def event_append(spark: SparkSession, d: str) -> DataFrame:
 # --- event documents --------------------------------------------------------------------
 
 
-@query(
-    f"""WITH j AS (SELECT umsf_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM umsf_raw),
+_DOCUMENTS = f"""j AS (SELECT umsf_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM umsf_raw),
     k AS (SELECT umsf_id, p, json_type(p) AS t, coalesce(json_type(p, '$.events'), 'NULL') AS te, coalesce(json_type(p, '$.actors'), 'NULL') AS ta, json_extract(p, '$.context') AS c0 FROM j),
-    m AS (SELECT *, CASE WHEN json_type(c0) = 'VARCHAR' AND json_valid(c0->>'$') THEN (c0->>'$')::JSON ELSE c0 END AS c,
-      CASE te WHEN 'ARRAY' THEN len(list_filter(json_extract(p, '$.events[*]'), lambda e: json_type(e) = 'OBJECT')) WHEN 'OBJECT' THEN 1 ELSE 0 END AS n FROM k)
-    SELECT umsf_id, CASE WHEN t IS NULL OR t <> 'OBJECT' THEN 'not a document' WHEN NOT starts_with(coalesce(p->>'$.schema', 'ak/v1'), 'ak/') THEN 'unknown schema'
+    m0 AS (SELECT *, CASE WHEN json_type(c0) = 'VARCHAR' AND json_valid(c0->>'$') THEN (c0->>'$')::JSON ELSE c0 END AS c,
+      CASE te WHEN 'ARRAY' THEN list_filter(json_extract(p, '$.events[*]'), lambda e: json_type(e) = 'OBJECT') WHEN 'OBJECT' THEN [json_extract(p, '$.events')] ELSE [] END AS ev FROM k),
+    m AS (SELECT *, len(ev) AS n FROM m0),
+    ver AS (SELECT *, CASE WHEN t IS NULL OR t <> 'OBJECT' THEN 'not a document' WHEN NOT starts_with(coalesce(p->>'$.schema', 'ak/v1'), 'ak/') THEN 'unknown schema'
       WHEN coalesce(p->>'$.source_type', 'conversation') NOT IN {L.SOURCE_TYPES} THEN 'unknown source type' WHEN te NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN 'events is no list'
-      WHEN ta NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN 'actors is no list' WHEN n = 0 AND coalesce(p->>'$.summary', '') = '' AND coalesce(c->>'$.body', '') = '' THEN 'nothing to ingest' ELSE 'accepted' END AS verdict FROM m"""
-)
+      WHEN ta NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN 'actors is no list' WHEN n = 0 AND coalesce(p->>'$.summary', '') = '' AND coalesce(c->>'$.body', '') = '' THEN 'nothing to ingest' ELSE 'accepted' END AS verdict FROM m)"""
+
+
+def _field(name: str, of: str = "e") -> str:
+    return f"coalesce({of}->>'$.{name}', '')"
+
+
+def _either(*cs: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} <> '' THEN {c}" for c in cs) + " ELSE '' END"
+
+
+def _args_summary() -> str:
+    """U3 in SQL; an object's arguments in the order of their names, those of a text as written."""
+    a = "CASE WHEN json_type(e, '$.args') = 'VARCHAR' THEN CASE WHEN json_valid(e->>'$.args') THEN (e->>'$.args')::JSON END ELSE json_extract(e, '$.args') END"
+    keys = f"CASE WHEN json_type({a}) = 'OBJECT' THEN CASE WHEN json_type(e, '$.args') = 'VARCHAR' THEN json_keys({a}) ELSE list_sort(json_keys({a})) END ELSE [] END"
+    v = f"json_extract_string({a}, '/' || replace(replace(k, '~', '~0'), '/', '~1'))"
+    one = f"k || '=' || CASE WHEN {v} IS NULL OR regexp_matches({v}, '^\\s*[\\[{{]') THEN '…' WHEN length({v}) > 60 THEN {v}[:60] || '…' ELSE {v} END"
+    return f"array_to_string(list_concat(list_transform(({keys})[1:3], lambda k: {one}), CASE WHEN len({keys}) >= 3 THEN ['…'] ELSE [] END), ', ')"
+
+
+def _lines(types: tuple[str, ...], line: str) -> str:
+    return f"list_transform(list_filter(ev, lambda e: list_contains({list(types)!r}, e->>'$.type')), lambda e: {line})"
+
+
+_SAID = _strip(_either(_field("content"), _field("error")))
+_SECTIONS_OF = (
+    ("decisions", _lines(("decision",), f"'- ' || {_strip(_field('content'))} || CASE WHEN {_field('rationale')} <> '' THEN ' — rationale: ' || {_strip(_field('rationale'))} ELSE '' END")),
+    ("actions", _lines(("tool_use", "tool_result"), f"CASE WHEN e->>'$.type' = 'tool_use' THEN CASE WHEN {_field('name')} <> '' THEN '- ' || (e->>'$.name') || '(' || {_args_summary()} || ')' ELSE '- ' || {_strip(_field('content'))} END ELSE '- result: ' || replace({_strip(_either(_field('result'), _field('error'), _field('content')))}, chr(10), ' ')[:200] END")),
+    ("actions", _lines(("file_change",), f"rtrim('- ' || {_either(_field('name'), chr(39) + 'modified' + chr(39))} || ' ' || {_field('path')}, ' ')")),
+    ("risks", _lines(("error",), f"CASE WHEN {_SAID} <> '' THEN '- ' || {_SAID}[:300] ELSE '' END")),
+    ("conversation", _lines(("message",), f"CASE WHEN {_strip(_field('content'))} <> '' THEN '**' || {_either(_field('role'), chr(39) + 'speaker' + chr(39))} || '**: ' || {_strip(_field('content'))} ELSE '' END")),
+)
+_P = lambda n: _field(n, "p")
+_HEAD = _strip(f"split_part({_strip(_P('summary'))}, '.', 1)")
+_RENDERED = f"""{_DOCUMENTS}, ti AS (SELECT umsf_id, p, ev, coalesce(c->>'$.body', '') AS body, CASE WHEN {_P('title')} <> '' THEN {_P('title')} WHEN length({_HEAD}) > 6 AND length({_HEAD}) < 100 THEN {_HEAD}
+      ELSE array_to_string(list_filter([{_P('agent')}, {_P('source_type')}, CASE WHEN {_P('session_id')} <> '' THEN 'session ' || {_P('session_id')}[:8] ELSE '' END], lambda x: x <> ''), ' · ') END AS title FROM ver WHERE verdict = 'accepted'),
+    hd AS (SELECT *, CASE WHEN title <> '' THEN ['# ' || title] ELSE [] END AS head, CASE WHEN {_P('summary')} <> '' THEN ['## summary', {_strip(_P('summary'))}] ELSE [] END AS su, {", ".join(f"{q} AS l{i}" for i, (_, q) in enumerate(_SECTIONS_OF))} FROM ti),
+    md AS (SELECT umsf_id, array_to_string(list_filter(CASE WHEN p->>'$.source_type' = 'curated_memory' THEN list_concat(head, [{_strip(_either("body", _P('summary')))}])
+      ELSE {_joined("head", "su", *(f"CASE WHEN len(l{i}) > 0 THEN list_concat(['## {name}'], l{i}) ELSE [] END" for i, (name, _) in enumerate(_SECTIONS_OF)))} END, lambda x: x <> ''), chr(10) || chr(10)) AS markdown FROM hd)"""
+
+
+@query(f"WITH {_DOCUMENTS} SELECT umsf_id, verdict FROM ver")
 def umsf_validate(spark: SparkSession, d: str) -> DataFrame:
     """each document's verdict."""
     parsed = umsf.parse(table(spark, d, "umsf_raw"))
     return parsed.select("umsf_id", F.coalesce(umsf.problem(parsed), F.lit("accepted")).alias("verdict"))
 
 
-@query()
+@query(f"WITH {_RENDERED} SELECT umsf_id, markdown FROM md")
 def umsf_render(spark: SparkSession, d: str) -> DataFrame:
     """U2 to U4."""
     accepted, _ = umsf.validate(umsf.parse(table(spark, d, "umsf_raw")))
     return umsf.render(accepted)
 
 
-@query()
+@query(f"WITH {_RENDERED}, s AS (SELECT umsf_id AS id, markdown AS content FROM md), {_EXTRACT} SELECT id, ordinal, text, tag, weight, durability, polarity FROM x")
 def umsf_claims(spark: SparkSession, d: str) -> DataFrame:
     """Documents rendered and compiled into claims."""
     accepted, _ = umsf.validate(umsf.parse(table(spark, d, "umsf_raw")))
-    rendered = umsf.render(accepted).select(F.col("umsf_id").alias("id"), F.col("markdown").alias("content"))
+    # written out: extraction reads the text many times, and the rendering would be computed anew for each
+    rendered = cut_lineage(umsf.render(accepted).select(F.col("umsf_id").alias("id"), F.col("markdown").alias("content")))
     return C.extract(rendered).select("id", "ordinal", "text", "tag", "weight", "durability", "polarity")
 
 
