@@ -63,13 +63,15 @@ def index_documents(sources: DataFrame, entities: DataFrame | None = None, facts
 class SearchIndex:
     """What BM25 and reranking know of a set of documents, stored once and read by every query.
 
-    ``docs`` is what was indexed, ``postings`` (term, part, doc_id, tf, dl), ``stats`` one row of
-    the number of documents and their mean length, ``frequencies`` (term, df) of the reranker's
-    tokens.  A common term's documents are spread over ``PARTS`` parts.
+    ``docs`` is what was indexed, ``postings`` (term, part, doc_id, tf, dl), spread by document,
+    ``terms`` (term, df), ``stats`` one row of the number of documents and their mean length,
+    ``frequencies`` (term, df) of the reranker's tokens.  A common term's documents are numbered
+    off into ``PARTS`` parts.
     """
 
     docs: DataFrame
     postings: DataFrame
+    terms: DataFrame
     stats: DataFrame
     frequencies: DataFrame | None = None
 
@@ -96,11 +98,12 @@ def build_index(docs: DataFrame, frequencies: bool = True) -> SearchIndex:
     """Tokenises the documents once and stores the result in the session's shared folder."""
     spark = docs.sparkSession
     parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stored = cut_lineage(postings(docs).repartition(parallel, "term", "part"))
+    stored = cut_lineage(postings(docs).repartition(parallel, "doc_id"))
+    terms = cut_lineage(stored.groupBy("term").agg(F.count("*").alias("df")))
     lengths = stored.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.sum("dl").alias("tokens"))
     stats = cut_lineage(docs.agg(F.count("*").alias("n")).crossJoin(lengths).select("n", (F.coalesce("tokens", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avg_dl")))
     df = cut_lineage(term_frequencies(docs)) if frequencies else None
-    return SearchIndex(docs, stored, stats, df)
+    return SearchIndex(docs, stored, terms, stats, df)
 
 
 def term_frequencies(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -184,7 +187,11 @@ def _find_by_grams(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 # --- R2: BM25 ---------------------------------------------------------------------------
 
 
-def bm25(docs: DataFrame | SearchIndex, queries: DataFrame, k: int = 10, rounded: int = 4) -> DataFrame:
+#: Terms of a query set that are sent to every task; with more they are joined.
+SENT_TERMS = 500_000
+
+
+def bm25(docs: DataFrame | SearchIndex, queries: DataFrame, k: int = 10, rounded: int = 4, sent: int = SENT_TERMS) -> DataFrame:
     """R2: the k best documents of each query.
 
     Query tokens that repeat count again.  A document that holds the whole query, whatever
@@ -196,21 +203,26 @@ def bm25(docs: DataFrame | SearchIndex, queries: DataFrame, k: int = 10, rounded
     are found apart, so no text is shuffled.
     """
     terms = queries.select("query_id", F.explode(T.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    gain = F.col("w") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     wanted = terms.select("term").distinct()
     if isinstance(docs, SearchIndex):
-        stats, post, docs = docs.stats, docs.postings.join(wanted, "term", "left_semi"), docs.docs
+        stats, df, post, docs = docs.stats, docs.terms, docs.postings, docs.docs
     else:
         stats, post = corpus_stats(docs), postings(docs, wanted)
-    # a common token meets very many documents, so each token's list is cut into parts by document
-    parallel = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    post = post.repartition(parallel, "term", "part")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+        parallel = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        post = post.repartition(parallel, "term", "part")
+        df = post.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).select(
         "query_id", "term", "avg_dl", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("w")
     )
-    weighted = weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    gain = F.col("w") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    plain = post.join(weighted, ["term", "part"]).groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score")).where("score > 0")
+    if terms.count() <= sent:
+        # the queries' terms go to the postings, which stay where they are: a document's gains are added up in place
+        matched = post.join(F.broadcast(weighted), "term")
+    else:
+        # a common token meets very many documents, so each token's list is cut into parts by document
+        weighted = weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        matched = post.join(weighted, ["term", "part"])
+    plain = matched.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score")).where("score > 0")
     low = queries.select("query_id", F.lower("query").alias("low"))
     holds = find_terms(docs, low).select("doc_id", "low").join(low, "low").select("query_id", "doc_id", F.length("low").alias("size"))
     boost = F.when(F.col("size") >= 6, F.lit(1.5) * 1.3).when(F.col("size").isNotNull(), 1.5).otherwise(1.0)

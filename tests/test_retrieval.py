@@ -213,6 +213,7 @@ def test_a_stored_index_gives_the_same_lists(spark):
     index = retrieval.build_index(x)
     rows = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert rows(retrieval.bm25(index, q)) == rows(retrieval.bm25(x, q)) != []
+    assert rows(retrieval.bm25(index, q, sent=0)) == rows(retrieval.bm25(x, q, sent=0)) == rows(retrieval.bm25(x, q))
     terms = q.select(F.explode(T.query_terms(F.col("query"))).alias("term"))
     assert rows(rerank.idf(x, terms, index.frequencies)) == rows(rerank.idf(x, terms))
     empty = retrieval.build_index(x.limit(0))
