@@ -66,7 +66,8 @@ SLOT = re.compile(
 )
 #: Slots that only their capitals tell from a reference.
 TITLED_SLOT = re.compile(r"\[(?:[A-Z][a-z]+ ){1,3}(?:Name|Date|Title|Number|Address|Email|Company|City|Owner|Place|Here)\]")
-_slot_mark = re.compile(r"[{}%$#@<\[_【《（XＸ请此]")
+#: What every slot has one of.
+_slot_mark = re.compile(r"\{\{|\{%|<|[$#]\{|\$\(|%%|@@|__|\[|【|《|在此|此处|填写")
 
 #: Lines that servers, viewers and templates put where content should be.
 _ERROR = (
@@ -215,6 +216,8 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float, rest: float = 0.0):
         self.weights, self.bias, self.rest = weights, bias, rest
         self._hopeful = {f for f, w in weights.items() if w > 0 and not f.startswith("§len")}
+        #: No passage without one of these words has a hopeful feature.
+        self._words = {w for f in self._hopeful for w in f.split(" ")[:1] if w != "^"} | {f.split(" ")[1] for f in self._hopeful if f.startswith("^ ")}
         self._met: dict[str, tuple[str, float]] = {}
 
     def score(self, found: list[str]) -> float:
@@ -223,6 +226,8 @@ class Model:
 
     def passage(self, own: list[str]) -> float:
         """Log-odds of a passage's words: the best of the whole, its beginnings and its ends."""
+        if self._words.isdisjoint(own):
+            return self.bias
         pairs = [f"{a} {b}" for a, b in zip(["^", *own], [*own, "$"])]
         if self._hopeful.isdisjoint(own) and self._hopeful.isdisjoint(pairs):
             return self.bias
