@@ -200,11 +200,16 @@ _name_title = re.compile(r"(?<![\w.])(?:Dr|Mr|Mrs|Ms|Mx|Prof)\. ?(?:%s )?%s(?:[
 _name_context = re.compile(
     r"(?:\bmy name is |\bi am called |\bname=|\| owner \| |\bsigned(?:-off)?(?:-by)?: ?|\bforwarded message from |\bhi, this is )(%s)(?=[\s,;.()|<]|$)" % _ANYCASE, re.I
 )
-#: Contexts that may introduce a person; the name must look like one.
-_name_context_full = re.compile(
-    r"\b(?:contact: |i spoke with |met |pairing with |(?:please )?ask |according to |thanks to |assigned to |reported by )(%s)" % _FULL
-)
-_name_subject = re.compile(r"(?:^|(?<=[.!?\n] )|(?<=\n))(%s)(?= (?:took over|wrote the|asked us|joined|left us|approved|signed|called)\b|, (?:\d{1,5}|flat|apt) [A-Z])" % _FULL, re.M)
+#: Words that may introduce a person, and that a person does; the name must look like one.
+BEFORE_NAME = (
+    "contact: ", "i spoke with ", "spoke to ", "talked to ", "talked with ", "met ", "meeting with ", "pairing with ", "paired with ", "ask ", "asked ", "told ", "according to ", "thanks to ", "assigned to ", "reported by ",
+    "reviewed by ", "approved by ", "written by ", "requested by ", "escalated to ", "handed over to ", "reach out to ", "on behalf of ", "interview with ", "introduced to ", "regards, ", "sincerely, ", "hello ", "dear ",
+)
+AFTER_NAME = (
+    "took over", "wrote the", "asked us", "joined", "left us", "approved", "signed", "called", "said", "told us", "reported that", "replied", "suggested", "agreed", "confirmed that", "is on leave", "is out of office", "will join", "reviewed the",
+)
+_name_context_full = re.compile(r"\b(?:%s)(%s)" % ("|".join(map(re.escape, (*BEFORE_NAME, *(x[0].upper() + x[1:] for x in BEFORE_NAME)))), _FULL))
+_name_subject = re.compile(r"(?:^|(?<=[.!?\n] )|(?<=\n))(%s)(?= (?:%s)\b|, (?:\d{1,5}|flat|apt) [A-Z])" % (_FULL, "|".join(AFTER_NAME)), re.M)
 _NO_NAME = set("the a an this that these those we our it its they labs team project vault".split())
 
 
@@ -287,8 +292,7 @@ HINTS = {
     **dict.fromkeys("tel phone mobile cell fax call text sms whatsapp on-call 电话 手机 致电 拨打 联系方式".split(), "phone"),
     **dict.fromkeys(("passport", "national id", "identity card", "id no", "tax id", "tax no", "tax number", "social security", "ssn", "身份证", "护照", "税号", "纳税人", "证件"), "id"),
     **dict.fromkeys(("my name is", "i am called", "name=", "| owner |", "signed", "forwarded message from", "hi, this is"), "context"),
-    **dict.fromkeys(("contact: ", "i spoke with ", "met ", "pairing with ", "ask ", "according to ", "thanks to ", "assigned to ", "reported by "), "full"),
-    **dict.fromkeys((" took over", " wrote the", " asked us", " joined", " left us", " approved", " signed", " called"), "subject"),
+    **dict.fromkeys(BEFORE_NAME, "full"), **dict.fromkeys((f" {x}" for x in AFTER_NAME), "subject"),
     **dict.fromkeys(("dr.", "mr.", "mrs.", "ms.", "mx.", "prof."), "title"),
     **dict.fromkeys(DIGIT_WORDS, "spelled"),
     **dict.fromkeys((*CJK_DOUBLE, "请联系", "联系人", "我叫", "我是", "昨天和", "今天和", "刚和", "负责人", "姓名", "收件人", "转告"), "zh"),

@@ -78,3 +78,15 @@ def test_over_tables(spark):
 def test_known_persons(spark):
     e = spark.createDataFrame([("Petra Silvanesh ", "person"), ("Ilona X. Carradune", None), ("Windrow Labs", "organization"), ("v1.2", None), (None, "person"), ("warm cache", "named")], "name string, entity_type string")
     assert pii.known_persons(e) == ["Ilona X. Carradune", "Petra Silvanesh"]
+
+
+@pytest.mark.parametrize("text", ["The change was reviewed by Nora Vantongeren on Friday.", "Nora Vantongeren suggested a longer timeout.", "Dear Nora Vantongeren, the run is done.", "We handed the relay over to staging and it was escalated to Nora Vantongeren."])
+def test_names_in_common_contexts(text):
+    names = pii.NameParts([])
+    spans = [text[s.start : s.end] if hasattr(s, "start") else text[s[0] : s[1]] for s in pii.find(text, names)]
+    assert any("Nora Vantongeren" in x for x in spans)
+
+
+@pytest.mark.parametrize("text", ["According to the timeline, it ran.", "Dear all, the run is done.", "We met the limit. It was approved by the lint step."])
+def test_contexts_without_a_name(text):
+    assert not pii.find(text, pii.NameParts([]))
