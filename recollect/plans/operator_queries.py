@@ -11,7 +11,7 @@ from recollect.operators import claims as C
 from recollect.operators import entities, evaluate, retrieval, truth
 from recollect.plans import corpus
 from recollect.plans.queries import _BM25, _CLAIMS, _TYPED, AS_OF, _candidates_sql, _polarity, _rerank_tokens, _signal, _strip, _suffix, _tokens, query
-from recollect.sources import glossary
+from recollect.sources import files, glossary
 from recollect.sources.tables import table
 
 # --- text -------------------------------------------------------------------------------
@@ -69,6 +69,21 @@ def entity_glossary(spark: SparkSession, d: str) -> DataFrame:
     return entities.extract(corpus.sources(spark, d), extra_patterns=_PATTERNS, extra_names=_NAMES)
 
 
+# --- transcripts ------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH m AS (SELECT id AS line, session_id, role, {_strip("content")} AS said FROM agent_events WHERE "type" = 'message' AND role IN ('user', 'assistant') AND content IS NOT NULL)
+    SELECT line, 0 AS block, session_id, 'message' AS type, role, CASE WHEN length(said) > 1500 THEN said[:1499] || '…' ELSE said END AS content FROM m WHERE said <> ''"""
+)
+def transcript_messages(spark: SparkSession, d: str) -> DataFrame:
+    """C11: the event table's messages written as transcript rows and read back."""
+    e = table(spark, d, "agent_events").where("type = 'message'")
+    row = F.struct(F.col("role").alias("type"), F.col("session_id").alias("sessionId"), F.struct("role", "content").alias("message"))
+    lines = e.select(F.lit("agent_events").alias("path"), F.col("id").alias("line"), F.to_json(row).alias("value"))
+    return files.transcript_events(lines).select("line", "block", "session_id", "type", "role", "content")
+
+
 # --- claims -----------------------------------------------------------------------------
 
 
@@ -120,6 +135,20 @@ def retrieval_failures(spark: SparkSession, d: str) -> DataFrame:
     return x.select("query_id", "hit", evaluate.keyword_hit(words, F.col("path")).alias("keyword"), evaluate.failure_kind(F.col("hit"), overlap).alias("kind"))
 
 
+@query(
+    f"""WITH {_BM25}, h AS (SELECT query_id, min(CASE WHEN doc_id = query_id THEN rank END) AS hit FROM qq LEFT JOIN (SELECT * FROM bm WHERE rank <= 20) b USING (query_id) GROUP BY 1),
+    g AS (SELECT coalesce(lang, '') AS lang, hit FROM h JOIN documents ON doc_id = query_id)
+    SELECT lang, count(*) AS queries, round(avg((coalesce(hit <= 1, false))::int), 4) AS recall_1, round(avg((coalesce(hit <= 5, false))::int), 4) AS recall_5, round(avg((coalesce(hit <= 10, false))::int), 4) AS recall_10,
+      round(avg((coalesce(hit <= 20, false))::int), 4) AS recall_20, round(avg(coalesce(1.0 / hit, 0)), 4) AS mrr, round(avg(CASE WHEN hit <= 10 THEN 1.0 / log2(hit + 1) ELSE 0 END), 4) AS ndcg_10 FROM g GROUP BY 1"""
+)
+def retrieval_metrics_by(spark: SparkSession, d: str) -> DataFrame:
+    """B2 by the documents' language."""
+    q = corpus.document_queries(spark, d)
+    ranked = retrieval.bm25(corpus.documents_index(spark, d), q, 20)
+    lang = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.coalesce("lang", F.lit("")).alias("lang"))
+    return evaluate.metrics(evaluate.hit_ranks(ranked, q.select("query_id", F.col("query_id").alias("doc_id")), q).join(lang, "query_id"), by="lang")
+
+
 @query("SELECT doc_id AS question_id, source AS question_type FROM documents WHERE lang IS NOT NULL ORDER BY doc_id LIMIT 50")
 def question_sample(spark: SparkSession, d: str) -> DataFrame:
     """the first fifty questions that have an answer; here one of each document, with none where the language is unknown."""
