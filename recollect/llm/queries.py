@@ -145,19 +145,8 @@ _FACT_WORDS = r"""regexp_extract_all(lower(translate(fact, '{wide}', '{narrow}')
     wide="".join(chr(c) for c in range(0xFF01, 0xFF5F) if c != 0xFF07), narrow="".join(chr(c) for c in range(0x21, 0x7F) if c != 0x27)
 )
 
-ORACLES: dict[str, str] = {
-    "p2_found": f"""
-        WITH f AS (
-          SELECT DISTINCT fact_id, array_to_string({_FACT_WORDS}, ' ') AS k,
-            (coalesce(len(entities) > 0, false))::int + (coalesce(source <> '', false))::int + ("timestamp" IS NOT NULL)::int
-              + (coalesce(supersedes <> '', false))::int + (weight IS NOT NULL)::int + (coalesce(claim_id <> '', false))::int AS filled,
-            coalesce("timestamp", -1e300) AS t, coalesce(weight, -1e300) AS w, coalesce(c.confidence, -1e300) AS conf
-          FROM consolidated_facts LEFT JOIN (SELECT id, max(confidence) AS confidence FROM vault_claims GROUP BY id) c ON c.id = claim_id
-          WHERE fact_id IS NOT NULL AND fact IS NOT NULL),
-        g AS (SELECT k, max(filled) AS a, max(t) AS b, max(w) AS c, max(conf) AS d FROM f WHERE k <> '' GROUP BY k HAVING count(DISTINCT fact_id) > 1)
-        SELECT fact_id FROM f JOIN g USING (k) WHERE filled = a AND t = b AND w = c AND conf = d
-        """,
-    "p3_found": """
+#: r (query_id, id, k): all pages of each query in order.
+_RANKED = """
         WITH s AS (
           SELECT query_id, list_name, id, max(CASE WHEN NOT isnan(score) THEN score END) AS score FROM search_results
           WHERE query_id IS NOT NULL AND id IS NOT NULL AND list_name IS NOT NULL GROUP BY ALL),
@@ -175,16 +164,16 @@ ORACLES: dict[str, str] = {
         v AS (
           SELECT query_id, id, sum(CASE WHEN score IS NULL OR med IS NULL THEN 0 ELSE ln(0.25 + 0.75 / (1 + exp(-greatest(-60, least(60, (score - med) / scale))))) - floor END) AS gain
           FROM x LEFT JOIN b USING (query_id, list_name) GROUP BY ALL),
-        r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(exp((floors + gain) / n), 9) DESC, id) AS k FROM v JOIN t USING (query_id))
-        SELECT query_id, id FROM r WHERE k = 1
-        """,
-    "p5_found": r"""
+        r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(exp((floors + gain) / n), 9) DESC, id) AS k FROM v JOIN t USING (query_id))"""
+
+#: w: the messages with their speakers, b: the sessions to drop.
+_JUDGED = r"""
         WITH e AS (SELECT * FROM agent_events WHERE session_id IS NOT NULL AND session_id <> ''),
         m AS (
           SELECT session_id, ts, role, content, min(id) AS id FROM e
           WHERE "type" = 'message' AND regexp_matches(content, '[^\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]') GROUP BY ALL),
         w AS (
-          SELECT session_id, CASE WHEN ts >= 1e11 THEN ts / 1000 ELSE ts END AS t, id,
+          SELECT session_id, CASE WHEN ts >= 1e11 THEN ts / 1000 ELSE ts END AS t, id, role, content,
             CASE WHEN role IS NULL OR trim(role) = '' THEN 'none' WHEN lower(trim(role)) IN ('user', 'human') THEN 'user'
                  WHEN lower(trim(role)) IN ('assistant', 'ai', 'model') THEN 'assistant' ELSE 'other' END AS who FROM m),
         k AS (
@@ -195,7 +184,24 @@ ORACLES: dict[str, str] = {
           UNION SELECT session_id FROM k WHERE n = 1 AND who = 'assistant'
           UNION SELECT session_id FROM k WHERE who = 'user' AND (nxt IS NULL OR nxt = 'user')
           UNION SELECT session_id FROM e WHERE session_id NOT IN (SELECT session_id FROM w WHERE who = 'user')
-          UNION SELECT session_id FROM e WHERE session_id NOT IN (SELECT session_id FROM w WHERE who = 'assistant'))
-        SELECT DISTINCT session_id FROM b
+          UNION SELECT session_id FROM e WHERE session_id NOT IN (SELECT session_id FROM w WHERE who = 'assistant'))"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"""
+        WITH f AS (
+          SELECT DISTINCT fact_id, array_to_string({_FACT_WORDS}, ' ') AS k,
+            (coalesce(len(entities) > 0, false))::int + (coalesce(source <> '', false))::int + ("timestamp" IS NOT NULL)::int
+              + (coalesce(supersedes <> '', false))::int + (weight IS NOT NULL)::int + (coalesce(claim_id <> '', false))::int AS filled,
+            coalesce("timestamp", -1e300) AS t, coalesce(weight, -1e300) AS w, coalesce(c.confidence, -1e300) AS conf
+          FROM consolidated_facts LEFT JOIN (SELECT id, max(confidence) AS confidence FROM vault_claims GROUP BY id) c ON c.id = claim_id
+          WHERE fact_id IS NOT NULL AND fact IS NOT NULL),
+        g AS (SELECT k, max(filled) AS a, max(t) AS b, max(w) AS c, max(conf) AS d FROM f WHERE k <> '' GROUP BY k HAVING count(DISTINCT fact_id) > 1)
+        SELECT fact_id FROM f JOIN g USING (k) WHERE filled = a AND t = b AND w = c AND conf = d
         """,
+    "p3_found": f"{_RANKED} SELECT query_id, id FROM r WHERE k = 1",
+    "p3_ranking": f"{_RANKED} SELECT query_id, k::INT AS rank, id FROM r",
+    "p5_found": f"{_JUDGED} SELECT DISTINCT session_id FROM b",
+    "p5_conversations": f"""{_JUDGED}
+        SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t NULLS FIRST, id) AS turn, CASE WHEN who = 'other' THEN lower(trim(role)) ELSE who END AS speaker, t AS ts, content
+        FROM w WHERE session_id NOT IN (SELECT session_id FROM b)""",
 }

@@ -53,7 +53,9 @@ def fuse(scores: DataFrame, weights: dict[str, float] | None = None, accuracy: i
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("list_name") == name, F.lit(float(w))).otherwise(weight)
-    clipped = scores.withColumn("score", F.least(F.greatest(F.col("score"), F.lit(-1e150)), F.lit(1e150))).withColumn("w", weight).where("w > 0")
+    # greatest and least skip nulls, and a missing score must stay one
+    within = F.least(F.greatest(F.col("score"), F.lit(-1e150)), F.lit(1e150))
+    clipped = scores.withColumn("score", F.when(F.col("score").isNotNull() & ~F.isnan("score"), within)).withColumn("w", weight).where("w > 0")
     by = ["query_id", "list_name"]
     present = clipped.where("score is not null")
     centre = present.groupBy(by).agg(F.percentile_approx("score", 0.5, accuracy).alias("median"), F.max("w").alias("list_w"))

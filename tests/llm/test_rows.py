@@ -96,6 +96,16 @@ def test_nothing_to_rank(spark):
     assert fused.count() == 0 and ranking.best_pages(fused).count() == 0 and ranking.ranks(fused).count() == 0
 
 
+def test_missing_scores_leave_their_list_as_it_is(spark):
+    """A null or NaN score is no low score: medians and floors are those of the present ones."""
+    rows = [(1, "bm25", f"p{i}", float(i)) for i in range(7)] + [(1, "vector", f"p{i}", 1.0 - i / 10) for i in range(7)]
+    more = rows + [(1, "vector", f"q{i}", x) for i, x in enumerate([None, NAN, None, None])] + [(1, "bm25", f"q{i}", -5.0) for i in range(4)]
+    base = rows + [(1, "bm25", f"q{i}", -5.0) for i in range(4)]
+    schema = "query_id bigint, list_name string, id string, score double"
+    value = lambda x: {r.id: r.value for r in ranking.fuse(spark.createDataFrame(x, schema)).collect()}
+    assert value(more) == value(base)
+
+
 # --- conversations ----------------------------------------------------------------------
 
 EV = "id bigint, session_id string, ts double, type string, role string, content string, loaded_at timestamp, t int"
