@@ -6,23 +6,25 @@ list is (query_id, doc_id, score, rank); order is score descending, then doc_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from recollect.functions import text as T
 from recollect.functions.arrow import task_mapper
 from recollect.session import cut_lineage
 
 K1, B = 1.5, 0.75
-#: Parts of a token's list of documents.
-PARTS = 16
 RRF_K = 60
 
 
@@ -59,49 +61,106 @@ def index_documents(sources: DataFrame, entities: DataFrame | None = None, facts
     return out.dropDuplicates(["doc_id"])
 
 
+#: Documents of one block of an index, about; and tokens after which a block ends.
+BLOCK_DOCS, BLOCK_TOKENS = 32_768, 6_000_000
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """What BM25 and reranking know of a set of documents, stored once and read by every query.
 
-    ``docs`` is what was indexed, ``postings`` (term, part, doc_id, tf, dl), spread by document,
-    ``terms`` (term, df), ``stats`` one row of the number of documents and their mean length,
-    ``frequencies`` (term, df) of the reranker's tokens.  A common term's documents are numbered
-    off into ``PARTS`` parts.
+    ``docs`` is what was indexed, ``blocks`` (n, tokens, docs, terms, postings) inverted blocks of documents,
+    see ``index_blocks``, ``terms`` (term, df), ``stats`` one row of the number of documents and their
+    mean length, ``frequencies`` (term, df) of the reranker's tokens.
     """
 
     docs: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
     frequencies: DataFrame | None = None
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, part, doc_id, tf, dl): one row per term of a document, dl its number of tokens.
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    """An Arrow table as compressed bytes."""
+    t, sink = pa.table(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+
+
+def _column(t: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(t.column(name).chunks) if t.num_rows else pa.array([], t.schema.field(name).type)
 
-    With ``terms`` (term) only theirs leave the scan.
+
+def _block(batches: list[pa.RecordBatch]) -> list:
+    """One block of (doc_id, low, tokens) batches; its documents are numbered in the order of their ids."""
+    ids, lows, lists = (pa.concat_arrays([b.column(i) for b in batches]) for i in range(3))
+    order, n = pc.sort_indices(ids), len(ids)
+    number = np.empty(n, np.int64)
+    number[order.to_numpy()] = np.arange(n)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    # one number for each pair of term and document; equal ones are counted
+    held, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(number, lengths), return_counts=True)
+    term, doc = np.divmod(held, n)
+    df = np.bincount(term, minlength=len(coded.dictionary))
+    docs = {"doc_id": ids.take(order), "low": lows.take(order), "dl": pa.array(lengths[order.to_numpy()].astype(np.int32))}
+    return [n, int(lengths.sum()), _packed(docs), _packed({"term": coded.dictionary, "df": pa.array(df.astype(np.int32))}), _packed({"doc": pa.array(doc.astype(np.int32)), "tf": pa.array(tf.astype(np.int32))})]
+
+
+def index_blocks(docs: DataFrame) -> DataFrame:
+    """(n, tokens, docs, terms, postings): the documents in blocks where they stand, nothing is shuffled.
+
+    ``docs`` packs (doc_id, low, dl) in the order of the ids, low the text in lower case and dl its number of
+    tokens, ``terms`` (term, df), ``postings`` (doc, tf) term by term, doc the document's place in its block.
     """
-    tokens = docs.select("doc_id", T.bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        each = each.join(terms.select("term").distinct(), "term", "left_semi")
-    counted = each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return counted.select("term", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"), "doc_id", "tf", "dl")
+    text = F.coalesce("text", F.lit(""))
+    schema = StructType([StructField("n", LongType()), StructField("tokens", LongType()), *(StructField(c, BinaryType()) for c in ("docs", "terms", "postings"))])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rows, tokens = [], 0, 0
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(_block(kept), out)], schema=out)
+        for batch in batches:
+            if batch.num_rows:
+                kept.append(batch)
+                rows, tokens = rows + batch.num_rows, tokens + len(batch.column(2).flatten())
+                if rows >= 2 * BLOCK_DOCS or tokens >= BLOCK_TOKENS:
+                    yield packed()
+                    kept, rows, tokens = [], 0, 0
+        if kept:
+            yield packed()
 
+    return docs.select("doc_id", F.lower(text).alias("low"), T.bm25_tokens(text).alias("tokens")).mapInArrow(run, schema)
+
+
+def _block_terms(blocks: DataFrame) -> DataFrame:
+    """(term, df) of every block."""
+    schema = StructType([StructField("term", StringType()), StructField("df", LongType())])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                t = _unpacked(data)
+                yield pa.RecordBatch.from_arrays([_column(t, "term").cast(out[0].type), _column(t, "df").cast(out[1].type)], schema=out)
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: number of documents and their mean length in tokens."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(T.bm25_tokens(F.coalesce("text", F.lit(""))))).alias("avg_dl"))
+    return blocks.select("terms").mapInArrow(run, schema)
 
 
 def build_index(docs: DataFrame, frequencies: bool = True) -> SearchIndex:
     """Tokenises the documents once and stores the result in the session's shared folder."""
-    spark = docs.sparkSession
-    parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stored = cut_lineage(postings(docs).repartition(parallel, "doc_id"))
-    terms = cut_lineage(stored.groupBy("term").agg(F.count("*").alias("df")))
-    lengths = stored.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.sum("dl").alias("tokens"))
-    stats = cut_lineage(docs.agg(F.count("*").alias("n")).crossJoin(lengths).select("n", (F.coalesce("tokens", F.lit(0)) / F.when(F.col("n") > 0, F.col("n"))).alias("avg_dl")))
+    parallel = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // BLOCK_DOCS))
+    # large blocks: each one is asked every query
+    stored = cut_lineage(index_blocks(docs.coalesce(parallel)))
+    terms = cut_lineage(_block_terms(stored).groupBy("term").agg(F.sum("df").alias("df")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    stats = cut_lineage(stored.agg(total("n").alias("n"), (total("tokens") / F.when(total("n") > 0, total("n"))).alias("avg_dl")))
     df = cut_lineage(term_frequencies(docs)) if frequencies else None
     return SearchIndex(docs, stored, terms, stats, df)
 
@@ -187,7 +246,7 @@ def _find_by_grams(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 # --- R2: BM25 ---------------------------------------------------------------------------
 
 
-#: Terms of a query set that are sent to every task; with more they are joined.
+#: Tokens of a query set that are sent to every task at once; a larger set is searched in several passes.
 SENT_TERMS = 500_000
 
 
@@ -198,36 +257,163 @@ def bm25(docs: DataFrame | SearchIndex, queries: DataFrame, k: int = 10, rounded
     the case, is boosted by 1.5, and by 1.3 more if the query has six or more characters.
     Null texts match nothing.
 
-    ``docs`` is a stored index, whose postings of the queries' terms are read, or documents,
-    which are then tokenised for these queries.  The few documents that hold a whole query
-    are found apart, so no text is shuffled.
+    ``docs`` is a stored index, or documents, of which one is built.  The queries go to every block
+    of the index, which scores all of its documents for one query after the other and passes on its best;
+    pairs of query and document that are not among them leave no task.
     """
-    terms = queries.select("query_id", F.explode(T.bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    gain = F.col("w") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    wanted = terms.select("term").distinct()
-    if isinstance(docs, SearchIndex):
-        stats, df, post, docs = docs.stats, docs.terms, docs.postings, docs.docs
-    else:
-        stats, post = corpus_stats(docs), postings(docs, wanted)
-        parallel = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        post = post.repartition(parallel, "term", "part")
-        df = post.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(stats)).select(
-        "query_id", "term", "avg_dl", (F.col("qtf") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("w")
-    )
-    if terms.count() <= sent:
-        # the queries' terms go to the postings, which stay where they are: a document's gains are added up in place
-        matched = post.join(F.broadcast(weighted), "term")
-    else:
-        # a common token meets very many documents, so each token's list is cut into parts by document
-        weighted = weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        matched = post.join(weighted, ["term", "part"])
-    plain = matched.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score")).where("score > 0")
-    low = queries.select("query_id", F.lower("query").alias("low"))
-    holds = find_terms(docs, low).select("doc_id", "low").join(low, "low").select("query_id", "doc_id", F.length("low").alias("size"))
-    boost = F.when(F.col("size") >= 6, F.lit(1.5) * 1.3).when(F.col("size").isNotNull(), 1.5).otherwise(1.0)
-    scored = plain.join(holds, ["query_id", "doc_id"], "left")
-    return top_k(scored.select("query_id", "doc_id", F.round(F.col("score") * boost, rounded).alias("score")), k)
+    index = docs if isinstance(docs, SearchIndex) else build_index(docs, frequencies=False)
+    size = queries.agg(F.coalesce(F.sum(F.size(T.bm25_tokens(F.coalesce("query", F.lit(""))))), F.lit(0)).alias("n")).first().n
+    slices = max(1, -(-size // max(1, sent)))
+    found = None
+    for n in range(slices):
+        part = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == n)
+        one = _bm25_pass(index, part, k, rounded)
+        one = one if slices == 1 else cut_lineage(one)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """Different queries as every task gets them: ``terms`` and, from ``starts`` on, each query's (``term``, ``weight``)."""
+
+    lows: list[str]
+    terms: pa.Array
+    starts: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+    #: Terms that a text that holds the whole query has for certain.
+    sure: list[list[int]]
+    avg_dl: float
+
+
+def _inner(low: str) -> set[str]:
+    """Tokens that any text which holds ``low`` has too: all but Latin ones at its ends, which may go on there."""
+    return {m.group() for m in re.finditer(T.TOKEN, low) if m.group() >= T.FIRST_CJK or (m.start() and m.end() < len(low))}
+
+
+def _bm25_pass(index: SearchIndex, queries: DataFrame, k: int, rounded: int) -> DataFrame:
+    spark = queries.sparkSession
+    asked = queries.where("query is not null").select("query_id", F.lower("query").alias("low"), T.bm25_tokens(F.col("query")).alias("tokens")).toArrow()  # at most SENT_TERMS tokens
+    tokens: dict[str, list[str]] = {}
+    for low, ts in zip(asked.column("low").to_pylist(), asked.column("tokens").to_pylist()):
+        if ts:
+            tokens.setdefault(low, ts)
+    wanted = queries.select(F.explode(T.bm25_tokens(F.col("query"))).alias("term")).distinct()
+    df = dict(map(tuple, index.terms.join(F.broadcast(wanted), "term", "left_semi").collect()))
+    stats = index.stats.first()
+    number, starts, term, weight, sure = {t: i for i, t in enumerate(df)}, [0], [], [], []
+    for low, ts in tokens.items():
+        for t, times in Counter(ts).items():
+            if t in df:
+                term.append(number[t])
+                weight.append(times * math.log((stats.n - df[t] + 0.5) / (df[t] + 0.5) + 1.0))
+        starts.append(len(term))
+        inner = _inner(low)
+        sure.append([number.get(t, -1) for t in inner])
+    shared = spark.sparkContext.broadcast(_Asked(list(tokens), pa.array(list(df), pa.string()), np.array(starts), np.array(term, np.int64), np.array(weight), sure, stats.avg_dl or 1.0))
+    kind = index.docs.schema["doc_id"].dataType
+    schema = StructType([StructField("query_id", IntegerType()), StructField("doc_id", kind), StructField("score", DoubleType())])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = shared.value
+        floor = np.zeros(len(a.lows))  # scores that k documents have reached in the task
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q, ids, s = _best_of_block(a, *(_unpacked(c[row]) for c in batch.columns), k, rounded, floor)
+                yield pa.RecordBatch.from_arrays([pa.array(q, out[0].type), ids.cast(out[1].type), pa.array(s, out[2].type)], schema=out)
+
+    best = top_k(index.blocks.select("docs", "terms", "postings").mapInArrow(run, schema), k)
+    place = {low: i for i, low in enumerate(tokens)}
+    keys = pa.table({"number": pa.array([place.get(x) for x in asked.column("low").to_pylist()], pa.int32()), "query_id": asked.column("query_id")})
+    # queries of the same text share one list
+    keys = spark.createDataFrame(keys, StructType([StructField("number", IntegerType()), queries.schema["query_id"]])).where("number is not null")
+    return best.withColumnRenamed("query_id", "number").join(F.broadcast(keys), "number").select("query_id", "doc_id", "score", "rank")
+
+
+def _holding(a: _Asked, lows: list[str], at: np.ndarray, listed: Callable) -> list[np.ndarray]:
+    """For each query the documents of a block that hold it whole.
+
+    They are among those that have its inner tokens; queries without any are looked for in every text.
+    """
+    none = np.empty(0, np.int64)
+    out, loose = [none] * len(a.lows), {}
+    for i, low in enumerate(a.lows):
+        if not a.sure[i]:
+            loose[low] = i
+            continue
+        here = [int(at[t]) if t >= 0 else -1 for t in a.sure[i]]
+        if min(here) < 0:
+            continue
+        lists = sorted(map(listed, here), key=len)
+        some = lists[0]
+        for more in lists[1:4]:
+            if len(some) > 50:
+                some = np.intersect1d(some, more, assume_unique=True)
+        out[i] = np.array([d for d in some.tolist() if low in lows[d]], np.int64)
+    if loose:
+        import ahocorasick
+
+        automaton, found = ahocorasick.Automaton(), {}
+        for low, i in loose.items():
+            automaton.add_word(low, i)
+        automaton.make_automaton()
+        for d, body in enumerate(lows):
+            for i in {i for _, i in automaton.iter(body)}:
+                found.setdefault(i, []).append(d)
+        for i, ds in found.items():
+            out[i] = np.array(ds, np.int64)
+    return out
+
+
+def _best_of_block(a: _Asked, docs: pa.Table, terms: pa.Table, postings: pa.Table, k: int, rounded: int, floor: np.ndarray) -> tuple[list, pa.Array, list]:
+    """(query numbers, ids, scores): each query's best k documents of a block, without those below its floor, which rises."""
+    n, unit = docs.num_rows, 10.0**rounded
+    at = pc.index_in(a.terms, value_set=_column(terms, "term").cast(pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(_column(terms, "df").to_numpy()))
+    doc, tf = (_column(postings, c).to_numpy() for c in ("doc", "tf"))
+    norm = K1 * (1 - B + B * _column(docs, "dl").to_numpy() / a.avg_dl)
+    gain = tf * (K1 + 1) / (tf + norm[doc])
+    hold = _holding(a, _column(docs, "low").to_pylist(), at, lambda t: doc[ends[t] : ends[t + 1]])
+    whole: dict[int, np.ndarray] = {}  # gains of terms that stand in an eighth of the documents or more
+    score, step = np.zeros(n), np.empty(n)
+    qs, ds, ss = [], [], []
+    for i, low in enumerate(a.lows):
+        score[:] = 0.0
+        for j in range(a.starts[i], a.starts[i + 1]):
+            t = at[a.term[j]]
+            if t < 0:
+                continue
+            x, y = ends[t], ends[t + 1]
+            if (y - x) * 8 < n:
+                score[doc[x:y]] += a.weight[j] * gain[x:y]
+                continue
+            if t not in whole:
+                whole[t] = np.zeros(n)
+                whole[t][doc[x:y]] = gain[x:y]
+            np.multiply(whole[t], a.weight[j], out=step)
+            score += step
+        if len(hold[i]):
+            score[hold[i]] *= 1.5 * 1.3 if len(low) >= 6 else 1.5
+        least = floor[i]
+        if n > 64 * k:  # the k-th of the greatest of many parts is reached by k documents
+            parts = score[: n // 64 * 64].reshape(64, -1) if k <= 8 else score[: n // (8 * k) * (8 * k)].reshape(8 * k, -1)
+            tops = parts.max(axis=1)
+            least = max(least, np.partition(tops, len(tops) - k)[len(tops) - k])
+        d = np.flatnonzero(score >= least - 1.5 / unit) if least > 0 else np.flatnonzero(score)
+        d = d[score[d] > 0]
+        s = np.floor(score[d] * unit + 0.5) / unit
+        if len(d) > k:
+            first = np.lexsort((d, -s))[:k]
+            d, s = d[first], s[first]
+        if len(d) == k:
+            floor[i] = max(floor[i], s.min())
+        qs.append(np.full(len(d), i))
+        ds.append(d)
+        ss.append(s)
+    q, d, s = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (qs, ds, ss))
+    return q, _column(docs, "doc_id").take(pa.array(d, pa.int64())), s
 
 
 # --- R4: exact --------------------------------------------------------------------------

@@ -80,6 +80,33 @@ def test_bm25_prunes_without_losing_boosted_documents(spark):
         assert [(r.doc_id, r.score) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == want
 
 
+def test_bm25_lets_only_each_blocks_best_out(spark, monkeypatch):
+    """Every query meets every document by a common word; ties, whole queries and several blocks as by brute force."""
+    rng = random.Random(3)
+    words = ["the", "axis", "b.c", "成", "本中", "x"]
+    body = [(f"{i:03}", " ".join(["the", *rng.choices(words, k=rng.randint(1, 9))])) for i in range(400)] + [("n", None)]
+    d = spark.createDataFrame(body, "doc_id string, text string").withColumn("title", F.lit("")).repartition(3)
+    q = queries(spark, "the axis", "The", "x the b.c", "the", "本中 成 the", "he axi", "absent", "", "the x axis x")
+    tokens = {r.doc_id: r.t for r in d.select("doc_id", T.bm25_tokens(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    asked = {r.query_id: (r.q, r.t) for r in q.select("query_id", F.lower("query").alias("q"), T.bm25_tokens(F.col("query")).alias("t")).collect()}
+    df, avg = Counter(w for x in tokens.values() for w in set(x)), sum(map(len, tokens.values())) / len(tokens)
+    want = {}
+    for i, (low, ts) in asked.items():
+        s = {}
+        for k, text in body:
+            tf = Counter(tokens[k])
+            v = sum(math.log((401 - df[w] + 0.5) / (df[w] + 0.5) + 1) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(tokens[k]) / avg)) for w in ts if tf[w])
+            if v > 0:
+                s[k] = v * (1 if low not in text.lower() else 1.95 if len(low) >= 6 else 1.5)
+        want |= {(i, n): x for n, x in enumerate(sorted(((-round(v, 4), k) for k, v in s.items()))[:5], 1)}
+    left = []
+    top_k = retrieval.top_k
+    monkeypatch.setattr(retrieval, "top_k", lambda scored, k: (left.append(scored.count()), top_k(scored, k))[1])
+    got = {(r.query_id, r["rank"]): (-r.score, r.doc_id) for r in retrieval.bm25(d, q, 5).collect()}
+    assert {k: x[1] for k, x in got.items()} == {k: x[1] for k, x in want.items()} and all(abs(got[k][0] - want[k][0]) < 1e-9 for k in got)
+    assert left[0] <= 3 * len(asked) * 5  # before: a row for each query and document with a word in common
+
+
 def test_exact_against_brute_force(spark):
     rng = random.Random(2)
     parts = ["retry_flag", "3000", "74.5%", "deadbeef01", "凭证生成", "x", "a.b", "foo_bar_baz", " "]
