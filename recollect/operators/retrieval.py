@@ -247,7 +247,7 @@ def _find_by_grams(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 
 #: Tokens of a query set that are sent to every task at once; a larger set is searched in several passes.
-SENT_TERMS = 500_000
+SENT_TERMS = 2_000_000
 
 
 def bm25(docs: DataFrame | SearchIndex, queries: DataFrame, k: int = 10, rounded: int = 4, sent: int = SENT_TERMS) -> DataFrame:
@@ -283,7 +283,7 @@ class _Asked:
     term: np.ndarray
     weight: np.ndarray
     #: Terms that a text that holds the whole query has for certain.
-    sure: list[list[int]]
+    sure: list[np.ndarray]
     avg_dl: float
 
 
@@ -310,7 +310,7 @@ def _bm25_pass(index: SearchIndex, queries: DataFrame, k: int, rounded: int) ->
                 weight.append(times * math.log((stats.n - df[t] + 0.5) / (df[t] + 0.5) + 1.0))
         starts.append(len(term))
         inner = _inner(low)
-        sure.append([number.get(t, -1) for t in inner])
+        sure.append(np.array([number.get(t, -1) for t in inner], np.int64))
     shared = spark.sparkContext.broadcast(_Asked(list(tokens), pa.array(list(df), pa.string()), np.array(starts), np.array(term, np.int64), np.array(weight), sure, stats.avg_dl or 1.0))
     kind = index.docs.schema["doc_id"].dataType
     schema = StructType([StructField("query_id", IntegerType()), StructField("doc_id", kind), StructField("score", DoubleType())])
@@ -332,7 +332,13 @@ def _bm25_pass(index: SearchIndex, queries: DataFrame, k: int, rounded: int) ->
     return best.withColumnRenamed("query_id", "number").join(F.broadcast(keys), "number").select("query_id", "doc_id", "score", "rank")
 
 
-def _holding(a: _Asked, lows: list[str], at: np.ndarray, listed: Callable) -> list[np.ndarray]:
+def _found_in(ordered: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each of ``some`` in an ordered list that is not empty, and whether it is there."""
+    place = np.minimum(np.searchsorted(ordered, some), len(ordered) - 1)
+    return place, ordered[place] == some
+
+
+def _holding(a: _Asked, lows: list[str], at: np.ndarray, sizes: np.ndarray, listed: Callable) -> list[np.ndarray]:
     """For each query the documents of a block that hold it whole.
 
     They are among those that have its inner tokens; queries without any are looked for in every text.
@@ -340,17 +346,17 @@ def _holding(a: _Asked, lows: list[str], at: np.ndarray, listed: Callable) -> li
     none = np.empty(0, np.int64)
     out, loose = [none] * len(a.lows), {}
     for i, low in enumerate(a.lows):
-        if not a.sure[i]:
+        if not len(a.sure[i]):
             loose[low] = i
             continue
-        here = [int(at[t]) if t >= 0 else -1 for t in a.sure[i]]
-        if min(here) < 0:
+        here = np.where(a.sure[i] >= 0, at[a.sure[i]], -1) if len(at) else a.sure[i] * 0 - 1
+        if here.min() < 0:
             continue
-        lists = sorted(map(listed, here), key=len)
-        some = lists[0]
-        for more in lists[1:4]:
-            if len(some) > 50:
-                some = np.intersect1d(some, more, assume_unique=True)
+        here = here[np.argsort(sizes[here], kind="stable")[:4]]
+        some = listed(here[0])
+        for t in here[1:]:
+            if len(some) > 20:
+                some = some[_found_in(listed(t), some)[1]]
         out[i] = np.array([d for d in some.tolist() if low in lows[d]], np.int64)
     if loose:
         import ahocorasick
@@ -375,40 +381,78 @@ def _best_of_block(a: _Asked, docs: pa.Table, terms: pa.Table, postings: pa.Tabl
     doc, tf = (_column(postings, c).to_numpy() for c in ("doc", "tf"))
     norm = K1 * (1 - B + B * _column(docs, "dl").to_numpy() / a.avg_dl)
     gain = tf * (K1 + 1) / (tf + norm[doc])
-    hold = _holding(a, _column(docs, "low").to_pylist(), at, lambda t: doc[ends[t] : ends[t + 1]])
+    sizes = np.diff(ends)
+    most = np.maximum.reduceat(gain, ends[:-1]) if len(gain) else gain
+    hold = _holding(a, _column(docs, "low").to_pylist(), at, sizes, lambda t: doc[ends[t] : ends[t + 1]])
     whole: dict[int, np.ndarray] = {}  # gains of terms that stand in an eighth of the documents or more
     score, step = np.zeros(n), np.empty(n)
+    lots = max(64, 8 * k)
     qs, ds, ss = [], [], []
+
+    def reached() -> float:
+        """A score that k documents have: the k-th of the greatest of many parts."""
+        if n < 8 * lots:
+            return 0.0
+        tops = score[: n // lots * lots].reshape(lots, -1).max(axis=1)
+        return np.partition(tops, lots - k)[lots - k]
+
     for i, low in enumerate(a.lows):
+        j = np.arange(a.starts[i], a.starts[i + 1])
+        t = at[a.term[j]]
+        t, w = t[t >= 0], a.weight[j][t >= 0]
+        if not len(t):
+            continue
+        bound = w * most[t]
+        first = np.argsort(-bound, kind="stable")
+        t, w, rest = t[first].tolist(), w[first].tolist(), np.append(np.cumsum(bound[first][::-1])[::-1], 0.0).tolist()
         score[:] = 0.0
-        for j in range(a.starts[i], a.starts[i + 1]):
-            t = at[a.term[j]]
-            if t < 0:
-                continue
-            x, y = ends[t], ends[t + 1]
+        least, some, m = floor[i], None, 0
+        # the terms that can add most come first; once the others cannot lift a document to the k best, only those near them get the rest
+        for m in range(len(t)):
+            x, y = ends[t[m]], ends[t[m] + 1]
+            if m and (y - x) * 32 >= n:
+                if rest[m] >= least - 1.5 / unit:
+                    least = max(least, reached())
+                if rest[m] < least - 1.5 / unit:
+                    near = np.flatnonzero(score >= least - 1.5 / unit - rest[m] - 1e-9)
+                    if len(near) * 16 < n:
+                        some = np.union1d(near, hold[i]) if len(hold[i]) else near
+                        break
             if (y - x) * 8 < n:
-                score[doc[x:y]] += a.weight[j] * gain[x:y]
+                score[doc[x:y]] += w[m] * gain[x:y]
                 continue
-            if t not in whole:
-                whole[t] = np.zeros(n)
-                whole[t][doc[x:y]] = gain[x:y]
-            np.multiply(whole[t], a.weight[j], out=step)
+            if t[m] not in whole:
+                whole[t[m]] = np.zeros(n)
+                whole[t[m]][doc[x:y]] = gain[x:y]
+            np.multiply(whole[t[m]], w[m], out=step)
             score += step
-        if len(hold[i]):
-            score[hold[i]] *= 1.5 * 1.3 if len(low) >= 6 else 1.5
-        least = floor[i]
-        if n > 64 * k:  # the k-th of the greatest of many parts is reached by k documents
-            parts = score[: n // 64 * 64].reshape(64, -1) if k <= 8 else score[: n // (8 * k) * (8 * k)].reshape(8 * k, -1)
-            tops = parts.max(axis=1)
-            least = max(least, np.partition(tops, len(tops) - k)[len(tops) - k])
-        d = np.flatnonzero(score >= least - 1.5 / unit) if least > 0 else np.flatnonzero(score)
-        d = d[score[d] > 0]
-        s = np.floor(score[d] * unit + 0.5) / unit
+        if some is None:
+            if len(hold[i]):
+                score[hold[i]] *= 1.5 * 1.3 if len(low) >= 6 else 1.5
+            least = max(least, reached())
+            d = np.flatnonzero(score >= least - 1.5 / unit) if least > 0 else np.flatnonzero(score)
+            s = score[d]
+        else:
+            d, s = some, score[some]
+            at32 = some.astype(np.int32)
+            for m in range(m, len(t)):
+                x, y = ends[t[m]], ends[t[m] + 1]
+                if t[m] in whole:
+                    s += w[m] * whole[t[m]][some]
+                else:
+                    place, there = _found_in(doc[x:y], at32)
+                    s += np.where(there, w[m] * gain[x:y][place], 0.0)
+            if len(hold[i]):
+                s[np.searchsorted(some, hold[i])] *= 1.5 * 1.3 if len(low) >= 6 else 1.5
+        d, s = d[s > 0], s[s > 0]
+        s = np.floor(s * unit + 0.5) / unit
         if len(d) > k:
             first = np.lexsort((d, -s))[:k]
             d, s = d[first], s[first]
         if len(d) == k:
             floor[i] = max(floor[i], s.min())
+        else:
+            d, s = d[s >= floor[i]], s[s >= floor[i]]
         qs.append(np.full(len(d), i))
         ds.append(d)
         ss.append(s)
