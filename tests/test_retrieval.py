@@ -235,6 +235,23 @@ def test_density_of_a_long_text_is_not_quadratic():
     assert rerank.density(["ab", "b", "zz"], "ab " * 100_000) > 0
 
 
+def test_reranking_reads_a_text_once_for_all_queries(spark, monkeypatch):
+    """Before, each query had its own copy of every text of its pool."""
+    d = spark.createDataFrame([("long", "T", "the axis_flag " * 9000 + "end_mark", "entity"), ("short", "S", "an axis", "source")], "doc_id string, title string, raw string, page_type string")
+    q = queries(spark, *[f"the axis_flag end_mark {i}" for i in range(40)])
+    pool = q.select("query_id", F.explode(F.array(F.struct(F.lit("long").alias("doc_id"), F.lit(1).alias("rank")), F.struct(F.lit("short").alias("doc_id"), F.lit(2).alias("rank")))).alias("r")).select("query_id", "r.*")
+    held = []
+    for name in ("cut_lineage", "spread_rows"):
+        monkeypatch.setattr(rerank, name, lambda df, f=getattr(rerank, name): (held.append(df.count()), f(df))[1])
+    got = {(r.query_id, r.doc_id): r for r in rerank.signals(pool, d, q).collect()}
+    assert len(got) == 80 and max(held) <= 2
+    for i in range(40):
+        long, short = got[i, "long"], got[i, "short"]
+        assert (long.original, short.original) == (1.0, 0.5) and long.together == 1.0 and long.coverage == 1.0 and short.coverage == 0.0 and 0 < long.tfidf < 1
+    monkeypatch.setattr(rerank, "ASKERS", 7)
+    assert {(r.query_id, r.doc_id): r for r in rerank.signals(pool, d, q).collect()} == got
+
+
 def test_a_stored_index_gives_the_same_lists(spark):
     x, q = docs(spark), queries(spark, "quick fox quick", "retry_flag 3000", "lazy", "nothing here", "成本中心")
     index = retrieval.build_index(x)
